@@ -7,9 +7,9 @@ a second occurrence anchors it. Around the anchors all 50-word windows are
 compared by 96-bit hashes; those that start in a document of a smaller id are repeats,
 and their union is the maximal exact repeats of 50 words and up.
 
-Windows travel packed: one binary row for each bucket of hashes and batch of
-texts, with 24 hash bits and the distance to the last window for each window.
-A false hit costs a few 50-word hashes and is dropped by them.
+Windows travel packed: one binary row for each bucket of hashes and chunk of
+texts, with 24 hash bits, the document and the place of each window; a row is
+whole by itself, so a task that runs again needs no other. A false hit costs a few 50-word hashes and is dropped by them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import kept
 
 SPAN, ANCHOR = 50, 25
 #: Bytes of text for each bucket of windows, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 256, 1 << 20
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 256, 1 << 20
 #: Words of texts whose windows are packed together.
 CHUNK = 1 << 20
 #: Stands for a null doc_id: no document has a larger one.
@@ -79,49 +79,61 @@ def _later(rows: DataFrame) -> DataFrame:
     """The ids of documents whose whole text also is a smaller document's, as (doc_id, later)."""
     named = rows.select("doc_id", F.sha2("text", 256).alias("h"))
     least = named.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = kept(least)  # so that both sides of the join are exchanged and a group of copies can be split
     return named.join(least, "h").where("doc_id > least").select("doc_id").distinct().select("doc_id", F.lit(True).alias("later"))
 
 
-def _steps(place: np.ndarray) -> bytes:
-    """Ascending places as a count, distances of two bytes, and the long ones in full."""
-    step = np.diff(place, prepend=0)
-    wide = step[step >= 0xFFFF]
-    return b"".join([np.array([len(step), len(wide)], "<i4").tobytes(), np.minimum(step, 0xFFFF).astype("<u2").tobytes(), wide.astype("<i4").tobytes()])
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _places(raw: bytes) -> tuple[np.ndarray, int]:
-    """The places, and where the bytes after them begin."""
-    n, wide = (int(x) for x in np.frombuffer(raw, "<i4", 2))
-    step = np.frombuffer(raw, "<u2", n, 8).astype(np.int64)
-    step[step == 0xFFFF] = np.frombuffer(raw, "<i4", wide, 8 + 2 * n)
-    return np.cumsum(step), 8 + 2 * n + 4 * wide
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes: two of each, low ones first, and the large ones in full."""
+    x = x.astype(np.int64).view(np.uint64)  # a distance may wrap
+    wide = x[x >= 0xFFFF].astype("<i8")
+    two = np.minimum(x, 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return b"".join([np.array([len(wide)], "<i8").tobytes(), wide.tobytes(), two.T.tobytes()])
+
+
+def _numbers(raw: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+    """The inverse of _planes for n numbers, and what is left."""
+    wide = int(np.frombuffer(raw, "<i8", 1)[0])
+    at = 8 + 8 * wide
+    x = np.frombuffer(raw, np.uint8, 2 * n, at).reshape(2, n).T.copy().view("<u2")[:, 0].astype(np.int64)
+    x[x == 0xFFFF] = np.frombuffer(raw, "<i8", wide, 8)
+    return x, raw[at + 2 * n :]
+
+
+def _owned(doc: np.ndarray, place: np.ndarray, more: bytes = b"") -> bytes:
+    """Ascending (doc_id, place) pairs, packed by themselves, and other bytes after them."""
+    low = _planes(np.diff(doc, prepend=doc[:1])) + _planes(place)
+    small = _ZSTD.compress(low, asbytes=True)
+    return np.array([len(doc), doc[0], len(low), len(small)], "<i8").tobytes() + small + more
+
+
+def _owners(raw: bytes) -> tuple[np.ndarray, np.ndarray, memoryview]:
+    """(doc_ids, places, the other bytes) of what _owned packed."""
+    n, first, size, small = (int(x) for x in np.frombuffer(raw, "<i8", 4))
+    view = memoryview(raw)[32:]
+    step, rest = _numbers(memoryview(_ZSTD.decompress(view[:small], size, asbytes=True)), n)
+    return first + np.cumsum(step), _numbers(rest, n)[0].astype(np.int32), view[small:]
 
 
 class _Chunk:
-    """Texts whose windows are packed together; places count on from text to text."""
+    """Documents whose windows are packed together, in order of their ids."""
 
     def __init__(self):
-        self.ids: list[int] = []
-        self.starts: list[int] = []
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.parts: list[tuple[int, tuple[np.ndarray, ...]]] = []
         self.size = 0
 
-    def add(self, doc_id: int, length: int, part: tuple[np.ndarray, ...]) -> None:
-        self.ids.append(doc_id)
-        self.starts.append(self.size)
-        self.parts.append(part)
-        self.size += length
+    def add(self, doc_id: int, *arrays: np.ndarray) -> None:
+        self.parts.append((doc_id, arrays))
+        self.size += len(arrays[0])
 
-    def head(self) -> bytes:
-        return np.array([len(self.ids), *self.ids, *self.starts], "<i8").tobytes()
-
-    @staticmethod
-    def owners(head: bytes, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(doc_id, place in the text) of places in the chunk."""
-        h = np.frombuffer(head, "<i8")
-        n = int(h[0])
-        which = np.searchsorted(h[1 + n :], place, side="right") - 1
-        return h[1 : 1 + n][which], (place - h[1 + n :][which]).astype(np.int32)
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """doc_id of each entry, and the arrays that were added."""
+        self.parts.sort(key=lambda p: p[0])
+        doc = np.repeat(np.array([d for d, _ in self.parts], np.int64), [len(a[0]) for _, a in self.parts])
+        return doc, *(np.concatenate(x) for x in zip(*(a for _, a in self.parts), strict=True))
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -129,19 +141,20 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)]
 
 
-PACKED = "bucket int, head binary, payload binary"
+PACKED = "bucket int, payload binary"
 
 
-def _packed(rows: list[tuple[int, bytes]], head: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([head] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "head", "payload"])
+def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
 
-def _by_bucket(bucket: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, which, their places) with ascending places."""
-    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    cut = _runs(bucket[order]) if len(order) else [0]
+def _by_bucket(which: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, ascending entries of which in it)."""
+    b = bucket[which]
+    order = np.argsort(b.astype(np.uint16) if len(b) and b.max() < 1 << 16 else b, kind="stable")
+    cut = _runs(b[order]) if len(order) else [0]
     for s, e in zip(cut[:-1], cut[1:], strict=True):
-        yield int(bucket[order[s]]), order[s:e], place[order[s:e]]
+        yield int(b[order[s]]), which[order[s:e]]
 
 
 def _windows(buckets: int):
@@ -153,32 +166,24 @@ def _windows(buckets: int):
     from all documents.
     """
 
-    def packed(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([p[0] for p in chunk.parts])
-        place = np.concatenate([np.arange(len(p[0])) + s for p, s in zip(chunk.parts, chunk.starts, strict=True)])
-        if not len(h):
-            return
-        block = np.concatenate([np.arange(len(p[0])) % ANCHOR == 0 for p in chunk.parts])
+    def packed(chunk: _Chunk) -> pa.RecordBatch:
+        doc, h, place = chunk.columns()
+        block = place % ANCHOR == 0
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         low = (h & np.uint64(0xFFFFFF)).astype("<u4")
         key = bucket << 24 | low
         order = np.argsort(key, kind="stable")
         cut = _runs(key[order])
-        blocks = np.add.reduceat(block[order].astype(np.int64), cut[:-1])
-        own = (np.diff(cut) > 1) & (blocks > 0)
+        own = (np.diff(cut) > 1) & (np.add.reduceat(block[order].astype(np.int64), cut[:-1]) > 0)
         known = np.zeros(len(h), bool)
         known[order[np.repeat(own, np.diff(cut))]] = True
         stand = order[cut[:-1][own]]
         sent = ~known
         sent[stand] = block[stand] = True
-        rows, head = [], chunk.head()
-        if known.any():
-            rows.append((-1 - int(h[0] % np.uint64(1 << 20)), _steps(place[known])))
-        which = np.flatnonzero(sent)
-        for b, at, p in _by_bucket(bucket[which], place[which]):
-            x = which[at]
-            rows.append((b, _steps(p) + low[x].view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + np.packbits(block[x]).tobytes()))
-        yield _packed(rows, head)
+        rows = [(-1 - int(h[0] % np.uint64(1 << 20)), _owned(doc[known], place[known]))] if known.any() else []
+        for b, x in _by_bucket(np.flatnonzero(sent), bucket):
+            rows.append((b, _owned(doc[x], place[x], low[x].view(np.uint8).reshape(-1, 4)[:, :3].tobytes() + np.packbits(block[x]).tobytes())))
+        return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, chunk = _Words(), _Chunk()
@@ -186,30 +191,30 @@ def _windows(buckets: int):
             for doc_id, text, later in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_py().split() if not later else ()
                 if len(words) >= SPAN:
-                    part = rolling(_hashed(words, memo), ANCHOR, _M1)
-                    chunk.add(doc_id, len(part), (part,))
+                    h = rolling(_hashed(words, memo), ANCHOR, _M1)
+                    chunk.add(doc_id, h, np.arange(len(h)))
                     if chunk.size >= CHUNK:
-                        yield from packed(chunk)
+                        yield packed(chunk)
                         chunk = _Chunk()
-        if chunk.ids:
-            yield from packed(chunk)
+        if chunk.size:
+            yield packed(chunk)
 
     return run
 
 
-def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
-    """Rows of each bucket together, from rows sorted by bucket; those below 0 one by one."""
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Payloads of each bucket together, from rows sorted by bucket; those below 0 one by one."""
     at, held = None, []
     for batch in batches:
-        for bucket, head, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket < 0:
-                yield bucket, [(head, payload)]
+                yield bucket, [payload]
                 continue
             if bucket != at and held:
                 yield at, held
                 held = []
             at = bucket
-            held.append((head, payload))
+            held.append(payload)
     if held:
         yield at, held
 
@@ -220,25 +225,25 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _buckets_of(batches):
         found = []
         if bucket < 0:
-            found.append(_Chunk.owners(rows[0][0], _places(rows[0][1])[0]))
+            found.append(_owners(rows[0])[:2])
         else:
             got = []
-            for head, payload in rows:
-                place, at = _places(payload)
-                n = len(place)
+            for payload in rows:
+                doc, place, rest = _owners(payload)
+                n = len(doc)
                 low = np.zeros((n, 4), np.uint8)
-                low[:, :3] = np.frombuffer(payload, np.uint8, 3 * n, at).reshape(-1, 3)
+                low[:, :3] = np.frombuffer(rest, np.uint8, 3 * n).reshape(-1, 3)
                 low = low.view("<u4")[:, 0]
-                block = np.unpackbits(np.frombuffer(payload, np.uint8, -1, at + 3 * n), count=n).astype(bool)
+                block = np.unpackbits(np.frombuffer(rest, np.uint8, -1, 3 * n), count=n).astype(bool)
                 value, count = np.unique(low, return_counts=True)
                 seen[value[(count > 1) | (seen[value] & 1 > 0)]] |= 2
                 seen[value] |= 1
                 seen[low[block]] |= 4
-                got.append((head, place, low))
-            for head, place, low in got:
-                hit = place[seen[low] & 6 == 6]
-                if len(hit):
-                    found.append(_Chunk.owners(head, hit))
+                got.append((doc, place, low))
+            for doc, place, low in got:
+                hit = seen[low] & 6 == 6
+                if hit.any():
+                    found.append((doc[hit], place[hit]))
             for _, _, low in got:
                 seen[low] = 0
         if found:
@@ -252,24 +257,19 @@ def _spans(buckets: int):
     by its hash; the later ones are repeats for certain and pass by.
     """
 
-    def packed(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
-        one, two, place, doc = (np.concatenate([p[k] for p in chunk.parts]) for k in range(4))
+    def packed(chunk: _Chunk) -> pa.RecordBatch:
+        doc, one, two, place = chunk.columns()
         order = np.lexsort((doc, two, one))
         new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
-        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         later = np.zeros(len(one), bool)
-        later[order] = doc[order] > least
-        rows, head = [], chunk.head()
-        if later.any():
-            rows.append((-1 - int(one[0] % np.uint64(1 << 20)), _steps(place[later])))
-        which = np.flatnonzero(~later)
-        for b, at, p in _by_bucket(((one[which] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), place[which]):
-            x = which[at]
-            rows.append((b, _steps(p) + one[x].astype("<u8").tobytes() + (two[x] >> np.uint64(32)).astype("<u4").tobytes()))
-        yield _packed(rows, head)
+        later[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        rows = [(-1 - int(one[0] % np.uint64(1 << 20)), _owned(doc[later], place[later]))] if later.any() else []
+        for b, x in _by_bucket(np.flatnonzero(~later), ((one >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+            rows.append((b, _owned(doc[x], place[x], one[x].astype("<u8").tobytes() + (two[x] >> np.uint64(32)).astype("<u4").tobytes())))
+        return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, chunk, held = _Words(), _Chunk(), 0
+        memo, chunk = _Words(), _Chunk()
         for batch in batches:
             for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if not places.is_valid:
@@ -285,13 +285,12 @@ def _spans(buckets: int):
                 if not len(start):
                     continue
                 one, two = rolling(h, SPAN, _M1)[start], rolling(_mixed(h ^ _M2), SPAN, _M2)[start]
-                chunk.add(doc_id, n, (one, two, start + chunk.size, np.full(len(start), doc_id)))
-                held += len(start)
-                if held >= CHUNK:
-                    yield from packed(chunk)
-                    chunk, held = _Chunk(), 0
-        if chunk.ids:
-            yield from packed(chunk)
+                chunk.add(doc_id, one, two, start)
+                if chunk.size >= CHUNK:
+                    yield packed(chunk)
+                    chunk = _Chunk()
+        if chunk.size:
+            yield packed(chunk)
 
     return run
 
@@ -300,13 +299,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows sorted by bucket to (doc_id, start): windows that also start in a smaller document."""
     for bucket, rows in _buckets_of(batches):
         if bucket < 0:
-            doc, start = _Chunk.owners(rows[0][0], _places(rows[0][1])[0])
+            doc, start, _ = _owners(rows[0])
         else:
             got = []
-            for head, payload in rows:
-                place, at = _places(payload)
-                n = len(place)
-                got.append((np.frombuffer(payload, "<u8", n, at), np.frombuffer(payload, "<u4", n, at + 8 * n), *_Chunk.owners(head, place)))
+            for payload in rows:
+                doc, place, rest = _owners(payload)
+                n = len(doc)
+                got.append((np.frombuffer(rest, "<u8", n), np.frombuffer(rest, "<u4", n, 8 * n), doc, place))
             one, two, doc, start = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.lexsort((doc, two, one))
             one, two, doc, start = one[order], two[order], doc[order], start[order]
