@@ -1,19 +1,48 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL: a query's plan is SQL over the tables as views."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import joins, stats, text, windows
+from .plans.dialect import Duck, Spark
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats)
+
+
+def plans() -> dict[str, Callable]:
+    """Name to function of a dialect, for every plan of every family."""
+    return {n: f for m in FAMILIES for n, f in vars(m).items() if callable(f) and getattr(f, "__module__", "") == m.__name__}
+
+
+def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Register the tables that a plan names; Spark prunes and pushes into their scans."""
+    for t in TABLES:
+        if t in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = plan(Spark())
+        views(spark, sf_dir, sql)
+        return spark.sql(sql)
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: _query(f) for n, f in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: f(Duck()) for n, f in plans().items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Suspect words by source."""
+    return _query(text.text_quality_by_source)(spark, sf_dir)
