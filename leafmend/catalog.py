@@ -1,4 +1,4 @@
-"""All registered queries and their SQL: a query's plan is SQL over the tables as views."""
+"""All registered queries and their SQL: plans are SQL over the tables as views, the rest are operators on DataFrames."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import queries as operators
 from .plans import joins, stats, text, windows
 from .plans.dialect import Duck, Spark
 
@@ -36,11 +37,11 @@ def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(f) for n, f in plans().items()}
+    return {n: _query(f) for n, f in plans().items()} | operators.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: f(Duck()) for n, f in plans().items()}
+    return {n: f(Duck()) for n, f in plans().items()} | operators.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,10 @@ group_rows and repeat_rows (arrays of row numbers).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACED = "tbl long, r long, i long, empty boolean, c0 long, c1 long, r1 long"
+from .groups import by_group
 
 
 def spots(cells: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -33,14 +32,13 @@ def spots(cells: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def placed(cells: DataFrame) -> DataFrame:
-    """Cells with their columns [c0, c1) and rows [r, r1); a table is one group."""
+    """Cells with their columns [c0, c1) and rows [r, r1)."""
 
-    def place(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["r", "i"], kind="stable")
-        at = spots(list(zip(part["r"], part["colspan"], part["rowspan"], strict=True)))
-        return part[["tbl", "r", "i", "empty"]].assign(c0=[x[0] for x in at], c1=[x[1] for x in at], r1=[x[2] for x in at])
+    def place(r: list[int], wide: list[int], high: list[int]) -> list[tuple[int, ...]]:
+        return list(zip(*spots(list(zip(r, wide, high, strict=True))), strict=True))
 
-    return cells.groupBy("tbl").applyInPandas(place, PLACED)
+    rows = cells.select("tbl", "r", "i", "colspan", "rowspan", "empty")
+    return by_group(rows, ["tbl"], ["r", "i"], ["r", "colspan", "rowspan"], place, "c0 long, c1 long, r1 long").drop("colspan", "rowspan")
 
 
 def headed(cells: DataFrame, readings: DataFrame) -> DataFrame:

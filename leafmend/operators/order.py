@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import by_group
+
 LATE_PAGES = 5
 
 
 def backbone(first: list[int], weight: list[int]) -> set[int]:
     """Places of the heaviest run whose first pages never go back; ties go to the earliest.
 
-    frontier holds the first pages at which a heavier run ends, both rising, so the best run to extend is
-    found by bisection.
+    frontier holds the first pages at which a heavier run ends, pages and weights rising, so the best run to
+    extend is found by bisection; of equal weights the earlier entry stays at the greater page.
     """
     frontier, holder, total, before = [], [], [], []
     for i, (page, w) in enumerate(zip(first, weight, strict=True)):
@@ -29,10 +30,9 @@ def backbone(first: list[int], weight: list[int]) -> set[int]:
         if at and total[holder[at - 1]] >= total[i]:
             continue
         low = high = bisect_left(frontier, page)
-        while high < len(frontier) and total[holder[high]] <= total[i]:
+        while high < len(frontier) and total[holder[high]] < total[i]:
             high += 1
-        if low < high or low == len(frontier) or frontier[low] != page:
-            frontier[low:high], holder[low:high] = [page], [i]
+        frontier[low:high], holder[low:high] = [page], [i]
     kept, i = set(), min(range(len(total)), key=lambda k: (-total[k], k), default=None)
     while i is not None:
         kept.add(i)
@@ -41,18 +41,15 @@ def backbone(first: list[int], weight: list[int]) -> set[int]:
 
 
 def in_order(entries: DataFrame) -> DataFrame:
-    """(book, parent, pos, first, last, in_order) of the entries that have pages and aren't skipped; a parent's children go to one task."""
+    """(book, parent, pos, first, last, in_order) of the entries that have pages and aren't skipped."""
 
-    def flag(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", kind="stable").reset_index(drop=True)
-        kept = backbone(part["first"].tolist(), (part["last"] - part["first"] + 1).tolist())
-        return part.assign(in_order=[i in kept for i in range(len(part))])
+    def flag(first: list[int], last: list[int]) -> list[list[bool]]:
+        kept = backbone(first, [b - a + 1 for a, b in zip(first, last, strict=True)])
+        return [[i in kept for i in range(len(first))]]
 
     used = entries.where("first is not null" + (" and not coalesce(skip, false)" if "skip" in entries.columns else ""))
-    kinds = dict(entries.dtypes)
-    schema = f"book {kinds['book']}, parent {kinds['parent']}, pos long, first long, last long"
     used = used.select("book", "parent", *(F.col(c).cast("long") for c in ("pos", "first", "last")))
-    return used.groupBy("book", "parent").applyInPandas(flag, schema + ", in_order boolean")
+    return by_group(used, ["book", "parent"], ["pos"], ["first", "last"], flag, "in_order boolean")
 
 
 def out_of_order(entries: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import by_group
+
 
 def first_reason(rules: list[tuple[Column, str]]) -> Column:
     """The reason of the first rule that holds; null where none does. A rule that is null doesn't hold."""
@@ -18,23 +20,20 @@ def apart(rows: DataFrame, keys: list[str], order: str, first: str, last: str, c
     Greedy in order, so a dropped row blocks no other. Kept intervals don't
     overlap, so each is compared with its two neighbours only.
     """
-    from bisect import bisect_right
 
-    def mark(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
+    def mark(lows: list, highs: list, compete: list[bool]) -> list[list[bool]]:
         starts, ends, met = [], [], []
-        for a, b, c in zip(part[first], part[last], part["_competes"], strict=True):
+        for a, b, c in zip(lows, highs, compete, strict=True):
             at = bisect_right(starts, b) if c else 0
-            hit = bool(c and at and ends[at - 1] >= a)
+            hit = bool(at and ends[at - 1] >= a)
             if c and not hit:
                 starts.insert(at, a)
                 ends.insert(at, b)
             met.append(hit)
-        return part.assign(overlaps=met).drop(columns="_competes")
+        return [met]
 
     marked = rows.withColumn("_competes", F.coalesce(competes, F.lit(False)))
-    schema = rows.withColumn("overlaps", F.lit(False)).schema
-    return marked.groupBy(*keys).applyInPandas(mark, schema)
+    return by_group(marked, keys, [order], [first, last, "_competes"], mark, "overlaps boolean").drop("_competes")
 
 
 def language_parts(parts: DataFrame, pages: int, tags: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
