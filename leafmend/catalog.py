@@ -17,7 +17,7 @@ FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats)
 
 def plans() -> dict[str, Callable]:
     """Name to function of a dialect, for every plan of every family."""
-    return {n: f for m in FAMILIES for n, f in vars(m).items() if callable(f) and getattr(f, "__module__", "") == m.__name__}
+    return {n: f for m in FAMILIES for n, f in vars(m).items() if not n.startswith("_") and callable(f) and getattr(f, "__module__", "") == m.__name__}
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:

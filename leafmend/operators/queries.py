@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms, words
 from ..streaming import outcomes
-from . import bands, grid, order, validate
+from . import bands, grid, order, trees, validate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,10 +121,37 @@ OUTCOMES = f"""SELECT user_id, CASE WHEN f.why = 'cap' OR (f.why IN ('done', 'er
     FROM (SELECT user_id, event_id, {_STEPS} AS why FROM events) GROUP BY user_id)"""
 
 
+def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of a tree over events (the parent of n is n / 3) by depth and the nearest container above."""
+    nodes = _table(spark, sf_dir, "events").selectExpr(
+        "event_id", "CASE WHEN event_id > 0 THEN event_id DIV 3 END AS parent", "CASE WHEN event_id = 0 THEN 'root' WHEN event_type IN ('view', 'signup') THEN event_type END AS container"
+    )
+    found = trees.inherited(nodes, "event_id", "parent", "container")
+    return found.groupBy("depth", F.col("inherited").alias("above")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+def table_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name any descendant of a branch (a node three below the root), attached to that branch."""
+    nodes = _table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id > 0 THEN event_id DIV 3 END AS parent", "CASE WHEN event_id BETWEEN 9 AND 26 THEN event_id END AS branch")
+    found = trees.inherited(nodes, "event_id", "parent", "branch").where("inherited is not null")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
+    return lines.join(found, F.col("l_orderkey") == F.col("event_id")).groupBy(F.col("inherited").alias("branch")).agg(F.count("*").alias("elements"), F.countDistinct("l_returnflag").alias("rules"))
+
+
+def _tree_sql(root: str, above: str) -> str:
+    return f"""WITH RECURSIVE tree(id, depth, above) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), {root}
+      UNION ALL SELECT e.event_id, t.depth + 1, {above} FROM tree t JOIN events e ON e.event_id // 3 = t.id AND e.event_id > 0)"""
+
+
+TREE_LEVELS = _tree_sql("'root'", "CASE WHEN e.event_type IN ('view', 'signup') THEN e.event_type ELSE t.above END") + " SELECT depth, above, count(*) AS n, min(id) AS first_id FROM tree GROUP BY depth, above"
+TABLE_DESCENDANTS = _tree_sql("CAST(NULL AS BIGINT)", "CASE WHEN e.event_id BETWEEN 9 AND 26 THEN e.event_id ELSE t.above END") + """
+    SELECT above AS branch, count(*) AS elements, count(DISTINCT l_returnflag) AS rules FROM tree JOIN lineitem ON l_orderkey = id WHERE above IS NOT NULL GROUP BY above"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [out_of_order, read_late_entries, language_parts, optional_steps, table_grid, band_near, suspect_words, weighted_distance, aligned_turns, outcome_states, streamed_outcomes]
+    found = [out_of_order, read_late_entries, language_parts, optional_steps, table_grid, band_near, suspect_words, weighted_distance, aligned_turns, outcome_states, streamed_outcomes, tree_levels, table_descendants]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"band_near": BAND_NEAR, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES}
+    return {"band_near": BAND_NEAR, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES, "tree_levels": TREE_LEVELS, "table_descendants": TABLE_DESCENDANTS}

@@ -92,3 +92,27 @@ def claimed_keys(d) -> str:
     return """
     SELECT doc_id, count(*) AS sets FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM documents WHERE n_chars > 3000
       UNION ALL SELECT doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id"""
+
+
+def pair_agreement(d) -> str:
+    """Labels of one language for each pair of judges: how often both say the same."""
+    judges = " UNION ALL ".join(f"SELECT doc_id, {i} AS judge, {e} AS v FROM labels" for i, e in enumerate(("quality", "toxic", "(quality + toxic) % 2")))
+    return f"""
+    WITH j AS ({judges}) SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n, CAST(sum(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS BIGINT) AS same
+    FROM j a JOIN j b ON a.doc_id = b.doc_id AND a.judge < b.judge GROUP BY a.judge, b.judge"""
+
+
+def update_join(d) -> str:
+    """A reviewer's choices laid over decisions: rejected ones go, changed ones take the new value, others stay."""
+    return """
+    SELECT a.doc_id, CASE WHEN b.choice = 'change' THEN b.v ELSE a.quality END AS quality, coalesce(b.choice, 'none') AS choice
+    FROM labels a LEFT JOIN (SELECT doc_id, 1 - quality AS v, CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'change' ELSE 'reject' END AS choice FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id
+    WHERE b.choice IS DISTINCT FROM 'reject'"""
+
+
+def level_sections(d) -> str:
+    """Each heading's interval: up to the next of the same or a higher level."""
+    return """
+    SELECT h.conv_id, h.turn, min(n.turn) AS until FROM (SELECT conv_id, turn, length(text) % 3 AS level FROM conversations) h
+    LEFT JOIN (SELECT conv_id, turn, length(text) % 3 AS level FROM conversations) n ON n.conv_id = h.conv_id AND n.turn > h.turn AND n.level <= h.level
+    GROUP BY h.conv_id, h.turn"""

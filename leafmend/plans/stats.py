@@ -136,3 +136,36 @@ def session_mirror(d) -> str:
 def batch_states(d) -> str:
     """Batches by month: counts by state, first date, cost."""
     return """SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY year(o_orderdate), month(o_orderdate)"""
+
+
+def style_summary(d) -> str:
+    """Elements by style: how many, first and last place, first sample with text; styles of few, short elements are rare."""
+    return """
+    SELECT p_brand, count(*) AS n, min(p_partkey) AS first_id, max(p_partkey) AS last_id, min_by(p_name, p_partkey) AS sample, count(*) <= 30 AND avg(length(p_name)) <= 110 AS rare
+    FROM part GROUP BY p_brand"""
+
+
+def mcnemar_exact(d) -> str:
+    """Exact two-sided p of discordant pairs, by source, from running sums of logarithms."""
+    return f"""
+    WITH pairs AS (SELECT source, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 AND l.doc_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c
+      FROM labels l JOIN documents x ON l.doc_id = x.doc_id GROUP BY source),
+    terms AS (SELECT source, i, sum(CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE ln(CAST(b + c - i + 1 AS DOUBLE) / CAST(i AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) - (b + c) * ln(CAST(2 AS DOUBLE)) AS z
+      FROM (SELECT source, b, c, CAST(i AS BIGINT) AS i FROM pairs {d.each(d.numbers("CAST(0 AS BIGINT)", "least(b, c)"), "i")}))
+    SELECT p.source, b, c, round(CASE WHEN b + c = 0 THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), 2 * s) END, 6) AS p FROM pairs p
+    JOIN (SELECT source, sum(exp(z)) AS s FROM terms GROUP BY source) t ON p.source IS NOT DISTINCT FROM t.source"""
+
+
+def held_summary(d) -> str:
+    """Held rows by kind, most first, with a fingerprint of their sorted keys that notices any change."""
+    return f"""SELECT event_type, count(*) AS n, {d.sha256(d.joined("CAST(user_id AS STRING)"))} AS fingerprint
+    FROM (SELECT DISTINCT event_type, user_id FROM events WHERE value > 50) GROUP BY event_type"""
+
+
+def backtest_report(d) -> str:
+    """Predictions from a customer's earlier mean: share within a quarter and a half, and the median ratio, by priority."""
+    return f"""
+    SELECT o_orderpriority, count(*) AS n, round(avg(CASE WHEN abs(o_totalprice / m - 1) <= 0.25 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS within_25,
+      round(avg(CASE WHEN abs(o_totalprice / m - 1) <= 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS within_50, round({d.median("o_totalprice / m")}, 6) AS bias FROM (
+      SELECT o_orderpriority, o_totalprice, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS m FROM orders)
+    WHERE m IS NOT NULL GROUP BY o_orderpriority"""

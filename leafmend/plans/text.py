@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def repeated_lines(d) -> str:
@@ -144,3 +145,50 @@ def grouping_two_level(d) -> str:
 def cleaned_text(d) -> str:
     """Control characters go and line ends become plain; the result by its hash."""
     return f"SELECT doc_id, {d.sha256(d.replaced('text', r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ''))} AS hash FROM documents"
+
+
+def bag_diff(d) -> str:
+    """Characters of a document that the next of its source lacks or has too many of, in any order, for each of its own.
+
+    Counted within the row, so nothing but the neighbours' order is shuffled.
+    """
+    gap = "abs(length(text) - length(replace(text, c, '')) - length(later) + length(replace(later, c, '')))"
+    return f"""
+    SELECT doc_id, round(CAST({d.summed(d.characters("concat(text, later)"), "c", gap)} AS DOUBLE) / greatest(length(text), 1), 6) AS rate
+    FROM (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS later FROM documents) WHERE later IS NOT NULL"""
+
+
+def duplicate_text_flags(d) -> str:
+    """Titles of pages as alternative texts: a file name, without letters, or used on three pages or more."""
+    return f"""
+    SELECT page_id, CASE WHEN {d.matches("lower(t)", "[.](jpe?g|png|gif|tiff?|pdf)$")} THEN 'file name' WHEN NOT {d.matches("t", r"\pL")} THEN 'no letters' WHEN n >= 3 THEN 'repeated' END AS flag
+    FROM (SELECT page_id, t, count(*) OVER (PARTITION BY t) AS n FROM (SELECT page_id, trim({d.first("html", "<title>([^<]*)</title>")}) AS t FROM pages
+      UNION ALL SELECT id, t FROM (VALUES (-1, 'fig1.PNG'), (-2, '12 - 3'), (-3, 'A map'), (-4, 'A map'), (-5, 'A map'), (-6, 'A plan')) AS v(id, t)))"""
+
+
+def loose_keys(d) -> str:
+    """Words that fall together when all but letters and digits is left out, case aside."""
+    return f"""
+    SELECT key, count(DISTINCT w) AS spellings, count(*) AS n FROM (SELECT w, lower({d.replaced("w", r"[^\pL\pN]", "")}) AS key FROM documents {d.each(d.found("text", WORD), "w")})
+    WHERE key <> '' GROUP BY key HAVING count(DISTINCT w) > 1"""
+
+
+def excerpts(d) -> str:
+    """The first 100 characters of a document, cut at a word's end."""
+    flat = f"trim({d.replaced('text', WHITE, ' ')})"
+    return f"""
+    SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE concat({d.replaced("substr(t, 1, 100)", " [^ ]*$", "")}, '…') END AS excerpt
+    FROM (SELECT doc_id, {flat} AS t FROM documents WHERE text IS NOT NULL)"""
+
+
+def markdown_escaped(d) -> str:
+    """Texts safe for Markdown, by the hash of the result: marks are escaped, quotes begin with '> '."""
+    return f"""
+    SELECT doc_id, {d.sha256("concat('> ', replace(" + d.replaced("text", r"([\\`*_\[\]<>#|])", d.escaped) + ", chr(10), concat(chr(10), '> ')))")} AS hash
+    FROM documents WHERE text IS NOT NULL"""
+
+
+def stem_names(d) -> str:
+    """Addresses as names: the last part without its ending, dashes as spaces."""
+    last = d.first("url", "([^/?#]*)/*(?:[?#].*)?$")
+    return f"""SELECT page_id, trim({d.replaced(d.replaced(last, "[.][A-Za-z0-9]+$", ""), "[-_]+", " ")}) AS stem FROM pages"""

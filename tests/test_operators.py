@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmend.functions import forms, words
-from leafmend.operators import bands, grid, order, validate
+from leafmend.operators import bands, grid, order, trees, validate
 from leafmend.operators.groups import by_group
 from leafmend.streaming import outcomes
 
@@ -197,3 +197,25 @@ def test_outcomes_over_tables_and_streams(spark, tmp_path):
     assert {r.k: r.outcome for r in outcomes.drained(spark, stream, state).collect()} == want
     last = outcomes.latest(df, ["k"], "seq")
     assert last.columns == df.columns and {r.k: r.seq for r in last.collect()} == {k: max(s for kk, s, _ in rows if kk == k) for k in range(80)}
+
+
+def test_inherited(spark):
+    rng = random.Random(19)
+    rows = [(i, None if i < 3 else rng.randint(max(0, i - 3), i - 1), rng.choice([None, None, f"v{i}"])) for i in range(90)]
+    rows += [(200, 201, "x"), (201, 200, None), (300, 999, None), (5, rows[5][1], rows[5][2])]
+    by = {n: (p, v) for n, p, v in rows}
+
+    def climb(n, steps=0):
+        p, v = by[n]
+        if steps > 100:
+            return None, v
+        if p not in by:
+            return 0, v
+        d, above = climb(p, steps + 1)
+        return None if d is None else d + 1, v if v is not None else above
+
+    got = {r.n: (r.depth, r.inherited) for r in trees.inherited(spark.createDataFrame(rows, "n int, p int, v string"), "n", "p", "v").collect()}
+    want = {n: climb(n) for n in by if n not in (200, 201)}
+    assert {n: x for n, x in got.items() if n not in (200, 201)} == want
+    assert got[200][0] is None and got[201] == (None, "x")
+    assert trees.inherited(spark.createDataFrame([], "n int, p int, v string"), "n", "p", "v").count() == 0
