@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmend.functions import forms, words
-from leafmend.operators import bands, grid, order, trees, validate
+from leafmend.operators import bands, grid, order, trees, validate, workorder
 from leafmend.operators.groups import by_group
 from leafmend.streaming import outcomes
 
@@ -219,3 +219,25 @@ def test_inherited(spark):
     assert {n: x for n, x in got.items() if n not in (200, 201)} == want
     assert got[200][0] is None and got[201] == (None, "x")
     assert trees.inherited(spark.createDataFrame([], "n int, p int, v string"), "n", "p", "v").count() == 0
+
+
+def test_work_order(spark):
+    make = spark.createDataFrame
+    whys = lambda df, key: {r[key]: r.why for r in df.collect()}
+    got = whys(workorder.rolemap(make([("a", "P"), ("b", "Figure"), ("c", "P"), (None, "P"), ("d", None)], "style string, target string"), make([("a",), ("b",), ("d",), ("a",)], "s string")), "style")
+    assert got == {"a": None, "b": "target not allowed", "c": "unknown style", None: "unknown style", "d": "target not allowed"}
+    got = whys(workorder.retypes(make([(1, "Figure"), (2, "Table"), (3, "P")], "obj int, type string"), make([(1,), (2,)], "o int")), "obj")
+    assert got == {1: None, 2: "type not allowed", 3: "unknown obj"}
+    objects = make([(i,) for i in range(1, 6)], "o int")
+    got = whys(workorder.alts(make([(1, "a"), (2, " \n"), (3, "a"), (4, "a"), (9, "a")], "obj int, alt string"), objects, make([(1,), (2,), (4,)], "o int"), make([(4,)], "o int")), "obj")
+    assert (got[1], got[2], got[3], got[9]) == (None, "not a figure or empty alt", "not a figure or empty alt", "unknown obj") and got[4].startswith("its image was not sent")
+    items = make([(1, "Molokaʻi"), (2, "x"), (3, "is"), (4, " "), (5, "a b"), (6, "uvwxyz"), (7, "a" * 81), (8, "x"), (9, None)], "id int, reads string")
+    scanned = make([(1, "Molokai"), (3, "is"), (4, "is"), (5, "is"), (6, "abcdef"), (7, "a"), (8, "y"), (9, "z")], "id int, text string")
+    got = whys(workorder.word_readings(items, scanned, make([(i,) for i in (1, 3, 4, 5, 6, 7, 9)], "id int")), "id")
+    far = "too different from the OCR text to be a misreading of it"
+    assert got == {1: None, 2: "unknown id", 3: "same as the OCR text", 4: "empty", 5: "not one word", 6: far, 7: "not one word", 8: "its word sheet was not sent", 9: "empty"}
+    got = whys(workorder.page_readings(make([(1, 2, " "), (2, 2, "a"), (3, 2, "b"), (4, 9, "c"), (5, None, "c"), (6, 1, "d")], "pos int, page int, text string"), 5), "pos")
+    assert got == {1: "empty", 2: None, 3: "the same page twice", 4: "bad page", 5: "bad page", 6: None}
+    out = workorder.deferral_pages(make([("a", [1, 9, None]), ("b", [2]), ("c", [0]), ("d", None)], "what string, pages array<int>"), 5)
+    cut = "not PDF page numbers in range"
+    assert {r.what: (r.pages, r.why) for r in out.collect()} == {"a": ([1], cut), "b": ([2], None), "c": (None, cut), "d": (None, None)}
