@@ -25,7 +25,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that announce a credential, and how its value is written after them.
 _CONTEXT = re.compile(
-    r"""(?ai)(?<![a-z])(?:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*(?:"([^"\n]{1,256})"|'([^'\n]{1,256})'|([^\s"',;<>]{1,256}))"""
+    r"""(?ai)(?<![a-z])(?:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))"""
 )
 #: Decimal exponent of the guesses from which a value is a secret.
 GUESSES = 10.0
@@ -42,52 +42,59 @@ _NEXT = {a + b for r in ROWS for s in (r, r[::-1]) for a, b in zip(s, s[1:], str
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
 
 
-def _spans(v: str, words: dict[str, int]) -> Iterator[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of the patterns in a value."""
-    low = v.lower()
-    plain = low.translate(_LEET)
-    n, longest = len(v), max(map(len, words), default=0)
+def _words(v: str, low: str, plain: str, i: int, longest: int, words: dict[str, int]) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of the dictionary words that start at i."""
+    for j in range(i + 3, min(len(v), i + longest) + 1):
+        for form, extra in ((low, 0.0), (plain, 0.5)):
+            if rank := words.get(form[i:j]):
+                yield j, math.log10(rank + 1) + extra + (0.3 if v[i:j] != low[i:j] else 0.0)
+                break
+
+
+def _spans(v: str, low: str) -> Iterator[list[tuple[int, float]]]:
+    """For each start in turn the (end, log10 guesses) of the other patterns; nothing is looked at before it is asked for."""
+    n = len(v)
+    dates = _DATE.finditer(v)
+    date = next(dates, None)
+    pieces = dict.fromkeys(range(2, min(16, n // 2) + 1), 0)  # length of a piece: where it is looked for next
+    same = steps = row = 0  # the same for one character, steps of one; the end of the last run on a keyboard row
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.5)):
-                if rank := words.get(form[i:j]):
-                    yield i, j, math.log10(rank + 1) + extra + (0.3 if v[i:j] != low[i:j] else 0.0)
-                    break
-    for m in _DATE.finditer(v):
-        yield m.start(), m.end(), math.log10(120 if m.end() - m.start() == 4 else 36_500)
-    i = 0
-    while i < n:  # one character again and again
-        j = i + 1
-        while j < n and v[j] == v[i]:
-            j += 1
-        if j - i >= 3:
-            yield i, j, math.log10(12 * (j - i))
-        i = j
-    for k in range(2, min(16, n // 2) + 1):  # a longer piece again and again
-        i = 0
-        while i + 2 * k <= n:
-            j = i + k
-            while j < n and v[j] == v[j - k]:
+        out = []
+        if date and date.start() == i:
+            out.append((date.end(), math.log10(120 if date.end() - i == 4 else 36_500)))
+            date = next(dates, None)
+        if i == same:  # one character again and again
+            j = i + 1
+            while j < n and v[j] == v[i]:
+                j += 1
+            if j - i >= 3:
+                out.append((j, math.log10(12 * (j - i))))
+            same = j
+        for k, at in pieces.items():  # a longer piece again and again
+            if i == at and i + 2 * k <= n:
+                j = i + k
+                while j < n and v[j] == v[j - k]:
+                    j += 1
+                if j - i >= 2 * k:
+                    out.append((j, math.log10(j - i) + _brute(v[i : i + k])))
+                    pieces[k] = j
+                else:
+                    pieces[k] = i + 1
+        if i == steps and i < n - 1:  # steps of one along the alphabet, the digits or a keyboard row
+            j = i + 1
+            step = ord(low[j]) - ord(low[i])
+            while j < n and abs(step) == 1 and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
                 j += 1
-            if j - i >= 2 * k:
-                yield i, j, math.log10(j - i) + _brute(v[i : i + k])
-                i = j
-            else:
-                i += 1
-    i = 0
-    while i < n - 1:  # steps of one along the alphabet, the digits or a keyboard row
-        j = i + 1
-        step = ord(low[j]) - ord(low[i])
-        while j < n and abs(step) == 1 and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-            j += 1
-        if j - i >= 3:
-            yield i, j, math.log10(26 * (j - i))
-        k = i + 1
-        while k < n and low[k - 1 : k + 1] in _NEXT:
-            k += 1
-        if k - i >= 3:
-            yield i, k, math.log10(94 * (k - i) * 2)
-        i = max(i + 1, (j if j - i >= 3 else i + 1) - 1)
+            if j - i >= 3:
+                out.append((j, math.log10(26 * (j - i))))
+            if row <= i:
+                row = i + 1
+                while row < n and low[row - 1 : row + 1] in _NEXT:
+                    row += 1
+            if row - i >= 3:
+                out.append((row, math.log10(94 * (row - i) * 2)))
+            steps = max(i + 1, (j if j - i >= 3 else i + 1) - 1)
+        yield out
 
 
 def _one(v: str, i: int) -> float:
@@ -104,27 +111,48 @@ def _brute(piece: str) -> float:
     return sum(_one(piece, i) for i in range(len(piece)))
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
-    """The least log10 of guesses over all segmentations of value.
+def guess_cost(value: str, words: dict[str, int] | None = None, most: float = math.inf) -> float:
+    """The least log10 of guesses over all segmentations of value; infinite where it is most or more.
 
     Best cost to each position by the pattern or single character that ends
-    there; each pattern adds a factor for the order of parts. Empty: 0.
+    there; each pattern adds a factor for the order of parts. Empty: 0. Costs
+    only grow along a segmentation, so positions that take most or more are
+    left, and a value is read no further than the last position still open:
+    values of any length are costed whole.
     """
     words = words if words is not None else DICTIONARY
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, c in _spans(value, words):
-        ends.setdefault(j, []).append((i, c))
-    best = [0.0] * (len(value) + 1)
-    for j in range(1, len(value) + 1):
-        best[j] = best[j - 1] + _one(value, j - 1)
-        for i, c in ends.get(j, ()):
-            best[j] = min(best[j], best[i] + c + (math.log10(2) if i else 0.0))
-    return best[-1]
+    n, low, longest = len(value), value.lower(), max(map(len, words), default=0)
+    plain = low.translate(_LEET)
+    open_ = {0: 0.0}
+    for i, spans in enumerate(_spans(value, low)):
+        if not open_:
+            return math.inf
+        cost = open_.pop(i, None)
+        if cost is None:
+            continue
+        order = math.log10(2) if i else 0.0
+        reached = [(i + 1, cost + _one(value, i)), *((j, cost + c + order) for j, c in (*spans, *_words(value, low, plain, i, longest, words)))]
+        for j, c in reached:
+            if c < most and c < open_.get(j, math.inf):
+                open_[j] = c
+    return open_.get(n, math.inf)
 
 
 DICTIONARY = {w: i + 1 for i, w in enumerate(COMMON)}
 
 
+def _gaps(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of a value."""
+    for s, e, _ in spans:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def find(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in a text, by start, then by the order of KINDS."""
     text = text or ""
@@ -135,8 +163,8 @@ def find(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str
     base = sorted(found)
     for m in _CONTEXT.finditer(text):
         k = m.lastindex
-        if k and not any(s < m.end(k) and m.start(k) < e for s, e, _ in base) and guess_cost(m[k]) >= guesses:
-            found.append((m.start(k), m.end(k), "guess"))
+        if k:
+            found += [(s, e, "guess") for s, e in _gaps(m.start(k), m.end(k), base) if guess_cost(text[s:e], most=guesses) >= guesses]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
