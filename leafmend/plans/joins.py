@@ -65,11 +65,14 @@ def point_in_box(d) -> str:
 
 
 def asof_backtest(d) -> str:
-    """Each large order against the mean of the same customer's earlier ones."""
-    return """
-    SELECT c.o_orderkey, count(t.o_orderkey) AS seen, round(avg(t.o_totalprice), 2) AS predicted
-    FROM orders c LEFT JOIN orders t ON t.o_custkey = c.o_custkey AND t.o_orderdate < c.o_orderdate
-    WHERE c.o_totalprice > 300000 GROUP BY c.o_orderkey"""
+    """Each order against the mean of the same customer's earlier ones: running sums by day, nothing paired."""
+    earlier = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+    WITH days AS (SELECT o_custkey, o_orderdate, count(*) AS n, count(o_totalprice) AS priced, sum(o_totalprice) AS total FROM orders
+      WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY o_custkey, o_orderdate),
+    known AS (SELECT o_custkey, o_orderdate, sum(n) {earlier} AS n, sum(priced) {earlier} AS priced, sum(total) {earlier} AS total FROM days)
+    SELECT c.o_orderkey, CAST(coalesce(k.n, 0) AS BIGINT) AS seen, floor(round(100 * k.total / CASE WHEN k.priced > 0 THEN k.priced END, 6) + 0.5) / 100 AS predicted
+    FROM orders c LEFT JOIN known k ON k.o_custkey = c.o_custkey AND k.o_orderdate = c.o_orderdate"""
 
 
 def carried_choices(d) -> str:

@@ -3,7 +3,9 @@
 import random
 import string
 
+from leafmend import catalog
 from leafmend.llm import secrets
+from leafmend.plans.dialect import Spark
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +19,19 @@ def test_long_secrets():
     assert secrets.find(f'auth: "{"z" * 5000}"') == [] and secrets.guess_cost("qw" * 30_000, most=10.0) < 10
     text = f"auth: {v}{'0123456789abcdef' * 2} end"
     assert secrets.redact(text, secrets.find(text)) == "auth: [SECRET][SECRET] end"
+
+
+def _rows(spark, name, **tables):
+    """A plan's rows over small tables."""
+    sql = catalog.plans()[name](Spark())
+    for t, df in tables.items():
+        df.createOrReplaceTempView(t)
+    return spark.sql(sql).collect()
+
+
+def test_asof_predicts_every_order(spark):
+    day = lambda n: f"2020-01-0{n}"
+    rows = [(1, 7, 100.0, day(1)), (2, 7, 200.01, day(2)), (3, 7, 5.0, day(2)), (4, 7, 1.0, day(3)), (5, 8, 400000.0, day(1)), (6, None, 1.0, day(1)), (7, None, 1.0, day(2)), (8, 7, 2.0, None)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
+    got = {r.o_orderkey: (r.seen, r.predicted) for r in _rows(spark, "asof_backtest", orders=orders)}
+    assert got == {1: (0, None), 2: (1, 100.0), 3: (1, 100.0), 4: (3, 101.67), 5: (0, None), 6: (0, None), 7: (0, None), 8: (0, None)}
