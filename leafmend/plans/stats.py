@@ -148,7 +148,7 @@ def style_summary(d) -> str:
 def mcnemar_exact(d) -> str:
     """Exact two-sided p of discordant pairs, by source, from running sums of logarithms."""
     return f"""
-    WITH pairs AS (SELECT source, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 AND l.doc_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c
+    WITH pairs AS (SELECT source, CAST(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS b, CAST(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c
       FROM labels l JOIN documents x ON l.doc_id = x.doc_id GROUP BY source),
     terms AS (SELECT source, i, sum(CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE ln(CAST(b + c - i + 1 AS DOUBLE) / CAST(i AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) - (b + c) * ln(CAST(2 AS DOUBLE)) AS z
       FROM (SELECT source, b, c, CAST(i AS BIGINT) AS i FROM pairs {d.each(d.numbers("CAST(0 AS BIGINT)", "least(b, c)"), "i")}))

@@ -35,3 +35,11 @@ def test_asof_predicts_every_order(spark):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
     got = {r.o_orderkey: (r.seen, r.predicted) for r in _rows(spark, "asof_backtest", orders=orders)}
     assert got == {1: (0, None), 2: (1, 100.0), 3: (1, 100.0), 4: (3, 101.67), 5: (0, None), 6: (0, None), 7: (0, None), 8: (0, None)}
+
+
+def test_mcnemar_counts_all_discordant_pairs(spark):
+    pairs = [(1, 0)] * 10 + [(0, 1)] * 2 + [(1, 1)] * 3
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(pairs, 1)], "doc_id long, quality long, toxic long")
+    documents = spark.createDataFrame([(i, "s") for i in range(1, len(pairs) + 1)], "doc_id long, source string")
+    (row,) = _rows(spark, "mcnemar_exact", labels=labels, documents=documents)
+    assert (row.b, row.c, row.p) == (10, 2, round(2 * (1 + 12 + 66) / 2**12, 6))
