@@ -4,6 +4,20 @@ from __future__ import annotations
 
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
+#: Characters for classes of regular expressions: all white space, of Unicode too; those of CJK scripts, without and with full-width forms or compatibility ideographs.
+SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+CJK = r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{AC00}-\x{D7AF}"
+CJK_WIDE, CJK_COMPAT = CJK + r"\x{FF00}-\x{FFEF}", CJK + r"\x{F900}-\x{FAFF}"
+#: Signs that words are stripped of at their edges, and those that make a word junk.
+EDGES = r".,;:!?()\[\]\x22\x27"
+EDGES_MORE = EDGES + "’‘“”–—-"
+JUNK = r"[#@®©&§¶|\\^~{}<>¤¢£¥€°±×÷=+*_™]"
+
+
+def _stripped(d, edges: str) -> str:
+    """Documents' words without these signs at their edges, as column w; each text has one more that is empty (the stop), so that none is left out."""
+    core = d.replaced("raw", f"^[{edges}]+|[{edges}]+$", "")
+    return f"""(SELECT doc_id, {core} AS w FROM (SELECT doc_id, concat(coalesce(text, ''), ' .') AS text FROM documents) {d.each(d.found("text", f"[^{SPACES}]+"), "raw")})"""
 
 
 def repeated_lines(d) -> str:
@@ -36,12 +50,18 @@ def text_quality_by_source(d) -> str:
 
 
 def junk_stats(d) -> str:
-    """Share of junk words; a document is flagged from a share of 0.05 of 30 words or more."""
+    """Share of junk words; a document is flagged from a share of 0.05 of 30 words or more.
+
+    Junk is a word with a junk sign, capitals without a vowel, or letters and
+    digits mixed other than ordinals; CJK words are fine.
+    """
+    capitals = f"w = upper(w) AND w <> lower(w) AND {d.matches('w', '[A-Za-z][^A-Za-z]*[A-Za-z]')} AND NOT {d.matches('w', '[AEIOUY]')}"
+    mixed = f"{d.matches('w', '[A-Za-z]')} AND {d.matches('w', r'\p{Nd}')} AND NOT {d.matches('w', r'^\p{Nd}+(st|nd|rd|th|s|[a-z])$')}"
     return f"""
-    SELECT doc_id, tokens, junk, round(junk / tokens, 6) AS share, tokens >= 30 AND junk / tokens >= 0.05 AS flagged FROM (
-      SELECT doc_id, CAST(count(*) AS DOUBLE) AS tokens, CAST(sum(CASE WHEN {d.matches("w", "[#*$%&|<>]{2,}")} THEN 1 ELSE 0 END) AS DOUBLE) AS junk
-      FROM documents {d.each(d.found("text", WORD), "w")} GROUP BY doc_id)
-    WHERE junk > 0"""
+    SELECT doc_id, tokens, junk, round(junk / greatest(tokens, 1), 6) AS share, tokens >= 30 AND junk / greatest(tokens, 1) >= 0.05 AS flagged FROM (
+      SELECT doc_id, CAST(sum(CASE WHEN w <> '' THEN 1 ELSE 0 END) AS DOUBLE) AS tokens,
+        CAST(sum(CASE WHEN NOT {d.matches("w", f"[{CJK_COMPAT}]")} AND ({d.matches("w", JUNK)} OR {capitals} OR {mixed}) THEN 1 ELSE 0 END) AS DOUBLE) AS junk
+      FROM {_stripped(d, EDGES_MORE)} GROUP BY doc_id)"""
 
 
 def textlike_gate(d) -> str:

@@ -43,3 +43,10 @@ def test_mcnemar_counts_all_discordant_pairs(spark):
     documents = spark.createDataFrame([(i, "s") for i in range(1, len(pairs) + 1)], "doc_id long, source string")
     (row,) = _rows(spark, "mcnemar_exact", labels=labels, documents=documents)
     assert (row.b, row.c, row.p) == (10, 2, round(2 * (1 + 12 + 66) / 2**12, 6))
+
+
+def test_junk_has_all_rules(spark):
+    texts = ["f7 MBH #x a*b (c®) 12 3rd 4a 1990s Word AE 漢7 “–” x", "plain words", "", None]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.tokens, r.junk, r.flagged) for r in _rows(spark, "junk_stats", documents=documents)}
+    assert got == {0: (13, 5, False), 1: (2, 0, False), 2: (0, 0, False), 3: (0, 0, False)}
