@@ -42,10 +42,11 @@ def suspect_forms_topk(d) -> str:
 
 
 def text_quality_by_source(d) -> str:
-    """Suspect words for each 1000 words of a source."""
+    """Suspect words for each 1000 words of a source: a letter by itself other than a, A and I, or anything but letters, quotes and stops between letters."""
+    between = rf"[A-Za-z][^A-Za-z{SPACES}\x27’\-.,;:!?)\]”\x22]+[A-Za-z]"
     return f"""
     SELECT source, count(*) AS tokens, CAST(sum(bad) AS BIGINT) AS suspect, round(CAST(1000 AS DOUBLE) * sum(bad) / count(*), 4) AS per_thousand
-    FROM (SELECT source, CASE WHEN {d.matches("w", "[A-Za-z][#*$%&|<>@=+_]+[A-Za-z]?")} THEN 1 ELSE 0 END AS bad FROM documents {d.each(d.found("text", WORD), "w")})
+    FROM (SELECT source, CASE WHEN {d.matches("w", r"^\pL$")} AND w NOT IN ('a', 'A', 'I') OR {d.matches("w", between)} THEN 1 ELSE 0 END AS bad FROM documents {d.each(d.found("text", f"[^{SPACES}]+"), "w")})
     GROUP BY source"""
 
 
@@ -65,11 +66,12 @@ def junk_stats(d) -> str:
 
 
 def textlike_gate(d) -> str:
-    """Text is like text from 15 wordlike words and a share of 0.6."""
+    """Text is like text from 15 wordlike words and a share of 0.6: two letters or more with a vowel, or any CJK character."""
+    wordlike = f"{d.matches('w', r'^[\pL\p{Nl}\p{No}]{2,}$')} AND {d.matches('w', '[aeiouyAEIOUY]')} OR {d.matches('w', f'[{CJK_WIDE}]')}"
     return f"""
     SELECT doc_id, tokens, wordlike, wordlike >= 15 AND wordlike >= 0.6 * tokens AS textlike FROM (
-      SELECT doc_id, count(*) AS tokens, CAST(sum(CASE WHEN {d.matches("w", r"^[^\pL\pN]*\pL{2,}[^\pL\pN]*$")} THEN 1 ELSE 0 END) AS BIGINT) AS wordlike
-      FROM documents {d.each(d.found("text", WORD), "w")} GROUP BY doc_id)"""
+      SELECT doc_id, CAST(sum(CASE WHEN w <> '' THEN 1 ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(CASE WHEN {wordlike} THEN 1 ELSE 0 END) AS BIGINT) AS wordlike
+      FROM {_stripped(d, EDGES)} GROUP BY doc_id)"""
 
 
 def script_histogram(d) -> str:

@@ -50,3 +50,12 @@ def test_junk_has_all_rules(spark):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.tokens, r.junk, r.flagged) for r in _rows(spark, "junk_stats", documents=documents)}
     assert got == {0: (13, 5, False), 1: (2, 0, False), 2: (0, 0, False), 3: (0, 0, False)}
+
+
+def test_suspect_words_and_wordlike_words(spark):
+    texts = ["a A I b é x, don't re-do h3llo t;l¢e n¢d u7 a*b", "brr 漢 (word) x2 Ab, hm ½y ok", ""]
+    documents = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    (row,) = _rows(spark, "text_quality_by_source", documents=documents.where("doc_id = 0"))
+    assert (row.tokens, row.suspect) == (13, 6)
+    got = {r.doc_id: (r.tokens, r.wordlike) for r in _rows(spark, "textlike_gate", documents=documents)}
+    assert got == {0: (13, 0), 1: (8, 5), 2: (0, 0)}
