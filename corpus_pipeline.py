@@ -21,11 +21,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row with the component's own doc_id stays; rows that repeat it stay with it once."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(kept(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.select(*docs.columns)
+    """Of each SimHash component one row stays: that of the smallest doc_id, nulls last, and of its rows the first.
+
+    Rows are numbered and kept before the search, so equal rows, rows without
+    a doc_id and different texts of one doc_id are told apart.
+    """
+    rows = kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    named = found.select("component_id", F.col("doc_id").alias("_row")).join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(kept(first.select("first._row")), "_row", "left_semi").select(*docs.columns)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import string
 
+import corpus_pipeline
 from leafmend import catalog
 from leafmend.llm import secrets
 from leafmend.plans.dialect import Spark
@@ -59,3 +60,12 @@ def test_suspect_words_and_wordlike_words(spark):
     assert (row.tokens, row.suspect) == (13, 6)
     got = {r.doc_id: (r.tokens, r.wordlike) for r in _rows(spark, "textlike_gate", documents=documents)}
     assert got == {0: (13, 0), 1: (8, 5), 2: (0, 0)}
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i * i}" for i in range(60)) for x in ("apple", "brick", "cloud"))
+    rows = [(5, a), (5, a), (None, a), (7, b), (7, c), (3, c), (None, "lone words of no other kind"), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_copies_out(spark, docs, SF)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(5, a), (7, b), (3, c), (None, "lone words of no other kind"), (9, None)], key=str)
