@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms, words
+from ..plans.text import SPACES
 from ..streaming import outcomes
-from . import bands, grid, order, trees, validate
+from . import bands, copies, grid, order, trees, validate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,21 @@ BAND_NEAR = """SELECT a.p_partkey, count(*) AS near_n, min(b.p_partkey) AS first
     AND abs(a.p_retailprice - b.p_retailprice) <= 2 AND a.p_partkey <> b.p_partkey GROUP BY a.p_partkey"""
 
 
+def copied_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which documents repeat 20 characters or more in a row, white space and case aside."""
+    found = copies.shared_runs(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum("shingles").alias("shingles"))
+
+
+def _shingles(table: str, key: str) -> str:
+    squashed = f"regexp_replace(replace(lower(text), 'ß', 'ss'), '[{SPACES}]+', '', 'g')"
+    return f"(SELECT DISTINCT {key}, substr(k, i, 20) AS s FROM (SELECT {key}, {squashed} AS k FROM {table}), unnest(range(1, length(k) - 18)) AS e(i))"
+
+
+COPIED_TEXT = f"""SELECT item_id, count(DISTINCT doc_id) AS documents, count(*) AS shingles
+    FROM {_shingles("benchmark", "item_id")} b JOIN {_shingles("documents", "doc_id")} t ON b.s = t.s GROUP BY item_id"""
+
+
 def suspect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms that a scan likely misread: how often, in how many documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("w"))
@@ -149,9 +165,9 @@ TABLE_DESCENDANTS = _tree_sql("CAST(NULL AS BIGINT)", "CASE WHEN e.event_id BETW
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [out_of_order, read_late_entries, language_parts, optional_steps, table_grid, band_near, suspect_words, weighted_distance, aligned_turns, outcome_states, streamed_outcomes, tree_levels, table_descendants]
+    found = [out_of_order, read_late_entries, language_parts, optional_steps, table_grid, band_near, copied_text, suspect_words, weighted_distance, aligned_turns, outcome_states, streamed_outcomes, tree_levels, table_descendants]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"band_near": BAND_NEAR, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES, "tree_levels": TREE_LEVELS, "table_descendants": TABLE_DESCENDANTS}
+    return {"band_near": BAND_NEAR, "copied_text": COPIED_TEXT, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES, "tree_levels": TREE_LEVELS, "table_descendants": TABLE_DESCENDANTS}

@@ -148,15 +148,6 @@ def token_estimate(d) -> str:
     return f"SELECT doc_id, CAST(floor(({cjk} + (length(text) - {cjk}) / CAST(3.5 AS DOUBLE)) * CAST(1.7 AS DOUBLE)) AS BIGINT) + 10 AS size FROM documents"
 
 
-def copied_text(d) -> str:
-    """Benchmark items of which documents repeat whole sentences of 30 characters or more, white space and case aside."""
-    key = d.replaced("lower(x)", r"[\x20\x09-\x0D]+", "")
-    sentences = lambda t, i: f"(SELECT DISTINCT {i}, key FROM (SELECT {i}, {key} AS key FROM {t} {d.each(d.split('text', '[.]'), 'x')}) WHERE length(key) >= 30)"
-    return f"""
-    SELECT item_id, count(DISTINCT doc_id) AS documents, count(*) AS sentences
-    FROM {sentences("benchmark", "item_id")} b JOIN {sentences("documents", "doc_id")} t ON b.key = t.key GROUP BY item_id"""
-
-
 def grouping_two_level(d) -> str:
     """Places by language, and by language and source, in one pass."""
     return """

@@ -6,6 +6,7 @@ import string
 import corpus_pipeline
 from leafmend import catalog
 from leafmend.llm import secrets
+from leafmend.operators import copies
 from leafmend.plans.dialect import Spark
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,11 @@ def test_one_row_of_each_component_stays(spark):
     out = corpus_pipeline.near_copies_out(spark, docs, SF)
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(5, a), (7, b), (3, c), (None, "lone words of no other kind"), (9, None)], key=str)
+
+
+def test_copied_runs_cross_and_split_sentences(spark):
+    items = spark.createDataFrame([(1, "One short. Sentences that end. Here and there, often."), (2, "abcdefghij KLMNOPQRSTU"), (3, "too short"), (4, None)], "item_id long, text string")
+    texts = ["Quoted: sentences THAT end. here and x", "xxabcdefghijk lmnopqrstyy", "abcdefghijklmnopqrs", None, "aabcdefghij klmnopqrstu"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, copies.shared_runs(items, docs).collect())) == [(1, 0, 5), (2, 1, 1), (2, 4, 2)]
+    assert copies.shared_runs(items.where("false"), docs).count() == 0 == copies.shared_runs(items, docs.where("false")).count()
