@@ -91,7 +91,7 @@ class Model:
 
 def voted(low: str, text: str) -> list[int]:
     """The pattern voters' votes on a whole text."""
-    return [int(" you" in low and bool(_YOU.search(text))), int("!!!" in text)]
+    return [int(bool(_YOU.search(text))), int("!!!" in text)]
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, trust: float = TRUST, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

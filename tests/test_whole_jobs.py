@@ -5,7 +5,7 @@ import string
 
 import corpus_pipeline
 from leafmend import catalog
-from leafmend.llm import secrets
+from leafmend.llm import secrets, toxicity
 from leafmend.operators import copies
 from leafmend.plans.dialect import Spark
 
@@ -78,3 +78,9 @@ def test_copied_runs_cross_and_split_sentences(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(map(tuple, copies.shared_runs(items, docs).collect())) == [(1, 0, 5), (2, 1, 1), (2, 4, 2)]
     assert copies.shared_runs(items.where("false"), docs).count() == 0 == copies.shared_runs(items, docs.where("false")).count()
+
+
+def test_insults_of_any_person_count():
+    for text in ("You are stupid", "he is such a moron", "a\nyou're pathetic", '"They are idiots"'):
+        assert toxicity.voted(text.lower(), text)[0] == 1
+    assert toxicity.voted("he is here", "He is here")[0] == 0
