@@ -12,10 +12,11 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Words that a worker's cache holds; when full it becomes the older one, which is asked on a miss.
-CACHE = 200_000
+#: Words that a worker's cache holds, and their greatest length in bytes; when full it becomes the older one, which is asked on a miss.
+CACHE, LONGEST = 100_000, 64
 
 
 def default_path() -> str:
@@ -58,9 +59,11 @@ class Encoder(dict):
         out = self.runs.get(run)
         if out is None:
             tokens = self.model.tokenize(run.decode("latin-1").translate(self.letters))
-            if len(self.runs) >= CACHE:
-                self.runs.clear()
-            out = self.runs[run] = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
+            out = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
+            if len(run) <= LONGEST:
+                if len(self.runs) >= CACHE:
+                    self.runs.clear()
+                self.runs[run] = out
         return out
 
     def _plain(self, word: bytes) -> bytes | None:
@@ -78,18 +81,22 @@ class Encoder(dict):
             ids = self._plain(word)
         if ids is None:
             ids = self._whole(word)
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
+    def raw(self, text: bytes | pa.Buffer | None, end: int | None = None) -> bytes:
+        """The ids of a whole UTF-8 text as little-endian numbers, with end appended; null counts as empty."""
+        words = bytes(text).split() if text else ()  # of bytes, split() knows just the six ASCII characters
+        tail = () if end is None else (end.to_bytes(self.dtype.itemsize, "little"),)
+        return b"".join([*map(self.__getitem__, words), *tail])
+
     def ids(self, text: bytes | None, end: int | None = None) -> np.ndarray:
-        """The ids of a whole UTF-8 text, with end appended; null counts as empty."""
-        raw = b"".join(map(self.__getitem__, (text or b"").split()))  # of bytes, split() knows just the six ASCII characters
-        if end is not None:
-            raw += end.to_bytes(self.dtype.itemsize, "little")
-        return np.frombuffer(raw, self.dtype)
+        """raw() as an array."""
+        return np.frombuffer(self.raw(text, end), self.dtype)
 
 
 @lru_cache(2)

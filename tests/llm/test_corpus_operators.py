@@ -37,6 +37,15 @@ def docs(spark):
     return spark.createDataFrame([*rows, rows[5]], SCHEMA)  # one row repeated
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, ids with several texts, repeated rows: no order of the rows is given by their ids."""
+    t = texts()
+    rows = [(5, t[5]), (5, t[9]), (5, t[9]), (None, "x x x " + t[5]), (None, t[10] + " z"), (None, None), (None, None), (3, t[10]), (None, t[15]), (7, ""), (9, t[10] + " y"), (9, t[12]), (-4, t[13])]
+    rows += [(i, passage(100 + i, 60)) for i in range(20, 60)] + [(30, passage(170, 80)), (None, passage(171, 60))]
+    return spark.createDataFrame([(i, x, ["b", "a", None][k % 3], "clash", k, "k") for k, (i, x) in enumerate(rows)], SCHEMA)
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -76,17 +85,51 @@ def test_golay_keys_meet():
         assert set(x.tolist()) & set(y.tolist())
 
 
-def test_token_files(docs, none):
+def low_id(r):
+    return -(2**63) if r.doc_id is None else r.doc_id
+
+
+def checked_tokens(rows, got):
+    """Rows of one id may stand in any order: each run of them holds the same rows, gapless."""
     e = tokens.encoder(tokens.default_path())
-    want, start = Counter(), 0
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+    want = Counter()
+    for r in rows:
         ids = np.array([*e.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
-        want[(r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))] += 1
-        start += len(ids)
-    assert Counter(map(tuple, packed.written_and_read(docs).collect())) == want
+        want[(r.doc_id, len(ids), zlib.crc32(ids.tobytes()))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    at, before = 0, -(2**63)
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and low_id(r) >= before
+        at, before = at + r.n_tokens, low_id(r)
+
+
+def test_token_files(docs, odd, none):
+    checked_tokens(docs.collect(), packed.written_and_read(docs).collect())
+    checked_tokens(odd.collect(), packed.written_and_read(odd).collect())
     assert packed.written_and_read(none).count() == 0
 
 
+def test_token_files_of_many_parts(odd, monkeypatch):
+    monkeypatch.setattr(packed, "FILE", 200)
+    monkeypatch.setattr(packed, "SMALL_PART", 4000)
+    many = odd.repartition(3)
+    path = packed.new_path(many.sparkSession, "tokens-test")
+    packed.write(many, path)
+    files = many.sparkSession.read.parquet(path)
+    assert files.select("part").distinct().count() > 2
+    assert files.groupBy("part").count().where("count > 1").count() > 1
+    checked_tokens(many.collect(), packed.read(many.sparkSession, path).collect())
+
+
+def test_part_of_bounds():
+    rng = np.random.default_rng(1)
+    rows = sorted(zip(rng.integers(0, 9, 300).tolist(), rng.integers(-50, 50, 300).tolist(), strict=True))
+    firsts = rows[20::20]
+    at, tie = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    assert packed.part_of(at, tie, firsts).tolist() == [sum(f <= r for f in firsts) for r in rows]
+    assert packed.part_of(at, tie, []).tolist() == [0] * 300
+
+
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17])
 def test_packed_ids_come_back(bits):
     rng = np.random.default_rng(bits)
