@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Words that a worker's cache holds, and their greatest length in bytes; when full it becomes the older one, which is asked on a miss.
-CACHE, LONGEST = 100_000, 64
+#: Words, and runs of letters or signs, whose ids a worker holds in each of two generations, and the greatest length in bytes of either.
+WORDS, RUNS, LONGEST = 200_000, 200_000, 64
 
 
 def default_path() -> str:
@@ -45,9 +45,12 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        if hasattr(self.model, "_resize_cache"):  # the model's own cache costs more than it saves behind ours
+            self.model._resize_cache(0)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.runs: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         # The short way holds for one kind of tokenizer only: lower case, runs of letters apart from runs of signs.
         sample = "Straße naïve. the THE, Ångström éÉ** stop-"
         self.short = all(self._plain(w) == self._whole(w) for w in sample.encode().split())
@@ -56,41 +59,51 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _run(self, run: bytes) -> bytes:
+        """The ids of a run; runs seen lately are kept when a generation is full."""
         out = self.runs.get(run)
         if out is None:
-            tokens = self.model.tokenize(run.decode("latin-1").translate(self.letters))
-            out = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in tokens])
+            out = self.older.get(run)
+            if out is None:
+                text = run.decode() if run.isascii() else run.decode("latin-1").translate(self.letters)
+                out = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in self.model.tokenize(text)])
             if len(run) <= LONGEST:
-                if len(self.runs) >= CACHE:
-                    self.runs.clear()
+                if len(self.runs) >= RUNS:
+                    self.older, self.runs = self.runs, {}
                 self.runs[run] = out
         return out
 
     def _plain(self, word: bytes) -> bytes | None:
         """The ids of letters below U+0130, with signs at most after them; None for other words."""
         run = word.rstrip(_SIGNS)
-        text = run.decode()
-        if not text.isalpha() or not run.isascii() and max(text) > "\u012f":
-            return None
-        out = self._run(text.lower().encode())
+        if run.isalpha():  # of bytes, ASCII letters alone
+            out = self._run(run.lower())
+        else:
+            text = run.decode()
+            if not text.isalpha() or max(text) > "\u012f":
+                return None
+            out = self._run(text.lower().encode())
         return out + self._run(word[len(run) :]) if len(run) < len(word) else out
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None and self.short:
-            ids = self._plain(word)
+        ids = self.known.get(word)
         if ids is None:
-            ids = self._whole(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
+            ids = self._plain(word) if self.short else None
+            if ids is None:
+                ids = self._whole(word)
+            if len(word) > LONGEST:
+                return ids
+        if len(self) >= WORDS:
+            self.known = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def raw(self, text: bytes | pa.Buffer | None, end: int | None = None) -> bytes:
         """The ids of a whole UTF-8 text as little-endian numbers, with end appended; null counts as empty."""
-        words = bytes(text).split() if text else ()  # of bytes, split() knows just the six ASCII characters
+        text = bytes(text or b"")
+        if self.short and b"<|" not in text:  # which opens a special token, found before case is folded
+            text = text.lower()
+        words = text.split()  # of bytes, lower() and split() know just ASCII letters and the six ASCII characters
         tail = () if end is None else (end.to_bytes(self.dtype.itemsize, "little"),)
         return b"".join([*map(self.__getitem__, words), *tail])
 
