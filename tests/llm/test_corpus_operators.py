@@ -240,23 +240,46 @@ def test_pivot_keeps_mass():
     assert np.dot(p, sizes) == pytest.approx(0.37 * sum(sizes))
 
 
-def test_substrings(docs, none):
-    rows = docs.collect()
+def brute_repeats(rows):
+    top = 2**63
+    order = lambda r: top if r.doc_id is None else r.doc_id
     first = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
+    for r in sorted(rows, key=order):
         w = WORDS.findall(r.text or "")
         for i in range(len(w) - 49):
-            first.setdefault(tuple(w[i : i + 50]), r.doc_id)
+            first.setdefault(tuple(w[i : i + 50]), order(r))
     want = Counter()
     for r in rows:
         w = WORDS.findall(r.text or "")
-        gone = {i + k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < r.doc_id for k in range(50)}
+        gone = {i + k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < order(r) for k in range(50)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(r.doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
-    assert Counter(map(tuple, substrings.digest(docs).collect())) == want
+    return want
+
+
+def test_substrings(docs, odd, none):
+    assert Counter(map(tuple, substrings.digest(docs).collect())) == brute_repeats(docs.collect())
+    assert Counter(map(tuple, substrings.digest(odd).collect())) == brute_repeats(odd.collect())
     assert substrings.digest(none).count() == 0
 
 
+def test_substrings_of_one_id_cut_themselves_alone(spark):
+    a, b = passage(31, 60), passage(32, 60)
+    rows = [(1, a), (5, a), (5, b), (None, "x x x " + a), (None, b + " z")]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 60): 0, (5, 60): got[(5, 60)], (None, 63): 60, (None, 61): 60}
+    removed = Counter((r.doc_id, r.n_removed) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert removed == Counter({(1, 0): 1, (5, 60): 1, (5, 0): 1, (None, 60): 2})
+
+
+def test_substrings_by_groups_of_buckets(docs, odd, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 500)
+    monkeypatch.setattr(substrings, "FEW_IDS", 0)
+    for df in (docs, odd):
+        got = substrings.without_repeats(df, dealt=8, bucket_bytes=64).drop("clean_text").collect()
+        assert Counter(map(tuple, got)) == brute_repeats(df.collect())
+
+
 def test_toxicity_learns_only_from_training_rows(spark, none):
     rng = np.random.default_rng(9)
     rows, labels = [], []
