@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Signs of toxicity (words, and beginnings of words, which stand for inflected
-forms) are mined from labelled training documents. Groups of them, a fixed
-lexicon and patterns make voters. A generative label model with a hidden true
-label estimates each voter's rates by expectation maximization, measures which
-voters err together, and divides the evidence of those; its posteriors are the
-soft labels on which a linear classifier is trained, whose scale is then fitted
-to the training labels. Only the classifier scores documents.
+Voters: each word of a fixed lexicon, patterns, and tallies of signs. Signs
+(words, and beginnings of words, which stand for inflected forms) are mined
+from labelled training documents in folds, and a document's tallies come from
+the labels of the other folds alone, so no voter has seen the label of a
+document that it votes on. A generative label model with a hidden true label
+estimates each voter's rates from agreement by expectation maximization,
+measures which voters err together and weakens them; of the given labels it
+knows the share of toxic ones, no row's own. A linear classifier on the signs is trained on its posteriors. Only the
+classifier scores documents.
 """
 
 from __future__ import annotations
@@ -22,15 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the fit: labelled documents, signs, signs that vote alone, groups in which the others vote.
-SAMPLE, SIGNS, ALONE, GROUPS = 20_000, 3_000, 400, 24
-#: Documents of a sign, and how much likelier it is in toxic documents (log of the ratio), at least.
+from .common import kept
+
+#: Bounds of the fit: labelled documents, signs.
+SAMPLE, SIGNS = 20_000, 3_000
+#: Toxic documents of a sign, and how much likelier it is in toxic documents (log of the ratio), at least.
 SUPPORT, LIFT = 4, 1.8
-#: How often a training label is right, as the label model takes it.
-TRUST = 0.9999
-#: Insults of the built-in lexicon voter.
-LEXICON = """idiot idiotic moron moronic stupid dumb loser scum trash garbage pathetic worthless disgusting clown
-imbecile fool jerk creep pig vermin filth ugly hate kill die shut bastard damn crap sucks""".split()
+#: Folds of the tallies; what a wrong vote of a tally costs against a right one, when its threshold is set on the other folds.
+FOLDS, COST = 5, 3.0
+#: Correlations of voters' errors below this are taken for chance.
+CHANCE = 0.1
+#: Correlation of votes from which one voter is taken for another's copy before anything is known of the classes.
+COPY = 0.85
+#: How likely a row with a single vote is at first: a voter is taken to be right rather than wrong.
+ALONE = 0.75
+#: Insults, each a voter by itself.
+LEXICON = """idiot idiots idiotic moron morons moronic stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown
+imbecile fool jerk creep pig vermin filth ugly hate kill shut bastard damn crap sucks
+dummkopf trottel abschaum arschloch idioten widerlich drecksack versager
+imbécile idiote crétin ordure salaud dégoûtant abruti pourriture
+idiota imbécil estúpido basura asqueroso patético escoria inútil""".split()
 _YOU = re.compile(r"(?i)\b(?:you|u|they|he|she)(?:'re| are| r| is| all are)\s+(?:\w+\s+){0,2}(?:idiots?|morons?|stupid|dumb|losers?|scum|trash|pathetic|worthless|disgusting|clowns?)\b")
 _STRIP = ".,;:!?\"'()[]{}<>«»“”„…-_*#$%&|/\\"
 
@@ -55,12 +68,12 @@ def candidates(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    """signs, their weights, the weights of the lexicon and pattern voters, and the bias."""
+    """signs, their weights, those of the lexicon and the patterns after them, the bias, and the voters' rates by class."""
 
     signs: list[str]
     weights: np.ndarray
     bias: float
-    accuracies: np.ndarray
+    rates: np.ndarray
 
     def scorer(self):
         at = dict(zip(self.signs, self.weights[: len(self.signs)].tolist(), strict=True))
@@ -94,45 +107,74 @@ def voted(low: str, text: str) -> list[int]:
     return [int(bool(_YOU.search(text))), int("!!!" in text)]
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, trust: float = TRUST, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, rates by class, correlations) of votes (1, or 0 for abstaining) with a hidden binary label.
+def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior, rates by class, correlations) of votes (1, or 0) with a hidden binary label.
 
-    given: a 0/1 label of each row, the vote of one more voter, right with
-    probability trust; it keeps the hidden label from changing its meaning.
-    Rates are smoothed. The residual correlations of the voters within the classes divide the evidence
-    of those that vote together, by the design effect 1 + (k - 1) * their mean
-    correlation, so k voters that err together count little more than one.
+    Rows with two votes or more start as likely ones and rows with one at ALONE,
+    voters that nearly copy one another counted as one; from there on rates and posteriors follow from
+    each other, the voters' agreement alone. The residual correlations of
+    voters within the classes, chance ones left out, divide the evidence of
+    those that err together by 1 + their sum, so k voters that always agree
+    count like one. Rates are smoothed. balance: the share of the class, where
+    it is known; without it too few independent voters leave it open.
     """
     n, m = votes.shape
-    sure = (2 * given - 1) * np.log(trust / (1 - trust))
-    post, corr = np.where(given > 0, trust, 1 - trust), np.zeros((m, m))
-    rates, k = np.full((2, m), 0.5), np.maximum(1.0, votes.sum(1))
+    rates, rare = np.full((2, m), 0.5), votes.sum(0) < 2
+    rest = votes - votes.mean(0)
+    corr = rest.T @ rest / max(1, n) / np.outer(rest.std(0) + 1e-6, rest.std(0) + 1e-6)
+    corr[(corr < COPY) | rare[:, None] | rare[None, :]] = 0
+    np.fill_diagonal(corr, 0)
+    own = votes @ (1 / (1 + corr.sum(1)))
+    post = np.where(own >= 1.95, 0.9, np.where(own >= 0.95, ALONE, 0.05))
     for step in range(rounds):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+        prior = np.clip(post.mean() if balance is None else balance, 1e-3, 1 - 1e-3)
         for c, w in ((1, post), (0, 1 - post)):
             rates[c] = (w @ votes + 0.5) / (w.sum() + 1.0)
-        if step == rounds // 2:
+        if step in (rounds // 3, 2 * rounds // 3):
             rest = votes - np.outer(post, rates[1]) - np.outer(1 - post, rates[0])
             sd = np.sqrt((rest**2).mean(0)) + 1e-6
             corr = np.clip(rest.T @ rest / n / np.outer(sd, sd), 0, 1)
+            corr[(corr < chance) | rare[:, None] | rare[None, :]] = 0
             np.fill_diagonal(corr, 0)
-        effect = 1 + ((votes @ corr) * votes).sum(1) / k
-        z = np.log(prior / (1 - prior)) + votes @ np.log(rates[1] / rates[0]) / effect + sure
+        weight = 1 / (1 + corr.sum(1))
+        z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(rates[1] / rates[0])) + (1 - votes) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return post, rates, corr
 
 
-def scaled(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept that fit scores to labels (logistic regression in one variable, Newton's steps)."""
-    a, c = 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - y) * z).sum() + 1e-2 * (a - 1), (p - y).sum()])
-        h = np.array([[(w * z * z).sum() + 1e-2, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
-    return float(max(a, 0.1)), float(c)
+def kind_of(sign: str) -> int:
+    """Which tally a sign belongs to: 0 for a word, 1 to 3 for beginnings of 4, 5 and 6 letters."""
+    return 0 if sign[0] == "=" else len(sign) - 3
+
+
+def lifts(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The lift of each sign by its (clean, toxic) counts, 0 where it falls short of SUPPORT or LIFT."""
+    x = np.log((counts[:, 1] + 0.5) / (totals[1] + 1.0)) - np.log((counts[:, 0] + 0.5) / (totals[0] + 1.0))
+    return np.where((counts[:, 1] >= SUPPORT) & (x >= LIFT), x, 0.0)
+
+
+def tallies(x: list[np.ndarray], kinds: np.ndarray, counts: np.ndarray, fold: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """Votes of the four tallies on rows of signs x, those of each fold by the counts and labels of the others.
+
+    counts: (sign, fold, class). A tally is the sum of the lifts of a row's
+    signs of one kind; it votes from the threshold that tells the other folds'
+    classes best at COST.
+    """
+    n, row = len(x), np.repeat(np.arange(len(x)), [len(v) for v in x])
+    col = np.concatenate(x).astype(np.int64) if len(row) else np.zeros(0, np.int64)
+    votes = np.zeros((n, 4))
+    for k in np.unique(fold).tolist():
+        rest, mine = fold != k, fold == k
+        lift = lifts(counts[:, [j for j in range(counts.shape[1]) if j != k]].sum(1), np.array([(rest & (gold == c)).sum() for c in (0, 1)], float))
+        for j in range(4):
+            total = np.bincount(row, np.where(kinds == j, lift, 0.0)[col], minlength=n)
+            toxic, clean = np.sort(total[rest & (gold > 0)]), np.sort(total[rest & (gold == 0)])
+            at = np.unique(toxic[toxic > 0])
+            if len(at):
+                caught = 1 - np.searchsorted(toxic, at) / max(1, len(toxic))
+                wrong = 1 - np.searchsorted(clean, at) / max(1, len(clean))
+                votes[mine, j] = total[mine] >= at[np.argmax(caught - COST * wrong)]
+    return votes
 
 
 def linear(x: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 300, decay: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -160,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model learnt from the labels of documents that aren't held out.
 
     At most sample labelled documents, those of the smallest hashes of their
-    ids, are used: a documented bound of the fit. Their signs are counted
-    by partial aggregation; the driver gets the chosen signs and, of each
-    sampled document, the numbers of its signs.
+    ids, are used: a documented bound of the fit. Of several texts of one
+    doc_id the smallest counts; rows without a doc_id have no label. Their
+    signs are counted by partial aggregation; the driver gets the chosen signs
+    and, of each sampled document, the numbers of its signs. Where the training
+    labels are all of one class, the fixed voters alone make the model.
     """
     spark = docs.sparkSession
     named = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -172,54 +216,55 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return _plain_model()
     picked = spark.createDataFrame(list(chosen.items()), "doc_id long, y int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # sample rows at most
+    texts = kept(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic: dict[str, list[int]] = {}
-            for text, y in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            seen: dict[tuple[str, int], list[int]] = {}
+            for y, text, fold in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 for s in candidates(text.as_py()):
-                    toxic.setdefault(s, [0, 0])[y] += 1
-            if toxic:
-                yield pa.RecordBatch.from_arrays([pa.array(list(toxic)), pa.array([v[1] for v in toxic.values()]), pa.array([v[0] for v in toxic.values()])], names=["sign", "t", "c"])
-
-    counts = texts.mapInArrow(count, "sign string, t long, c long").groupBy("sign").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    n1 = sum(chosen.values())
-    n0 = len(chosen) - n1
+                    seen.setdefault((s, fold), [0, 0])[y] += 1
+            if seen:
+                columns = [pa.array([s for s, _ in seen]), pa.array([f for _, f in seen], pa.int32()), *(pa.array([v[y] for v in seen.values()]) for y in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["sign", "fold", "c", "t"])
+
+    each = [F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in ("c", "t")]
+    counted = texts.select("y", "text", "fold").mapInArrow(count, "sign string, fold int, c long, t long").groupBy("sign").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), *each)
+    sizes = {(r["fold"], r["y"]): r["count"] for r in texts.groupBy("fold", "y").count().collect()}
+    n0, n1 = (sum(n for (_, y), n in sizes.items() if y == c) for c in (0, 1))
     lift = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    top = counts.where(F.col("t") >= SUPPORT).withColumn("lift", lift).where(F.col("lift") >= LIFT)
+    top = counted.where(F.col("t") >= SUPPORT).withColumn("lift", lift).where(F.col("lift") >= LIFT)
     top = top.orderBy(F.desc(F.col("lift") * F.sqrt("t")), "sign").limit(SIGNS).collect()
     signs = [r["sign"] for r in top]
+    counts = np.array([[[r[f"c{k}"], r[f"t{k}"]] for k in range(FOLDS)] for r in top], float).reshape(len(top), FOLDS, 2)
     place = {s: i for i, s in enumerate(signs)}
-    lexicon = {"=" + w for w in LEXICON}
+    insult = {"=" + w: len(signs) + k for k, w in enumerate(LEXICON)}
+    first = len(signs) + len(LEXICON)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(signs)
         for b in batches:
             out = []
             for text in b.column(1):
                 text = text.as_py() or ""
                 has = candidates(text)
-                extra = [n + k for k, v in enumerate([bool(has & lexicon), *voted(text.lower(), text)]) if v]
-                out.append(sorted(place[s] for s in has if s in place) + extra)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
-
-    rows = texts.mapInArrow(features, "doc_id long, y int, x array<int>").orderBy("doc_id").collect()
-    width = len(signs) + 3
-    x = [np.array(r["x"], np.int64) for r in rows]
-    gold = np.array([r["y"] for r in rows], float)
+                extra = [first + k for k, v in enumerate(voted(text.lower(), text)) if v]
+                out.append(sorted([place[s] for s in has if s in place] + [insult[s] for s in has if s in insult]) + extra)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "y", "fold", "x"])
+
+    rows = texts.select("doc_id", "text", "y", "fold").mapInArrow(features, "doc_id long, y int, fold int, x array<int>").orderBy("doc_id").collect()
     if not rows:
         return _plain_model()
-    # Voters: each strong sign by itself, the others in groups, the lexicon, the patterns.
-    alone = min(len(signs), ALONE)
-    voter = np.array([i if i < alone else alone + (i - alone) % GROUPS for i in range(len(signs))] + [alone + GROUPS + k for k in range(3)])
-    votes = np.zeros((len(rows), alone + GROUPS + 3))
+    x, width = [np.array(r["x"], np.int64) for r in rows], first + 2
+    gold, fold = (np.array([r[c] for r in rows], float) for c in ("y", "fold"))
+    alone = np.zeros((len(rows), len(LEXICON) + 2))
     for i, v in enumerate(x):
-        votes[i, voter[v]] = 1
-    votes = votes[:, votes.any(0)] if votes.any() else votes
-    post, rates, _ = label_model(votes, gold)
-    w, b = linear(x, width, post)
-    slope, shift = scaled(np.array([b + w[v].sum() for v in x]), gold)
-    w, b = slope * w, slope * b + shift
+        alone[i, v[v >= len(signs)] - len(signs)] = 1
+    kinds = np.array([kind_of(s) for s in signs], int)
+    votes = np.concatenate([alone, tallies([v[v < len(signs)] for v in x], kinds, counts, fold, gold)], axis=1)
+    post, rates, _ = label_model(votes, float(gold.mean()))
+    # The classifier's features: the signs, any insult at all, the patterns.
+    narrow = lambda v: np.unique(np.where(v < len(signs), v, np.where(v < first, len(signs), v - len(LEXICON) + 1)))
+    w, b = linear([narrow(v) for v in x], width - len(LEXICON) + 1, post)
     return Model(signs, w, b, rates)
 
 
@@ -243,7 +288,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs."""
+    """(doc_id, held_out, score, predicted) of every row of docs; a null doc_id is held out like the empty text's crc32 of 0 says."""
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = scored(wanted, train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -280,6 +280,37 @@ def test_substrings_by_groups_of_buckets(docs, odd, monkeypatch):
         assert Counter(map(tuple, got)) == brute_repeats(df.collect())
 
 
+def test_label_model_finds_rates_and_copies():
+    """Voters of known rates, no label given; voters 5 to 8 copy one another's errors."""
+    rng = np.random.default_rng(8)
+    y = rng.random(6000) < 0.2
+    sure, loose = np.array([0.7, 0.6, 0.8, 0.5, 0.65]), np.array([0.05, 0.02, 0.04, 0.03, 0.06])
+    votes = rng.random((6000, 5)) < np.where(y[:, None], sure, loose)
+    echo = rng.random(6000) < np.where(y, 0.5, 0.15)
+    votes = np.concatenate([votes, np.repeat(echo[:, None], 4, axis=1)], axis=1).astype(float)
+    post, rates, corr = toxicity.label_model(votes)
+    assert np.abs(rates[1][:5] - sure).max() < 0.06 and np.abs(rates[0][:5] - loose).max() < 0.02
+    assert corr[5:, 5:][~np.eye(4, dtype=bool)].min() > 0.9 and corr[:5, :5].max() < 0.15
+    assert ((post > 0.5) == y).mean() > 0.93 and abs(post.mean() - 0.2) < 0.03
+
+
+def test_tallies_never_see_their_own_fold():
+    """Labels turned over in one fold change no vote there."""
+    rng = np.random.default_rng(3)
+    n, fold = 400, np.arange(400) % 5
+    gold = (rng.random(n) < 0.3).astype(float)
+    x = [np.flatnonzero(rng.random(6) < (0.6 if g else 0.05)) for g in gold]
+
+    def votes(labels):
+        counts = np.zeros((6, 5, 2))
+        for v, f, g in zip(x, fold, labels, strict=True):
+            counts[v, f, int(g)] += 1
+        return toxicity.tallies(x, np.array([0, 0, 1, 2, 3, 3]), counts, fold, labels)
+
+    turned = np.where(fold == 2, 1 - gold, gold)
+    assert (votes(gold)[fold == 2] == votes(turned)[fold == 2]).all() and votes(gold)[gold > 0].mean() > 0.3
+
+
 def test_toxicity_learns_only_from_training_rows(spark, none):
     rng = np.random.default_rng(9)
     rows, labels = [], []
