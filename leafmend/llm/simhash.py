@@ -34,7 +34,9 @@ from .common import components, kept
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Sampled key counts; a bucket expected to exceed HOT distinct fingerprints is compared in blocks.
-HOT, SAMPLE, MOST_HOT = 20_000, 16, 10_000
+HOT, SAMPLE = 20_000, 16
+#: Keys of such buckets that are broadcast (16 bytes each); more are joined by an exchange.
+FEW_KEYS = 1 << 18
 #: Fixed value: the generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the Golay code.
 GENERATOR = 0b110001110101
 
@@ -145,32 +147,14 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _emit(hot: dict[int, int], part_of: int = 0):
-    """Batches of fp to rows (key, part, fp). hot: blocks by key."""
-    names = ["key", "part", "fp"]
-    hot_keys = np.array(sorted(hot), np.int64)
-    hot_blocks = np.array([hot[k] for k in sorted(hot)], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(every), 2048):
-                fps = every[at : at + 2048]
-                row, key = keys_of(fps)
-                fp, part = fps[row].view(np.int64), np.zeros(len(row), np.int64)
-                if len(hot_keys):
-                    place = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-                    is_hot = hot_keys[place] == key
-                    more = [(key[~is_hot], part[~is_hot], fp[~is_hot])]
-                    for k, blocks, f in zip(key[is_hot], hot_blocks[place[is_hot]], fp[is_hot], strict=True):
-                        own = (int(f) * 0x9E3779B97F4A7C15 >> 20) % int(blocks)
-                        other = np.arange(blocks)
-                        part_k = 1 + np.minimum(own, other) * blocks + np.maximum(own, other)
-                        more.append((np.full(blocks, k), part_k, np.full(blocks, f)))
-                    key, part, fp = (np.concatenate(x) for x in zip(*more, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(fp)], names=names)
-
-    return run
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fp to rows (key, fp)."""
+    for b in batches:
+        every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for at in range(0, len(every), 2048):
+            fps = every[at : at + 2048]
+            row, key = keys_of(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row].view(np.int64))], names=["key", "fp"])
 
 
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +232,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield got
 
 
-def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+def links(fps: DataFrame, hot: int = HOT, few: int = FEW_KEYS) -> DataFrame:
     """(a, b): enough links among distinct fingerprints (column fp) to connect all that links connect.
 
     A key's bucket expected to hold over hot fingerprints (by a 1 in SAMPLE
@@ -256,26 +240,35 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     holds it whole and no link is lost; the sample decides only how work is
     dealt. Fingerprints are distinct here, so exact copies never fill a bucket.
     """
-    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_emit({}), "key long, part long, fp long")
-    counted = sampled.groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "key").limit(MOST_HOT)
-    blocks = {r["key"]: -(-r["n"] // hot) + 1 for r in counted.collect()}
-    dealt = fps.mapInArrow(_emit(blocks), "key long, part long, fp long").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
+    sampled = fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0).mapInArrow(_emit, "key long, fp long")
+    large = sampled.groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > hot)
+    large = kept(large.select("key", (F.ceil(F.col("n") / hot) + 1).alias("blocks")))
+    n, dealt = large.count(), fps.mapInArrow(_emit, "key long, fp long")
+    if n:
+        dealt = dealt.join(F.broadcast(large) if n <= few else large, "key", "left")
+        own, blocks = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.col("blocks")
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: 1 + F.least(own, other) * blocks + F.greatest(own, other))
+        dealt = dealt.select("key", F.explode(F.when(blocks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("part"), "fp")
+    else:
+        dealt = dealt.select("key", F.lit(0).cast("long").alias("part"), "fp")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT, few: int = FEW_KEYS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
     docs: doc_id and text, other columns ignored. Null and word-free texts have
     fingerprint 0 and link like any other; repeated rows stay rows and share a
     component; an empty table gives no rows. component_id is the smallest
-    doc_id that links of at most four differing bits reach. Rows are collapsed
+    doc_id that links of at most four differing bits reach; a null doc_id is
+    never the smallest, so a component is null only where all its ids are. Rows are collapsed
     to distinct fingerprints first, so the group of copies of one text is one
     row in the search.
     """
     rows = kept(fingerprints(docs))
     least = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(least.select("fp"), hot))
+    root = components(links(least.select("fp"), hot, few))
     named = least.join(root, least.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = kept(named)
     top = kept(named.groupBy("root").agg(F.min("least").alias("component_id")))
