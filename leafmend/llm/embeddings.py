@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import components, kept
 
 COSINE = 0.98
-#: k-means is fitted on at most SAMPLE vectors; cells aim at CELL vectors, MOST_CELLS a label and MOST_LABELS labels at most.
-SAMPLE, CELL, MOST_CELLS, MOST_LABELS = 20_000, 1024, 16, 1024
+#: Cells aim at CELL vectors; their centroids travel with the code, so all labels together get CELLS, in proportion to their sizes.
+CELL, CELLS = 1024, 4096
+#: k-means is fitted on a hash sample of so many vectors for each cell.
+SAMPLE = 16
 #: Vectors of a cell that are held at once while the others stream past.
 BLOCK = 2048
 DOUBT = 1e-12
@@ -64,29 +66,33 @@ def fit(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        for j in range(len(c)):
-            s = x[near == j].sum(0)
-            if (n := np.linalg.norm(s)) > 1e-9:
-                c[j] = s / n
+        total = np.zeros_like(c)
+        np.add.at(total, (x @ c.T).argmax(1), x)
+        size = np.linalg.norm(total, axis=1)
+        c[size > 1e-9] = total[size > 1e-9] / size[size > 1e-9, None]
     return np.unique(c, axis=0)
 
 
 def centroids(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """Centroids by (label, dimension), for the labels with more than CELL vectors.
 
-    Fitted on a hash sample of at most SAMPLE vectors (a documented bound);
-    the other labels are one cell each. They decide where work is done only.
+    Fitted on a hash sample of SAMPLE vectors a cell, at most SAMPLE * CELLS in
+    all (a documented bound). They decide where work is done only: labels of
+    one cell, and cells larger than CELL, are compared whole, block by block.
     """
     sizes = classes.groupBy("label", (F.length("vec") / 8).cast("int").alias("dim")).count().where(F.col("count") > CELL)
-    big = {(r["label"], r["dim"]): r["count"] for r in sizes.orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()}
+    big = {(r["label"], r["dim"]): -(-r["count"] // CELL) for r in sizes.orderBy(F.desc("count"), "label").limit(CELLS // 2).collect()}
     if not big:
         return {}
-    rows = classes.select("label", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    every = sum(big.values())
+    cells = {g: max(2, k * CELLS // max(CELLS, every)) for g, k in big.items()}
+    named = classes.sparkSession.createDataFrame([(*g,) for g in big], "label long, dim int")
+    rows = classes.withColumn("dim", (F.length("vec") / 8).cast("int")).join(F.broadcast(named), ["label", "dim"])  # CELLS / 2 rows at most
+    rows = rows.select("label", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE * sum(cells.values())).collect()
     by: dict[tuple[int, int], list[np.ndarray]] = {}
     for r in rows:
         by.setdefault((r["label"], len(r["vec"]) // 8), []).append(unit(bytes(r["vec"])))
-    return {g: fit(np.stack(by[g]), min(MOST_CELLS, -(-n // CELL))) for g, n in big.items() if len(by.get(g, [])) > 1}
+    return {g: fit(np.stack(x), cells[g]) for g, x in by.items() if len(x) > 1}
 
 
 def assigned(classes: DataFrame, cells: dict[tuple[int, int], np.ndarray], cosine: float) -> DataFrame:
@@ -196,7 +202,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     links, themselves as component, and are kept. Equal vectors are collapsed
     to one with a count first, so a group of copies of any size is one row in
     the search; an empty table gives no rows. A repeated vec_id counts as
-    another vector. Cells over block vectors are held block by block while all
+    another vector; a null vec_id links like any other and is never the
+    smallest, so a component (and kept) is null only where all its ids are. Cells over block vectors are held block by block while all
     others of the cell stream past, so no task holds a whole cell.
     """
     base = kept(parsed(vectors))
