@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as white space between words: the six ASCII characters.
@@ -71,3 +71,19 @@ def components(edges: DataFrame, salts: int = 8, most_rounds: int = 60) -> DataF
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def prefixed(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """rows with before_<column>: the sums of columns over all rows before each, in order (ascending, unique).
+
+    Rows are dealt to ranges of the order and written once; the totals of the
+    ranges, one row each, are summed ahead of them, so no task holds more than
+    its range.
+    """
+    ranged = kept(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *(F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in columns))  # as many rows as ranges
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in columns]
+    return ranged.join(F.broadcast(starts), "_range").select(*rows.columns, *sums)
