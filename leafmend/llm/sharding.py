@@ -18,8 +18,8 @@ from .common import kept
 
 #: Shares of one shard: a group above LARGE is placed alone, one above WHOLE is cut.
 LARGE, WHOLE = 1 / 1000, 0.9
-#: Parts of the hash range, and parts that one group of equal texts is dealt out in.
-PARTS, SPREAD = 1024, 1024
+#: Groups that a part of the hash range aims at, and parts that one group of equal texts is dealt out in.
+PART, SPREAD = 1 << 16, 1024
 
 
 def _running(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def _running(rows: DataFrame, by: str, order: list[str], columns: list[str]) ->
     ahead = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(by, *(F.coalesce(F.sum(f"t_{c}").over(ahead), F.lit(0)).alias(f"s_{c}") for c in columns))
     within = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.join(F.broadcast(starts), by)  # at most PARTS rows
+    out = rows.join(F.broadcast(starts), by)  # one row for each PART groups, and a few for each shard
     sums = [(F.col(f"s_{c}") + F.sum(c).over(within) - F.col(c)).alias(f"before_{c}") for c in columns]
     return out.select(*rows.columns, *sums)
 
@@ -41,7 +41,8 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     equal text share a shard unless they fill over WHOLE of one. slot counts a
     shard's rows from 0 without gaps. Repeated rows are rows of their own;
     tables with fewer rows than shards leave shards empty; an empty table gives
-    no rows. Reruns agree.
+    no rows; a null doc_id is a row like any other. Reruns agree. A shard is
+    one stretch of the order of hashes and the large groups placed in it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -50,10 +51,13 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
-    rows = rows.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
+    # Rows without a doc_id are alike in all that is returned, so their own numbers may spread them.
+    spread = F.coalesce("doc_id", F.monotonically_increasing_id())
+    rows = rows.withColumn("spread", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
     rows = kept(rows)
     groups = kept(rows.groupBy("h", "spread").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
-    whole = groups.agg(F.sum("bytes").alias("bytes")).first()["bytes"]
+    found = groups.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    whole, bits = found["bytes"], max(6, (found["n"] // PART).bit_length())
     if not whole:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     target = whole / shards
@@ -68,7 +72,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     fixed = spark.createDataFrame(list(placed.items()) or [], "h long, fixed int")
     # The parts of a group of equal texts stay next to each other; one placed alone is left out of the order.
-    part = F.floor(F.shiftrightunsigned("h", 54)).cast("int")
+    part = F.floor(F.shiftrightunsigned("h", 64 - bits)).cast("int")
     groups = groups.join(F.broadcast(fixed), "h", "left").withColumn("part", part)
     free = _running(groups.where("fixed is null"), "part", ["h", "spread"], ["bytes"])
     first = free.groupBy("h").agg(F.min("before_bytes").alias("first"), F.sum("bytes").alias("all"))
@@ -81,7 +85,7 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     free = free.withColumn("shard", sum((at >= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0))
     columns = ["h", "spread", "part", "rows", "shard"]
     dealt = free.select(*columns).unionByName(groups.where("fixed is not null").withColumn("shard", F.col("fixed")).select(*columns))
-    dealt = dealt.withColumn("lane", F.col("shard") * PARTS + F.col("part"))
+    dealt = dealt.withColumn("lane", F.shiftleft(F.col("shard").cast("long"), bits) + F.col("part"))
     dealt = kept(_running(dealt, "lane", ["h", "spread"], ["rows"]).select("h", "spread", "shard", "before_rows"))
     shard_start = dealt.groupBy("shard").agg(F.min("before_rows").alias("start"))
     nth = F.row_number().over(Window.partitionBy("h", "spread").orderBy("doc_id", "size"))

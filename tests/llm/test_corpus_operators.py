@@ -58,18 +58,25 @@ def fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, none):
-    rows = docs.collect()
-    fps = [fingerprint(r.text) for r in rows]
-    root = list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(fps):
-            for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= 4:
-                    root[i] = root[j] = min(root[i], root[j], key=lambda k: rows[k].doc_id)
-    want = Counter((r.doc_id, f"{f:016x}", rows[k].doc_id) for r, f, k in zip(rows, fps, root, strict=True))
-    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
-    assert Counter(map(tuple, simhash.near_duplicates(docs, hot=1).collect())) == want
+def smallest(ids):
+    return min((i for i in ids if i is not None), default=None)
+
+
+def test_simhash(docs, odd, none):
+    for df in (docs, odd):
+        rows = df.collect()
+        fps = [fingerprint(r.text) for r in rows]
+        group = list(range(len(rows)))
+        for _ in rows:
+            for i, a in enumerate(fps):
+                for j, b in enumerate(fps):
+                    if (a ^ b).bit_count() <= 4:
+                        group[i] = group[j] = min(group[i], group[j])
+        least = {g: smallest(r.doc_id for r, h in zip(rows, group, strict=True) if h == g) for g in group}
+        want = Counter((r.doc_id, f"{f:016x}", least[g]) for r, f, g in zip(rows, fps, group, strict=True))
+        assert Counter(map(tuple, simhash.near_duplicates(df).collect())) == want
+        assert Counter(map(tuple, simhash.near_duplicates(df, hot=1).collect())) == want
+    assert Counter(map(tuple, simhash.near_duplicates(odd, hot=1, few=0).collect())) == want
     assert simhash.near_duplicates(none).count() == 0
 
 
@@ -158,6 +165,36 @@ def test_secret_scan_keeps_columns(docs, none):
     assert secrets.scanned(none).count() == 0
 
 
+def test_packing_in_many_buckets(spark):
+    """Several buckets, a pool and its second round: each piece once, sequences full, near the bound."""
+    rng = np.random.default_rng(17)
+    df = spark.createDataFrame([(i % 700 or None, passage(3000 + i, int(rng.integers(1, 14)))) for i in range(1500)], "doc_id long, text string")
+    rows = packing.packed(df, size=64, bucket=100).collect()
+    checked_packing(df, rows)
+    lengths = np.array([r.length for r in rows])
+    used = len({r.sequence_id for r in rows})
+    assert used <= 1.03 * packing.lower_bound(lengths, 64) + 2
+
+
+def test_packing_of_odd_ids(odd):
+    checked_packing(odd, packing.packed(odd, size=64).collect())
+
+
+def checked_packing(df, rows):
+    e = tokens.encoder(tokens.default_path())
+    want = Counter()
+    for r in df.collect():
+        ids = np.array([*e.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 64)):
+            want[(r.doc_id, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    by = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert by.get(r.sequence_id, 0) == r.offset
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 64
+
+
 def test_packing(docs, none):
     rows = packing.packed(docs, size=64).collect()
     e = tokens.encoder(tokens.default_path())
@@ -202,36 +239,80 @@ def test_quality(docs, none, spark):
     assert {r.doc_id: r.kept for r in quality.judged(odd).collect()} == {1: False, 2: True, 3: True, 4: False}
 
 
-def test_mixing(docs, none):
-    rows = mixing.mixed(docs).collect()
-    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in mixing.mixed(docs).collect())
-    source = {r.doc_id: r.source for r in docs.collect()}
-    sizes, taken, target = Counter(), Counter(), {}
-    for r in rows:
-        sizes[source[r.doc_id]] += r.size
-        taken[source[r.doc_id]] += r.taken
-        target[source[r.doc_id]] = r.target
-        assert 0 <= r.taken <= 2 * r.size
-    names = sorted((s for s in sizes if s is not None)) + [None]
+def wanted_targets(sizes):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     left, open_, want = 1.5 * sum(sizes.values()), set(names), {}
     while open_:
         share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
         over = [s for s in open_ if share[s] > 2 * sizes[s]]
         if not over:
-            want |= share
-            break
+            return want | share
         for s in over:
             want[s] = 2 * sizes[s]
             left -= want[s]
             open_.discard(s)
-    largest = max(r.size for r in rows)
-    for s in names:
+    return want
+
+
+def checked_mix(df, rows):
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len(WORDS.findall(r.text or ""))) for r in df.collect())
+    sizes, taken, target = Counter(), Counter(), {}
+    source = {(r.doc_id, len(WORDS.findall(r.text or ""))): r.source for r in df.collect()}
+    for r in rows:
+        s = source[(r.doc_id, r.size)]
+        sizes[s] += r.size
+        taken[s] += r.taken
+        target[s] = r.target
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
+    want = wanted_targets(sizes)
+    for s in sizes:
         assert target[s] == pytest.approx(want[s])
-        assert abs(taken[s] - want[s]) <= largest
+    return {s: abs(taken[s] - want[s]) for s in sizes}
+
+
+def test_mixing(docs, none):
+    rows = mixing.mixed(docs).collect()
+    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in mixing.mixed(docs).collect())
+    assert max(checked_mix(docs, rows).values()) <= max(r.size for r in rows)
     assert mixing.mixed(none).count() == 0
 
 
+def test_mixing_of_odd_ids(spark, odd):
+    """Rows of one id and null ids are rows of their own; many buckets and levels leave sources near their targets."""
+    rows = mixing.mixed(odd).collect()
+    assert len(rows) == odd.count() and len({r.row for r in rows}) == len(rows)
+    rng = np.random.default_rng(6)
+    many = [(i if i % 3 else None, passage(500 + i, int(rng.integers(1, 60))), "abc"[min(2, i % 7)]) for i in range(3000)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in many:
+        sizes[s] += len(t.split())
+    want, source = wanted_targets(sizes), {t: s for _, t, s in many}
+    numbered = df.withColumn("n", mixing.F.monotonically_increasing_id()).collect()
+    got = mixing.mixed(spark.createDataFrame(numbered, "doc_id long, text string, source string, n long"), bucket=20, row=mixing.F.col("n")).collect()
+    taken = Counter()
+    for r in got:
+        taken[source[numbered_text(numbered, r.row)]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
+
+
+def numbered_text(rows, n):
+    return next(r.text for r in rows if r.n == n)
+
+
+def test_rounding_keeps_expectations():
+    """Over many seeds each document is taken as often as its fraction says, and the words missed are those of a small document."""
+    rng = np.random.default_rng(12)
+    sizes = np.sort(rng.integers(1, 300, 80)).astype(float)[::-1]
+    ids = np.arange(80)
+    runs = np.stack([mixing.rounded(ids, sizes, np.full(80, 0.3), seed, True) for seed in range(1500)])
+    assert set(np.unique(runs)) == {0.0, 1.0}
+    assert np.abs(runs.mean(0) - 0.3).max() < 0.06
+    missed = np.abs(runs @ sizes - 0.3 * sizes.sum())
+    assert missed.mean() < 10 and missed.max() < sizes[0] / 3
+
+
 def test_pivot_keeps_mass():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 400, 500).astype(float).tolist()
@@ -348,7 +429,7 @@ def test_embeddings(spark):
                     n[i] += 1 if _ == 0 else 0
                     root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
     want = Counter((r[0], 0, r[0]) for r in rows if r not in good) + Counter((r[0], n[i], root[r[0]]) for i, r in enumerate(good))
-    for block, cell in ((2048, 1024), (4, 8)):
+    for block, cell in ((2048, 1024), (4, 8), (2048, 8)):
         old, embeddings.CELL = embeddings.CELL, cell
         got = embeddings.near_vectors(df, block=block).collect()
         embeddings.CELL = old
@@ -357,6 +438,38 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_embeddings_in_cells_of_default_size(spark):
+    """One label of over CELL vectors: k-means runs, and no pair is lost across cells."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(2500, 12))
+    x[:400] = x[2000:2400] + 0.05 * rng.normal(size=(400, 12))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    classes = embeddings.parsed(df).selectExpr("label", "key", "vec", "vec_id AS cls", "1L AS n")
+    assert [len(c) for c in embeddings.centroids(classes).values()] == [3]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= embeddings.COSINE
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    assert [got[i] for i in range(2500)] == (hit.sum(1) - 1).tolist() and sum(got.values()) > 300
+
+
+def test_odd_vector_rows(spark):
+    """Null vec_ids link like others; columns of the operator's own names don't matter."""
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 1, "x"), (None, v, 1, "x"), (7, v, 1, "x"), (8, [3.0, -1.0, 0.0], 1, "x"), (9, v, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, key string").withColumn("cls", mixing.F.lit(0)).withColumn("n", mixing.F.lit(5))
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect())
+    assert got == Counter({(None, 2, 7): 2, (7, 2, 7): 1, (8, 0, 8): 1, (9, 0, 9): 1})
+
+
+def test_sharding_of_odd_ids(odd):
+    rows = sharding.sharded(odd, 3).collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in odd.collect())
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 def test_sharding(docs, none):
     rows = sharding.sharded(docs, 3).collect()
     by = {}
