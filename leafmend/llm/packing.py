@@ -106,8 +106,8 @@ def packed(docs: DataFrame, size: int = SIZE, end: int = 0, vocabulary: str | No
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece of each row of docs.
 
     docs: doc_id and text, other columns ignored. A null text is empty and is
-    packed as its end id alone; rows with equal doc_id are packed as rows of
-    their own; an empty table gives no rows. offset is gapless from 0 in each
+    packed as its end id alone; rows with equal or null doc_id are packed as
+    rows of their own; an empty table gives no rows. offset is gapless from 0 in each
     sequence. Buckets hold about bucket pieces whatever the table's size.
     """
     rows = kept(pieces(docs, size, end, vocabulary).withColumn("row", F.monotonically_increasing_id()))

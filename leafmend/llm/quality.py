@@ -98,8 +98,8 @@ def judged(docs: DataFrame) -> DataFrame:
     docs: doc_id and text, other columns ignored. A null text has no words and
     fails; so does an empty one. clean_text joins the lines that pass (blank
     ones too) by line feeds and is null where the text is. A text is judged
-    whole; repeated rows are judged each; an empty table gives no rows. Nothing
-    is shuffled.
+    whole; repeated rows are judged each, and a null doc_id stays null; an
+    empty table gives no rows. Nothing is shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")

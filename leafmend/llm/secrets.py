@@ -4,7 +4,10 @@ A value that follows a credential word is cut into dictionary words, dates,
 repeats, sequences, keyboard walks and brute-force characters so that the
 guesses needed are fewest (dynamic programming over the value's positions). A
 value that takes at least GUESSES guesses is a secret; placeholders and prose
-take few.
+take few. The dictionary is a short list of frequent passwords and, behind it,
+the most frequent words of all the documents that are scanned, by rank; so what
+is an ordinary word follows from the corpus. Addresses (scheme://...) are no
+credentials.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +32,11 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
     r"""(?ai)(?<![a-z])(?:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))"""
 )
+_ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://", re.I)
 #: Decimal exponent of the guesses from which a value is a secret.
 GUESSES = 10.0
+#: The corpus' words in the dictionary: the most frequent ones, of so many letters.
+FREQUENT, LETTERS = 20_000, (3, 20)
 #: Frequent passwords and words of placeholders, most frequent first.
 COMMON = """password 123456 12345678 qwerty admin letmein welcome monkey dragon master login abc123 iloveyou
 sunshine princess football baseball shadow michael superman batman trustno1 hello freedom whatever secret token
@@ -111,6 +119,18 @@ def _brute(piece: str) -> float:
     return sum(_one(piece, i) for i in range(len(piece)))
 
 
+_LENGTHS: dict[int, tuple[dict[str, int], int]] = {}
+
+
+def _longest(words: dict[str, int]) -> int:
+    """Letters of a dictionary's longest word, found once for each dictionary."""
+    known = _LENGTHS.get(id(words))
+    if known is None or known[0] is not words:
+        _LENGTHS.clear()
+        known = _LENGTHS[id(words)] = (words, max(map(len, words), default=0))
+    return known[1]
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None, most: float = math.inf) -> float:
     """The least log10 of guesses over all segmentations of value; infinite where it is most or more.
 
@@ -121,7 +141,7 @@ def guess_cost(value: str, words: dict[str, int] | None = None, most: float = ma
     values of any length are costed whole.
     """
     words = words if words is not None else DICTIONARY
-    n, low, longest = len(value), value.lower(), max(map(len, words), default=0)
+    n, low, longest = len(value), value.lower(), _longest(words)
     plain = low.translate(_LEET)
     open_ = {0: 0.0}
     for i, spans in enumerate(_spans(value, low)):
@@ -141,9 +161,21 @@ def guess_cost(value: str, words: dict[str, int] | None = None, most: float = ma
 DICTIONARY = {w: i + 1 for i, w in enumerate(COMMON)}
 
 
-def _gaps(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What sorted spans leave of a value."""
-    for s, e, _ in spans:
+def dictionary(docs: DataFrame, most: int = FREQUENT) -> dict[str, int]:
+    """Word to rank: COMMON first, then the most frequent words (letters a-z, case folded) of all texts, ties by spelling.
+
+    Counts are partial aggregates; the driver gets most words.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word"))
+    words = words.where(F.length("word").between(*LETTERS)).groupBy("word").count().where("count > 1")
+    found = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(most).collect()]
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *found]))}
+
+
+def _gaps(start: int, end: int, spans: list[tuple[int, int, str]], reach: list[int]) -> Iterator[tuple[int, int]]:
+    """What spans, sorted by start, leave of a value; reach: the furthest end of each and those before it."""
+    for i in range(bisect_right(reach, start), len(spans)):  # from the first that ends after start
+        s, e, _ = spans[i]
         if s >= end:
             break
         if s > start:
@@ -153,7 +185,7 @@ def _gaps(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[t
         yield start, end
 
 
-def find(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str]]:
+def find(text: str | None, guesses: float = GUESSES, words: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in a text, by start, then by the order of KINDS."""
     text = text or ""
     found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -161,10 +193,11 @@ def find(text: str | None, guesses: float = GUESSES) -> list[tuple[int, int, str
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     base = sorted(found)
+    reach = list(accumulate((e for _, e, _ in base), max))
     for m in _CONTEXT.finditer(text):
         k = m.lastindex
-        if k:
-            found += [(s, e, "guess") for s, e in _gaps(m.start(k), m.end(k), base) if guess_cost(text[s:e], most=guesses) >= guesses]
+        if k and not _ADDRESS.match(m[k]):
+            found += [(s, e, "guess") for s, e in _gaps(m.start(k), m.end(k), base, reach) if guess_cost(text[s:e], words, guesses) >= guesses]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -182,14 +215,16 @@ def redact(text: str, spans: list[tuple[int, int, str]], mask: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def scanned(docs: DataFrame, guesses: float = GUESSES, mask: str = "[SECRET]") -> DataFrame:
+def scanned(docs: DataFrame, guesses: float = GUESSES, mask: str = "[SECRET]", words: dict[str, int] | None = None) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans and clean_text added, row by row.
 
     docs: text and any others (columns of those names are replaced). A null
     text has no secrets and stays null in clean_text; an empty table gives no
-    rows. The base matches are as the contract has them; the guess spans never
-    overlap one. Texts are scanned whole, one at a time.
+    rows; doc_id, null or repeated, plays no part. The base matches are as the
+    contract has them; the guess spans never overlap one. Texts are scanned
+    whole, one at a time. words: the dictionary; by default that of docs.
     """
+    words = dictionary(docs) if words is None else words
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"]
     base = docs.drop(*own)
 
@@ -199,7 +234,7 @@ def scanned(docs: DataFrame, guesses: float = GUESSES, mask: str = "[SECRET]") -
             rows = []
             for x in b.column(at):
                 text = x.as_py()
-                spans = find(text, guesses)
+                spans = find(text, guesses, words)
                 first = [s for s in spans if s[2] != "guess"]
                 n = [sum(s[2] == k for s in spans) for k in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(_joined(first).encode()).hexdigest(), _joined(spans), redact(text, spans, mask) if spans else text))
