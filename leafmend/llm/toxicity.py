@@ -36,6 +36,8 @@ FOLDS, COST = 5, 3.0
 CHANCE = 0.1
 #: Correlation of votes from which one voter is taken for another's copy before anything is known of the classes.
 COPY = 0.85
+#: Votes from which a voter's correlations are believed.
+RARE = 20
 #: How likely a row with a single vote is at first: a voter is taken to be right rather than wrong.
 ALONE = 0.75
 #: Insults, each a voter by itself.
@@ -119,7 +121,7 @@ def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 6
     it is known; without it too few independent voters leave it open.
     """
     n, m = votes.shape
-    rates, rare = np.full((2, m), 0.5), votes.sum(0) < 2
+    rates, rare = np.full((2, m), 0.5), votes.sum(0) < RARE
     rest = votes - votes.mean(0)
     corr = rest.T @ rest / max(1, n) / np.outer(rest.std(0) + 1e-6, rest.std(0) + 1e-6)
     corr[(corr < COPY) | rare[:, None] | rare[None, :]] = 0

@@ -159,6 +159,124 @@ def test_secrets():
     assert "0123456789abcdef" not in secrets.redact(text, secrets.find(text))
 
 
+def brute_base(text):
+    """The base spans read off letter by letter from the contract, without the operator's patterns."""
+    out, low = [], text.lower()
+    space = lambda i: next((j for j in range(i, len(text) + 1) if j == len(text) or text[j] != " "), i)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        done = None
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low[i : i + len(word)] == word and text[i : i + len(word)].isascii():
+                for quote in (1, 0):
+                    j = i + len(word)
+                    if quote and not (j < len(text) and text[j] in "\"'"):
+                        continue
+                    j = space(j + quote)
+                    if j < len(text) and text[j] in ":=":
+                        j = space(j + 1)
+                        j += j < len(text) and text[j] in "\"'"
+                        k = j
+                        while k < len(text) and text[k] in value:
+                            k += 1
+                        if k > j:
+                            done = (k, k - j >= 12)
+                            break
+            if done:
+                break
+        if done:
+            out += [("assign", i, done[0])] * done[1]
+            i = done[0]
+        else:
+            i += 1
+    for kind, start, letters, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        i = 0
+        while i < len(text):
+            j = i + len(start)
+            while text.startswith(start, i) and j < len(text) and text[j] in letters:
+                j += 1
+            if j > i + len(start):
+                out += [(kind, i, j)] * (j - i >= least)
+                i = j
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secret_base_against_brute_force(spark, none):
+    rng = np.random.default_rng(41)
+    parts = ["password", "PassWord", "api_key", "apikey", "token", "secret", "passwd", '"', "'", " ", "  ", ":", "=", "\n", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "Xq7+/_.=-", "Zz9", "é", "한", "ſecret", "K", "x"]
+    rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 14))))) for i in range(1200)]
+    rows += [(None, None), (None, "password=" + "a" * 5000), (3, ""), (3, "f" * 40), (5, 'token: "' + "k" * 300 + '"')]
+    got = Counter(map(tuple, secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).drop("spans").collect()))
+    want = Counter()
+    for i, t in rows:
+        b = brute_base(t or "")
+        n = Counter(k for k, _, _ in b)
+        want[(i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in b).encode()).hexdigest())] += 1
+    assert got == want
+    assert secrets.digest(none).count() == 0
+
+
+def brute_cost(v, words):
+    """The least cost over all segmentations, tried one by one."""
+    low, plain = v.lower(), v.lower().translate(secrets._LEET)
+    spans = list(secrets._spans(v, low))
+
+    def least(i):
+        if i == len(v):
+            return 0.0
+        order = np.log10(2) if i else 0.0
+        ways = [secrets._one(v, i) + least(i + 1)]
+        ways += [c + order + least(j) for j, c in spans[i]]
+        for j in range(i + 3, len(v) + 1):
+            for form, extra in ((low, 0.0), (plain, 0.5)):
+                if form[i:j] in words:
+                    ways.append(np.log10(words[form[i:j]] + 1) + extra + (0.3 if v[i:j] != low[i:j] else 0.0) + order + least(j))
+                    break
+        return min(ways)
+
+    return least(0)
+
+
+def test_guess_cost_against_all_segmentations():
+    rng = np.random.default_rng(19)
+    words = {"horse": 40, "blue": 7, "pass": 3, "password": 1, "lue": 90, "river": 1000}
+    parts = ["horse", "blue", "P4ss", "password", "1999", "2020-01-31", "aaaa", "qwer", "abcd", "xY", "7", "#", "blueblue", "river"]
+    for _ in range(150):
+        v = "".join(rng.choice(parts, int(rng.integers(0, 4))))[:13]
+        assert secrets.guess_cost(v, words) == pytest.approx(brute_cost(v, words))
+
+
+def test_guess_spans_tell_secrets_from_words(spark):
+    """Planted values: random ones of 10 to 400 signs are found, ordinary ones in the same places are not."""
+    rng = np.random.default_rng(77)
+    signs = list("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789!#%*+")
+    plain = [f"The {a} {b} stays in the {c}." for a in ("green", "river", "number") for b in ("house", "garden", "account") for c in ("folder", "office", "window")]
+    bad = ["".join(rng.choice(signs, int(n))) for n in rng.integers(10, 40, 60)] + ["".join(rng.choice(signs, n)) for n in (256, 257, 300, 400)]
+    good = ["changeme", "see office", "riverhouse", "password1", "https://example.org/path/to/page?x=81723", "none", "2024-05-01", "green window", "aaaaaaaaaaaaaa", "qwertyuiop", "xxxxxxxx"]
+    text = [f'{k} = "{v}"' for v, k in zip(bad, ["pwd", "auth", "passphrase", "private_key"] * 20, strict=False)]
+    fine = [f'{k}: "{v}"' for v in good for k in ("pwd", "auth", "credentials")]
+    rows = [(i, t) for i, t in enumerate([*text, *fine, *(plain * 3)])]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [bool(got[i]) for i in range(len(rows))]
+    assert sum(found[: len(text)]) == len(text)
+    assert sum(found[len(text) :]) == 0
+
+
+def test_many_matches_take_linear_time():
+    import time
+
+    def took(n):
+        t, began = "pwd=x password=abcdefghijkl1 " * n, time.process_time()
+        assert len(secrets.find(t)) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(16000) < 12 * max(took(2000), 0.01)
+
+
 def test_secret_scan_keeps_columns(docs, none):
     out = secrets.scanned(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
