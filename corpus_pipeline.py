@@ -2,7 +2,10 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents. A stage on an empty table returns none.
+return the columns of documents, whatever their names; rows are told apart by a
+number of their own, so null and repeated doc_ids, repeated rows and columns
+named like an operator's make no difference. A stage on an empty table returns
+none. run() deletes a stage's folder as soon as the next one is written.
 """
 
 from __future__ import annotations
@@ -11,47 +14,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmend.llm import mixing, packing, secrets, simhash, toxicity
-from leafmend.llm.common import kept, new_path
+from leafmend.llm.common import dropped, kept, new_path
+
+#: The column that numbers rows; no table has it.
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written once so that a row keeps its number."""
+    return kept(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier predicts as toxic go; all others stay as they are."""
+    """Documents that the toxicity classifier predicts as toxic go; all others stay as they are, null and empty texts too."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    return toxicity.scored(packed, model).where("predicted = 0").select("document.*")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one row stays: that of the smallest doc_id, nulls last, and of its rows the first.
 
-    Rows are numbered and kept before the search, so equal rows, rows without
-    a doc_id and different texts of one doc_id are told apart.
+    Null and empty texts share a fingerprint, so one row of them stays.
     """
-    rows = kept(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    named = found.select("component_id", F.col("doc_id").alias("_row")).join(rows.select("_row", "doc_id"), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
-    return rows.join(kept(first.select("first._row")), "_row", "left_semi").select(*docs.columns)
+    rows = _numbered(docs)
+    found = simhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    named = found.select("component_id", F.col("doc_id").alias(ROW)).join(rows.select(ROW, "doc_id"), ROW)
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    return rows.join(kept(first.select(f"first.{ROW}")), ROW, "left_semi").select(*docs.columns)
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are masked, and n_chars follows the text."""
-    out = secrets.scanned(docs)
-    text = F.col("clean_text").alias("text")
-    n_chars = F.when(F.col("clean_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("clean_text").cast("long")).alias("n_chars")
-    changed = {"text": text, "n_chars": n_chars}
-    return out.select(*(changed.get(c, F.col(c)) for c in docs.columns))
+    """Every document stays; secrets in its text are masked, and n_chars (where there is one) follows the text."""
+    packed = docs.select(F.struct(*docs.columns).alias("document"), "text")
+    out = secrets.scanned(packed)
+    same = F.col("clean_text").eqNullSafe(F.col("document.text"))
+    n_chars = lambda: F.when(same, F.col("document.n_chars")).otherwise(F.length("clean_text").cast("long")).alias("n_chars")
+    changed = {"text": lambda: F.col("clean_text").alias("text"), "n_chars": n_chars}
+    return out.select(*(changed[c]() if c in changed else F.col(f"document.`{c}`") for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once or twice."""
-    plan = mixing.mixed(docs)
-    copies = kept(plan.groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))).withColumnRenamed("doc_id", "_doc")
-    out = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")))
-    return out.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice. Rows without words are never taken."""
+    rows = _numbered(docs)
+    plan = mixing.mixed(rows, row=F.col(ROW))
+    copies = plan.where("copies > 0").select(F.col("row").alias(ROW), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("_pipeline_copies"))
+    return rows.join(copies, ROW).withColumn("_pipeline_copy", F.explode("_pipeline_copies")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row for each piece of each row."""
+    """Sequences of at most 2048 tokens: one row for each piece of each row; a null text is its end id alone."""
     return packing.packed(docs)
 
 
@@ -69,9 +81,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            dropped(spark, before)
+        before = path
+    out = kept(STAGES[-1][1](spark, docs, sf_dir))
+    dropped(spark, before)
+    return out
