@@ -37,6 +37,12 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/leafmend-{what}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared place that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def components(edges: DataFrame, salts: int = 8, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an undirected graph of long ids.
 
