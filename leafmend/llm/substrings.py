@@ -245,7 +245,7 @@ def _settled_windows(plan: _Plan, first: bool):
 
 
 def _windows(plan: _Plan):
-    """(id, variant, text, later) to packed rows: every 25-word window of the first document of each distinct text."""
+    """(id, variant, text, later, ...) to packed rows: every 25-word window of the first document of each distinct text."""
     packed = _settled_windows(plan, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +367,7 @@ def _after_first(doc: np.ndarray, extra: np.ndarray) -> np.ndarray:
 
 
 def _spans(plan: _Plan):
-    """(id, variant, text, places) to packed rows: the 50-word windows around anchors."""
+    """(id, variant, text, places, ...) to packed rows: the 50-word windows around anchors."""
     packed = _settled_spans(plan, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +419,7 @@ def _routed(packed: DataFrame, plan: _Plan, settled) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, later, starts) to the digest and the text that is left."""
+    """(doc_id, text, later, starts, ...) to the digest and the text that is left."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "clean_text"]
     for batch in batches:
         out = []
@@ -462,17 +462,18 @@ def without_repeats(docs: DataFrame, dealt: int = DEALT, bucket_bytes: int = BUC
     plan = _Plan(int(max(LEAST_BUCKETS, whole // bucket_bytes)), dealt)
     long_ = rows.where(F.octet_length("text") >= SHORT)
     named = _with_variant(long_.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id").isNotNull().alias("given"), F.xxhash64("text").alias("h"), "text"))
-    # One exchange of the texts serves three joins: left joins leave it as it is, so Spark reuses it.
+    # One exchange of the texts serves three joins: left joins leave it as it is, so Spark reuses it. All take
+    # the same columns of it, doc_id too, or each would be pruned to an exchange of its own.
     key = ["id", "variant"]
     texts = named.select("doc_id", *key, "text").repartition(_tasks(docs.sparkSession, whole), *key)
     later = kept(_later(named))
-    windows = texts.join(later, key, "left").select(*key, "text", "later").mapInArrow(_windows(plan), PACKED)
+    windows = texts.join(later, key, "left").select(*key, "text", "later", "doc_id").mapInArrow(_windows(plan), PACKED)
     anchors = _routed(windows, plan, _settled_windows).mapInArrow(_anchors, "id long, variant long, place int")
     anchors = anchors.groupBy(*key).agg(F.collect_list("place").alias("places"))
-    spans = texts.join(anchors, key, "left").select(*key, "text", "places").mapInArrow(_spans(plan), PACKED)
+    spans = texts.join(anchors, key, "left").select(*key, "text", "places", "doc_id").mapInArrow(_spans(plan), PACKED)
     gone = _routed(spans, plan, _settled_spans).mapInArrow(_repeats, "id long, variant long, start int")
     gone = gone.groupBy(*key).agg(F.collect_list("start").alias("starts"))
-    out = texts.join(later, key, "left").join(gone, key, "left").select("doc_id", "text", "later", "starts")
+    out = texts.join(later, key, "left").join(gone, key, "left").select("doc_id", "text", "later", "starts", *key)
     short = rows.where(F.octet_length("text") < SHORT).select("doc_id", "text", F.lit(False).alias("later"), F.lit(None).cast("array<int>").alias("starts"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, clean_text string"
     return out.mapInArrow(_cut, schema).unionByName(short.mapInArrow(_cut, schema))
