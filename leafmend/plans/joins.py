@@ -83,11 +83,11 @@ def carried_choices(d) -> str:
 
 
 def multiset_equality(d) -> str:
-    """Whether two orderings hold the same rows: reordered, not changed."""
+    """Whether two orderings hold the same rows, however often each: reordered, not changed. The second has part 1 where an order has a seventh line."""
     return """
-    SELECT a.l_orderkey, a.h = b.h AS same FROM
-      (SELECT l_orderkey, sum(l_partkey * l_partkey % 1000003) AS h FROM lineitem GROUP BY l_orderkey) a
-      JOIN (SELECT l_orderkey, sum(CASE WHEN l_linenumber = 7 THEN 1 ELSE l_partkey * l_partkey % 1000003 END) AS h FROM lineitem GROUP BY l_orderkey) b ON a.l_orderkey = b.l_orderkey"""
+    SELECT l_orderkey, sum(abs(n)) = 0 AS same FROM (
+      SELECT l_orderkey, p, sum(side) AS n FROM (
+        SELECT l_orderkey, l_partkey AS p, 1 AS side FROM lineitem UNION ALL SELECT l_orderkey, CASE WHEN l_linenumber = 7 THEN 1 ELSE l_partkey END, -1 FROM lineitem) GROUP BY l_orderkey, p) GROUP BY l_orderkey"""
 
 
 def claimed_keys(d) -> str:

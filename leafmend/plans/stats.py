@@ -87,7 +87,7 @@ def producer_summary(d) -> str:
 
 
 def body_size(d) -> str:
-    """The most frequent half-step of discount by flag; ties to the smallest."""
+    """The most frequent half-step of a tenth of the quantity by flag; ties to the smallest."""
     return """
     SELECT l_returnflag, size_half, n FROM (SELECT l_returnflag, size_half, n, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, size_half) AS rn FROM (
       SELECT l_returnflag, round(l_quantity / 5) / 2 AS size_half, count(*) AS n FROM lineitem GROUP BY l_returnflag, round(l_quantity / 5) / 2)) WHERE rn = 1"""
@@ -111,10 +111,11 @@ def clock_words(d) -> str:
 
 
 def duration_words(d) -> str:
-    """Seconds as minutes and seconds."""
-    s = "CAST(floor(value) AS BIGINT)"
-    return f"""SELECT event_id, CASE WHEN value < 1 THEN 'less than 1 s' WHEN value < 60 THEN concat(CAST({s} AS STRING), ' s')
-      ELSE concat(CAST(CAST(floor(value / 60) AS BIGINT) AS STRING), ' min ', CAST({s} % 60 AS STRING), ' s') END AS words FROM events"""
+    """Seconds in words: under half a second, seconds, minutes and seconds, hours and minutes; halves are rounded to even."""
+    whole = "CASE WHEN v - floor(v) = 0.5 THEN floor(v) + floor(v) % 2 ELSE floor(v + 0.5) END"
+    text = lambda x: f"CAST(CAST({x} AS BIGINT) AS STRING)"
+    return f"""SELECT event_id, CASE WHEN v < 0.5 THEN 'less than 1 s' WHEN s < 60 THEN concat({text("s")}, ' s') WHEN s < 3600 THEN concat({text("floor(s / 60)")}, ' min ', {text("s % 60")}, ' s')
+      ELSE concat({text("floor(s / 3600)")}, ' h ', {text("floor(s % 3600 / 60)")}, ' min') END AS words FROM (SELECT event_id, v, {whole} AS s FROM (SELECT event_id, value * 20 AS v FROM events))"""
 
 
 def size_band(d) -> str:
@@ -124,8 +125,9 @@ def size_band(d) -> str:
 
 
 def allowance(d) -> str:
-    """Most tokens by kind and forms."""
-    return """SELECT doc_id, CAST(CASE lang WHEN 'en' THEN least(8000, greatest(1000, 20 * (n_chars / 100.0))) WHEN 'de' THEN 4000.0 ELSE least(12000, 500 + n_chars / 4.0) END AS DOUBLE) AS most FROM documents"""
+    """Most tokens of a request by kind and forms: English stands for work orders, German for figures, the others for language requests."""
+    return """SELECT doc_id, CAST(CASE lang WHEN 'en' THEN greatest(48000, 16000 + 45 * forms) WHEN 'de' THEN 32000 ELSE 800 + 200 * least(forms, 20) + 130 * greatest(0, forms - 20) END AS BIGINT) AS most
+      FROM (SELECT doc_id, lang, n_chars % 2000 AS forms FROM documents)"""
 
 
 def session_mirror(d) -> str:

@@ -14,6 +14,11 @@ EDGES_MORE = EDGES + "’‘“”–—-"
 JUNK = r"[#@®©&§¶|\\^~{}<>¤¢£¥€°±×÷=+*_™]"
 
 
+#: Link texts that say nothing, and those that are an address only.
+GENERIC = r"^(click |tap )?(here|more|read more|learn more|link|this link|this|details|go|continue|website)[^\pL\pN_]*$"
+ADDRESS = r"^\s*(https?://|www[.])\S+\s*$"
+
+
 def _stripped(d, edges: str) -> str:
     """Documents' words without these signs at their edges, as column w; each text has one more that is empty (the stop), so that none is left out."""
     core = d.replaced("raw", f"^[{edges}]+|[{edges}]+$", "")
@@ -128,16 +133,16 @@ def link_counts(d) -> str:
 def link_text_flags(d) -> str:
     """Link texts that say nothing: generic, an address only, without letters, or used three times or more."""
     return f"""
-    SELECT t, n, CASE WHEN {d.matches("lower(t)", "^(click here|read more|here|more|link|this page)[.]?$")} THEN 'generic' WHEN {d.matches("t", "^https?://[^ ]+$")} THEN 'address'
+    SELECT t, n, CASE WHEN {d.matches("lower(t)", GENERIC)} THEN 'generic' WHEN {d.matches("t", ADDRESS)} THEN 'address'
       WHEN NOT {d.matches("t", r"\pL")} THEN 'no letters' WHEN n >= 3 THEN 'repeated' ELSE 'fine' END AS flag
     FROM (SELECT t, count(*) AS n FROM (SELECT trim(x) AS t FROM pages {d.each(d.found("html", "<a [^>]*>([^<]*)</a>", 1), "x")}) GROUP BY t)"""
 
 
 def slugs(d) -> str:
-    """Headings as anchors, and as excerpts of 40 characters."""
+    """Headings as anchors (letters, digits, underscores and hyphens stay, each space is a hyphen), and cut to 40 characters."""
     h = d.first("html", "<h1[^>]*>([^<]*)</h1>")
     return f"""
-    SELECT page_id, {d.replaced(d.replaced("lower(trim(h))", "[^a-z0-9]+", "-"), "^-+|-+$", "")} AS slug,
+    SELECT page_id, {d.replaced(d.replaced("lower(trim(h))", r"[^\pL\pN_ -]", ""), " ", "-")} AS slug,
       CASE WHEN length(c) <= 40 THEN c ELSE concat(substr(c, 1, 39), '…') END AS clipped
     FROM (SELECT page_id, h, trim({d.replaced("h", "[ ]+", " ")}) AS c FROM (SELECT page_id, {h} AS h FROM pages))"""
 
@@ -156,8 +161,12 @@ def grouping_two_level(d) -> str:
 
 
 def cleaned_text(d) -> str:
-    """Control characters go and line ends become plain; the result by its hash."""
-    return f"SELECT doc_id, {d.sha256(d.replaced('text', r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ''))} AS hash FROM documents"
+    """A person's text as kept, by hashes: line ends become plain, control characters but tabs and line feeds go, directions too; as it is, and on one line."""
+    plain = d.replaced("coalesce(text, '')", r"\x0D\x0A?", "@@LF@@")
+    plain = f"replace({plain}, '@@LF@@', chr(10))"
+    kept = d.replaced(plain, r"[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
+    edges = d.replaced("t", f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return f"SELECT doc_id, {d.sha256(edges)} AS hash, {d.sha256('trim(' + d.replaced('t', f'[{SPACES}]+', ' ') + ')')} AS line_hash FROM (SELECT doc_id, {kept} AS t FROM documents)"
 
 
 def bag_diff(d) -> str:
@@ -187,11 +196,12 @@ def loose_keys(d) -> str:
 
 
 def excerpts(d) -> str:
-    """The first 100 characters of a document, cut at a word's end."""
-    flat = f"trim({d.replaced('text', WHITE, ' ')})"
+    """About the first 100 characters of a document, cut at a word's end where one comes after 60, signs before the cut left out."""
+    flat = f"trim({d.replaced('text', f'[{SPACES}]+', ' ')})"
+    cut = "CASE WHEN sp > 60 THEN substr(t, 1, sp) ELSE substr(t, 1, 100) END"
     return f"""
-    SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE concat({d.replaced("substr(t, 1, 100)", " [^ ]*$", "")}, '…') END AS excerpt
-    FROM (SELECT doc_id, {flat} AS t FROM documents WHERE text IS NOT NULL)"""
+    SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE concat({d.replaced(cut, "[ ,;:.–—-]+$", "")}, '…') END AS excerpt
+    FROM (SELECT doc_id, t, CAST(length({d.replaced("substr(t, 1, 101)", "[^ ]*$", "")}) AS INT) - 1 AS sp FROM (SELECT doc_id, {flat} AS t FROM documents WHERE text IS NOT NULL))"""
 
 
 def markdown_escaped(d) -> str:
@@ -202,6 +212,7 @@ def markdown_escaped(d) -> str:
 
 
 def stem_names(d) -> str:
-    """Addresses as names: the last part without its ending, dashes as spaces."""
+    """File names (the last part of an address) as read: no .pdf, underscores and hyphens as spaces."""
     last = d.first("url", "([^/?#]*)/*(?:[?#].*)?$")
-    return f"""SELECT page_id, trim({d.replaced(d.replaced(last, "[.][A-Za-z0-9]+$", ""), "[-_]+", " ")}) AS stem FROM pages"""
+    stem = f"trim({d.replaced(d.replaced(d.replaced('file', '(?i)[.]pdf$', ''), '[_-]+', ' '), f'[{SPACES}]+', ' ')})"
+    return f"SELECT page_id, coalesce(nullif({stem}, ''), file) AS stem FROM (SELECT page_id, {last} AS file FROM pages)"
