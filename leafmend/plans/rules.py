@@ -165,12 +165,12 @@ def checklists(d) -> str:
     """Results of evaluations: complete where each item of the checklist has one of its choices and no item is unknown; the items marked fail."""
     answers, items = _values(ANSWERS, "r", "id, section, item, result"), _values(CHECKLIST, "c", "section, item, choices")
     return f"""
-    SELECT w.id, w.section, coalesce(sum(CASE WHEN good THEN 0 ELSE 1 END), 0) = 0 AND max(w.unknown) = 0 AS complete, CAST(sum(CASE WHEN result = 'fail' THEN 1 ELSE 0 END) AS BIGINT) AS issues
-    FROM (SELECT a.id, a.section, sum(CASE WHEN i.item IS NULL THEN 1 ELSE 0 END) AS unknown FROM (SELECT * FROM {answers}) a LEFT JOIN (SELECT * FROM {items}) i ON i.section = a.section AND i.item = a.item GROUP BY a.id, a.section) w
-    JOIN (SELECT x.section, x.item, x.choices, y.id, y.result, coalesce(concat(',', x.choices, ',') LIKE concat('%,', y.result, ',%'), false) AS good FROM (
-      SELECT DISTINCT k.id, c2.section, c2.item, c2.choices FROM (SELECT DISTINCT id, section FROM {answers}) k JOIN (SELECT * FROM {items}) c2 ON c2.section = k.section) x
-      LEFT JOIN (SELECT id AS rid, section AS rs, item AS ri, result, id FROM {answers}) y ON y.rid = x.id AND y.rs = x.section AND y.ri = x.item) z ON z.section = w.section AND (z.id = w.id OR z.id IS NULL)
-    GROUP BY w.id, w.section"""
+    WITH a AS (SELECT id, section, item, result FROM {answers}), c AS (SELECT section, item, choices FROM {items}),
+    asked AS (SELECT k.id, c.section, c.item, c.choices FROM (SELECT DISTINCT id, section FROM a) k JOIN c ON c.section = k.section),
+    unknown AS (SELECT a.id, a.section, sum(CASE WHEN c.item IS NULL THEN 1 ELSE 0 END) AS n FROM a LEFT JOIN c ON c.section = a.section AND c.item = a.item GROUP BY a.id, a.section),
+    judged AS (SELECT q.id, q.section, a.result, coalesce(concat(',', q.choices, ',') LIKE concat('%,', a.result, ',%'), false) AS good FROM asked q LEFT JOIN a ON a.id = q.id AND a.section = q.section AND a.item = q.item)
+    SELECT j.id, j.section, sum(CASE WHEN good THEN 0 ELSE 1 END) = 0 AND max(u.n) = 0 AS complete, CAST(sum(CASE WHEN result = 'fail' THEN 1 ELSE 0 END) AS BIGINT) AS issues
+    FROM judged j JOIN unknown u ON u.id = j.id AND u.section = j.section GROUP BY j.id, j.section"""
 
 
 def live_shipments(d) -> str:

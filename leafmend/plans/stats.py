@@ -6,19 +6,24 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 
 
 def wls_by_group(d) -> str:
-    """Weighted least squares of log price on log quantity; each brand weighs 1; a ridge of 1e-6."""
+    """Weighted least squares of log price on log quantity; each brand weighs 1; a ridge of 1e-6. Brands are averaged first, so one row of each is exchanged."""
     return """
-    WITH x AS (SELECT ln(l_quantity) AS x, ln(l_extendedprice) AS y, 1.0 / count(*) OVER (PARTITION BY p_brand) AS w FROM lineitem JOIN part ON p_partkey = l_partkey),
-    s AS (SELECT sum(w) + 1e-6 AS s0, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) + 1e-6 AS sxx, sum(w * x * y) AS sxy FROM x)
+    WITH x AS (SELECT p_brand, avg(x) AS x, avg(y) AS y, avg(x * x) AS xx, avg(x * y) AS xy FROM (SELECT p_brand, ln(l_quantity) AS x, ln(l_extendedprice) AS y FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY p_brand),
+    s AS (SELECT count(*) + 1e-6 AS s0, sum(x) AS sx, sum(y) AS sy, sum(xx) + 1e-6 AS sxx, sum(xy) AS sxy FROM x)
     SELECT round((s0 * sxy - sx * sy) / (s0 * sxx - sx * sx), 6) AS slope, round((sxx * sy - sx * sxy) / (s0 * sxx - sx * sx), 6) AS intercept FROM s"""
 
 
 def weighted_quantile(d) -> str:
-    """The 95 % quantile of price where each return flag weighs as much, by line status."""
+    """The 95 % quantile of price where each return flag weighs as much, by line status: prices are counted first, in steps of a hundred, and only the step that holds it is sorted."""
     return """
-    SELECT l_linestatus, min(l_extendedprice) AS q95 FROM (
-      SELECT l_linestatus, l_extendedprice, sum(w) OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice) / sum(w) OVER (PARTITION BY l_linestatus) AS so_far FROM (
-        SELECT l_linestatus, l_extendedprice, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY l_linestatus, l_returnflag) AS w FROM lineitem))
+    WITH n AS (SELECT l_linestatus, l_returnflag, count(*) AS rows_n FROM lineitem GROUP BY l_linestatus, l_returnflag),
+    v AS (SELECT l_linestatus, l_returnflag, l_extendedprice AS v, floor(l_extendedprice / 100) AS step, count(*) AS c FROM lineitem GROUP BY l_linestatus, l_returnflag, l_extendedprice),
+    w AS (SELECT v.l_linestatus, v.step, v.v, sum(v.c * CAST(1 AS DOUBLE) / n.rows_n) AS w FROM v JOIN n ON n.l_linestatus = v.l_linestatus AND n.l_returnflag = v.l_returnflag GROUP BY v.l_linestatus, v.step, v.v),
+    steps AS (SELECT l_linestatus, step, sum(w) AS w FROM w GROUP BY l_linestatus, step),
+    run AS (SELECT l_linestatus, step, w, sum(w) OVER (PARTITION BY l_linestatus ORDER BY step) AS so_far, sum(w) OVER (PARTITION BY l_linestatus) AS whole FROM steps),
+    hit AS (SELECT l_linestatus, step, so_far - w AS before_w, whole FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY step) AS rn FROM run WHERE so_far / whole >= 0.9501) WHERE rn = 1)
+    SELECT l_linestatus, min(v) AS q95 FROM (
+      SELECT w.l_linestatus, w.v, (before_w + sum(w.w) OVER (PARTITION BY w.l_linestatus ORDER BY w.v)) / whole AS so_far FROM w JOIN hit ON hit.l_linestatus = w.l_linestatus AND hit.step = w.step)
     WHERE so_far >= 0.9501 GROUP BY l_linestatus"""
 
 

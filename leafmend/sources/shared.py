@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where it is unset (tests), in a folder of this machine."""
+    """A fresh path in the folder that spark.checkpoint.dir names; where it is unset (tests), below the warehouse, which executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="leafmend-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/leafmend-{what}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ def test_names(ask):
     assert got[("Untitled", "my-file_2.PDF")] == (False, "my file 2", "my file 2")
     assert got[("report.docx", "a__b.pdf")] == (False, "a b", "a b")
     assert got[("  A   Good Title ", "x.pdf")] == (True, "A Good Title", "A Good Title")
-    assert got[(None, ".pdf")] == (False, ".pdf", ".pdf") and got[("12 3", "plain")][0] is False and got[("Documents of Old", "d.pdf")][0] is True
+    assert got[(None, ".pdf")] == (False, ".pdf", ".pdf") and got[("12 3", "plain")][0] is False and got[("Documents of Old", "d.pdf")][0] is False  # it begins like a placeholder
     assert {"B3+SimSun": "SimSun", "Arial": "Arial", "AB+CD+Times": "Times", "": "", "+Minion": "Minion"}.items() <= dict(ask("font_names")).items()
 
 
@@ -92,3 +92,50 @@ def test_learned_line_by_refitting(ask):
                 if at >= k - 1e-9:
                     wanted.setdefault(k, v)
         assert (lo, md, hi) == pytest.approx((wanted[0.05], wanted[0.5], wanted[0.95]), rel=1e-5)
+
+
+def test_work_order_reasons(ask):
+    whys = lambda name: {r[:-1] if len(r) > 2 else r[0]: r[-1] for r in ask(name)}
+    unsent = "its image was not sent (over --max-images), so the alt was written unseen"
+    assert whys("role_checks") == {
+        ("rolemap", 1): None, ("rolemap", 2): "unknown style", ("rolemap", 3): "target not allowed", ("rolemap", 4): "target not allowed", ("rolemap", 5): "target not allowed",
+        ("retype", 1): None, ("retype", 2): "unknown obj", ("retype", 3): "type not allowed", ("retype", 4): None,
+        ("alt", 1): None, ("alt", 2): unsent, ("alt", 3): "not a figure or empty alt", ("alt", 4): "not a figure or empty alt", ("alt", 5): "unknown obj", ("alt", 6): "not a figure or empty alt",
+    }
+    got = whys("page_figure_checks")
+    assert got[1] is None and got[2] == got[6] == "empty alt" and got[3].startswith("its page image") and got[4] == got[5] == "not a page listed in page_figures"
+    rows, twice = "group_rows and repeat_rows must list row numbers in the table", "the same table twice"
+    assert whys("table_checks") == {
+        1: None, 2: "not a table listed in the digest", 3: "also flattened", 4: "header_rows and header_cols must be whole numbers 0-3", 5: "title_rows and note_rows must be whole numbers 0-3",
+        6: rows, 7: "no header rows or columns", 8: twice, 9: None, 10: rows, 11: twice,
+    }
+    assert {k for k, v in whys("style_checks").items() if v is None} == {("merges", 1), ("merges", 5), ("lists", 1), ("keep_lists", 1), ("notes", 1)}
+    assert {k[0] for k, v in whys("section_checks").items() if v is None} == {1, 4, 6, 7}
+    assert {k for k, v in whys("untagged_checks").items() if v is None} == {("artifacts.text_rules", 1), ("artifacts.text_rules", 3), ("artifacts.elements", 1)}
+
+
+def test_section_moves_one_by_one(ask):
+    """The plan's chained steps against a plain loop."""
+    kept, want = [], {}
+    for pos, low, high, goal in rules_moves():
+        if not all(1 <= p <= 12 for p in (low, high, goal)):
+            why = "bad pages"
+        elif not any(low <= f <= high or f == goal for f in (3, 9)):
+            why = "the audit finds no section read out of place in these pages or where it lands"
+        elif len(kept) == 3:
+            why = "more than 3 section moves"
+        elif any(low <= h and l <= high for l, h, _ in kept):
+            why = "its pages overlap another section move"
+        elif any(l <= goal <= h or low <= g <= high for l, h, g in kept):
+            why = "it lands inside the pages of another section move"
+        else:
+            why = None
+            kept.append((low, high, goal))
+        want[pos] = why
+    assert dict(ask("section_moves")) == want and len(set(want.values())) == 6
+
+
+def rules_moves():
+    from leafmend.plans.workorders import MOVES
+
+    return MOVES
