@@ -8,11 +8,11 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import queries as operators
-from .plans import joins, rules, stats, text, windows, workorders
+from .plans import joins, language, rules, stats, text, windows, workorders
 from .plans.dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders)
+FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language)
 
 
 def plans() -> dict[str, Callable]:

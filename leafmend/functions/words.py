@@ -118,8 +118,8 @@ def loose(c):
 
 
 def same_form(a, b):
-    """Equality but for white space and case."""
-    fold = lambda t: "".join(unicodedata.normalize("NFC", t).split()).casefold()
+    """Equality but for the amount of white space and for case."""
+    fold = lambda t: " ".join(unicodedata.normalize("NFC", t).split()).casefold()
     return _pairs(lambda x, y: fold(x) == fold(y), "boolean")(a, b)
 
 

@@ -1,10 +1,12 @@
 """Rule plans by values worked out by hand, apart from any SQL."""
 
+from collections import namedtuple
+
 import duckdb
 import pytest
 
 from leafmend import catalog
-from leafmend.plans import rules
+from leafmend.plans import language, rules
 from leafmend.plans.dialect import Duck
 
 SF = "/root/testdata/sf0.001"
@@ -139,3 +141,57 @@ def rules_moves():
     from leafmend.plans.workorders import MOVES
 
     return MOVES
+
+
+def test_written_tags(ask):
+    got = {language.WRITTEN[r.id]: r for r in rows(ask, "written_tags") if r.id < 1000}
+    allowed = {w for w, r in got.items() if r.allowed}
+    assert allowed == {"ja-Latn", "qaa", "qaa-x-a", "en-1994", "de-DE-1996", "haw", "haw-US", "es-419", "zh-Hant"}
+    assert {w: got[w].tag for w in ("en_US", " EN ", "zh_hant_tw", "x-ab", "x-ab-cd", "en-x-ab", "english", "en--US", "en US", "en-u-co", "", None)} == {
+        "en_US": "en-US", " EN ": "en", "zh_hant_tw": "zh-Hant-TW", "x-ab": "x-ab", "x-ab-cd": None, "en-x-ab": "en-x-ab", "english": None, "en--US": None, "en US": None, "en-u-co": None, "": None, None: None,
+    }
+    assert (got["jpn-latn"].shortest, got["eng"].shortest, got["english"].shortest) == ("ja-Latn", "en", None)
+    assert got["zh_hant_tw"].name == "Chinese (Traditional)" and got["xx"].name is None and got["eng"].name is None
+    assert {w: r.from_name for w, r in got.items() if r.from_name} == {"english": "en", "Hawaiian": "haw", "ʻŌlelo  Hawaiʻi": "haw", "MĀORI": "mi", "Hawai''i": "haw"}
+
+
+def rows(ask, name):
+    """Rows by column name: (id, tag, shortest, name, allowed, from_name)."""
+    kind = namedtuple("Row", "id tag shortest name allowed from_name")
+    return [kind(*r) for r in ask(name)]
+
+
+def test_reply_decisions(ask):
+    got = {r[:2]: r[3:] for r in ask("reply_decisions")}
+    codes = {1: None, 2: "echo", 3: "invalid", 4: None, 5: "twice", 6: "unknown_id", 7: "tag", 8: "invalid", 9: None, 10: "tag", 11: "unknown_id"}
+    assert {p: c for (r, p), (_, c) in got.items() if r == 1} == codes
+    assert got[(1, 4)] == ("ms", None)  # without the script that Malay leaves out
+    assert got[(2, 1)] == (None, None) and got[(5, 1)] == ("fr", None) and got[(5, 2)] == (None, None)
+
+
+def test_form_answers(ask):
+    assert {r[:2]: r[2:] for r in ask("form_answers")} == {
+        (1, "a"): ("ja-Latn", None, True, False, True), (1, "b"): (None, "echo", False, True, True), (1, "c"): ("ms", None, True, False, True), (1, "e"): (None, "tag", False, True, True),
+        (1, "f"): ("it", None, False, False, False), (1, "g"): (None, "tag", False, True, True), (2, "a"): (None, None, False, False, False), (2, "b"): (None, "invalid", False, True, True),
+        (3, "a"): (None, "unreadable", False, True, True), (4, "a"): (None, "cut_off", False, True, True), (5, "a"): ("fr", None, False, False, True), (5, "b"): (None, None, False, False, True),
+    }
+
+
+def test_release_lines(ask):
+    got = {r[0]: r[1:] for r in ask("release_lines")}
+    assert got[1] == ("Ready · 2 issues noted", "Completed (2 issues noted)", None)
+    assert got[2][1] == "Not Completed (PAC 2026: recorded on a previous version, Session 3; Screen-Reader Test not recorded)"
+    assert got[3][:2] == ("Pending Evaluation · 1 issue noted", "Not Completed (PAC 2026: could not be read in full: record it again; Screen-Reader Test: recorded on a previous version; 1 issue noted)")
+    assert got[4] == ("Pending Evaluation", "Not Completed", None) and got[5] == ("Not Ready", "Completed", None)  # the latest result of a file counts
+    assert got[6][::2] == ("Shipped · 1 issue noted", "Newer version (Session 2): Pending Evaluation")
+    assert got[7][2] == "Newer version: Session 4 being reviewed" and got[8][2] == "Newer version: Session 5 finished, not applied"
+    assert got[9] == ("Shipped", "Not Completed", "Newer version: Pending Evaluation")
+
+
+def test_unfinished_requests_and_whole_costs(ask):
+    # 2 and 8 finished by their second reply; 3's was cut off again, 4 failed, 5 can't be read, 6 ended without a word, 7 was never sent.
+    assert sorted(r[0] for r in ask("unfinished_requests")) == [3, 4, 5, 6, 7]
+    assert {r[0]: r[1:] for r in ask("whole_costs")} == {
+        1: (2.0, 1.5, 2.5, 80, False, None), 2: (2.5, 1.75, 3.5, 40, True, None), 3: (2.5, 2.5, 2.5, 30, True, None), 4: (None, None, None, None, False, "too_few"), 5: (None, None, None, None, False, None),
+        6: (None, None, None, None, False, "no_page_figure"),
+    }
