@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://", re.I)
 GUESSES = 10.0
 #: The corpus' words in the dictionary: the most frequent ones, of so many letters.
 FREQUENT, LETTERS = 20_000, (3, 20)
+#: Bands of counts to a doubling, by which rare words are set aside.
+BANDS = 8
 #: Frequent passwords and words of placeholders, most frequent first.
 COMMON = """password 123456 12345678 qwerty admin letmein welcome monkey dragon master login abc123 iloveyou
 sunshine princess football baseball shadow michael superman batman trustno1 hello freedom whatever secret token
@@ -164,10 +166,18 @@ DICTIONARY = {w: i + 1 for i, w in enumerate(COMMON)}
 def dictionary(docs: DataFrame, most: int = FREQUENT) -> dict[str, int]:
     """Word to rank: COMMON first, then the most frequent words (letters a-z, case folded) of all texts, ties by spelling.
 
-    Counts are partial aggregates; the driver gets most words.
+    Counts are partial aggregates. Words too rare to fill the list are set
+    aside by bands of counts (some hundred rows), so what tasks send the driver
+    is near most words, however many tasks there are; more only where very many
+    words share the last band.
     """
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word"))
     words = words.where(F.length("word").between(*LETTERS)).groupBy("word").count().where("count > 1")
+    # Each task would send the driver `most` words; so words of bands of counts below the one that fills the list go first.
+    words = words.withColumn("band", F.floor(F.log2("count") * BANDS))
+    sizes = words.groupBy("band").agg(F.count(F.lit(1)).alias("n")).select("band", F.sum("n").over(Window.orderBy(F.desc("band"))).alias("above"))
+    least = sizes.where(F.col("above") >= most).agg(F.max("band")).scalar()
+    words = words.where(F.col("band") >= F.coalesce(least, F.lit(0)))
     found = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(most).collect()]
     return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *found]))}
 

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures with odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -608,3 +609,21 @@ def test_shards_stay_equal_when_one_text_fills_half(spark):
     df = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"))
     size = {r.shard: r.s for r in df.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "s").collect()}
     assert len(size) == 8 and max(size.values()) < 1.02 * sum(size.values()) / 8
+
+
+def test_dictionary_is_the_most_frequent_words(spark):
+    """Against a plain count: ties by spelling at every cut, one cut within many words of one count, none that fills the list."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 4))) for _ in range(150)]
+    texts = [None, "", "A1bc ABC abc"] + [" ".join(rng.choice(vocabulary[: rng.randint(1, 150)]) for _ in range(30)) for _ in range(60)]
+    counts = {}
+    for t in texts:
+        for w in re.split("[^a-z]+", (t or "").lower()):
+            if 3 <= len(w) <= 20:
+                counts[w] = counts.get(w, 0) + 1
+    ranked = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for most in (1, 7, 40, len(ranked), len(ranked) + 9):
+        want = dict.fromkeys([*secrets.COMMON, *ranked[:most]])
+        assert secrets.dictionary(docs, most) == {w: i + 1 for i, w in enumerate(want)}
+    assert secrets.dictionary(docs.limit(0)) == secrets.DICTIONARY
