@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packed, packing, quality, secrets, sharding, simhash, substrings, toxicity, yinyang
+from . import divergence, embeddings, mixing, packed, packing, quality, secrets, sharding, simhash, substrings, toxicity, warc, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +55,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages"))
+
+
 def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.clustered(_table(spark, sf_dir, "embeddings"))[0]
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_mixing, op7_substrings, op8_toxicity, op9_embeddings, op10_sharding, op12_yinyang]
+    found = [op1_simhash, op2_token_files, op3_secrets, op4_packing, op5_quality, op6_mixing, op7_substrings, op8_toxicity, op9_embeddings, op10_sharding, op11_warc, op12_yinyang, op13_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op9_embeddings": embeddings.SQL, "op12_yinyang": yinyang.SQL}
+    return {"op5_quality": quality.SQL, "op9_embeddings": embeddings.SQL, "op11_warc": warc.SQL, "op12_yinyang": yinyang.SQL, "op13_divergence": divergence.SQL}
