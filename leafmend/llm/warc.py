@@ -33,6 +33,8 @@ from .common import dropped, kept, new_path
 LEAST, ARCHIVE = 100, 1 << 30
 #: Index lines a block, and captures a shard when there are enough of them.
 BLOCK, SHARD = 512, 1_000_000
+#: Bytes of records that a task reads back.
+PART = 128 << 20
 #: Ranges closer than GAP are read at once, up to READ bytes.
 GAP, READ = 1 << 16, 8 << 20
 #: Records carry no fetch time here, so all have the same.
@@ -52,8 +54,9 @@ def url_key(url: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^(?i)[a-z][a-z0-9+.-]*:", "")
     host = F.regexp_extract(rest, r"^//(?:[^/?@]*@)?([^/?]*)", 1)
     host = F.regexp_replace(F.regexp_replace(F.lower(host), r":(80|443)?$", ""), r"^www\d*\.", "")
+    host, port = F.regexp_replace(host, r":\d+$", ""), F.regexp_extract(host, r":\d+$", 0)
     path = F.regexp_replace(F.regexp_replace(rest, r"^//[^/?]*", ""), r"[\x00-\x20\x7F]", "%20")
-    reversed_host = F.array_join(F.reverse(F.split(host, r"\.")), ",")
+    reversed_host = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port)
     return F.when(url.isNull(), F.lit("")).otherwise(F.concat(F.regexp_replace(reversed_host, r"[\x00-\x20\x7F]", "%20"), F.lit(")"), F.when(path == "", F.lit("/")).otherwise(path)))
 
 
@@ -69,7 +72,7 @@ def record_id(page_id: int | None, url: str | None, digest: str) -> str:
 
 def header_url(url: str) -> str:
     """A URL that fits in a header line."""
-    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}" if m[0] != "%" else "%", url)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: tuple[int | None, str | None] | None) -> bytes:
@@ -77,11 +80,11 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if first else http + (payload or b"")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {header_url(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
+    head += [f"WARC-Target-URI: {header_url(url or '')}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if first:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(*first, digest)}", f"X-Refers-To-Page-ID: {first[0]}"]
-        head += [f"WARC-Refers-To-Target-URI: {header_url(first[1])}"] * (first[1] is not None)
+        head += [f"WARC-Refers-To-Target-URI: {header_url(first[1] or '')}"] * (first[1] is not None)
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -277,9 +280,12 @@ def _captured(rows: list) -> pa.RecordBatch:
 def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records (RECORDS) at the captures' places, their digests checked; a revisit's payload is null, its size and digest those of the full one.
 
-    Captures are dealt to ranges of (file, offset), so that neighbours in an
-    archive are read at once. payloads=False leaves the payload null.
+    Captures are dealt to ranges of (file, offset) by the records' bytes, so
+    that neighbours in an archive are read at once; captures is read twice.
+    payloads=False leaves the payload null.
     """
+    whole = captures.agg(F.sum("length")).first()[0] or 0
+    parts = max(-(-whole // PART), min(whole // (PART >> 6) + 1, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = place(folder)
@@ -306,7 +312,7 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
         if file is not None:
             file.close()
 
-    dealt = captures.select("url", "file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    dealt = captures.select("url", "file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, RECORDS)
 
 
