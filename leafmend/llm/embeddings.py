@@ -1,10 +1,11 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products.
 
-Vectors of one label are assigned to the cell of their nearest centroid. Two
-unit vectors with cosine c are sqrt(2-2c) apart, so a vector whose distance to
-the plane between its own cell and another is larger than that can have no
-partner beyond the plane; it visits the other cell as a guest otherwise. Each
-ordered pair is therefore met exactly once: in the cell of its second vector.
+Vectors of one label and dimension are assigned to the cell of their nearest
+centroid, about sqrt(n) cells for n vectors. Two unit vectors with cosine c are
+sqrt(2-2c) apart, so a vector whose distance to the plane between its own cell
+and another is larger than that can have no partner beyond the plane; it visits
+the other cell as a guest otherwise. Each ordered pair is therefore met exactly
+once: in the cell of its second vector.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import components, kept
 
 COSINE = 0.98
-#: Cells aim at CELL vectors; their centroids travel with the code, so all labels together get CELLS, in proportion to their sizes.
-CELL, CELLS = 1024, 4096
-#: k-means is fitted on a hash sample of so many vectors for each cell.
-SAMPLE = 16
+#: k-means is fitted on a hash sample of about so many vectors for each cell, in so many rounds.
+SAMPLE, ROUNDS = 8, 8
+#: Vectors that are assigned by one copy of their label's centroids.
+SLICE = 50_000
 #: Vectors of a cell that are held at once while the others stream past.
 BLOCK = 2048
 DOUBT = 1e-12
@@ -61,66 +62,102 @@ def unit(raw: bytes) -> np.ndarray:
     return x / math.sqrt(float(x @ x))
 
 
-def fit(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Spherical k-means: unit centroids of unit vectors; an empty cell keeps its centroid."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         total = np.zeros_like(c)
-        np.add.at(total, (x @ c.T).argmax(1), x)
+        for i in range(0, len(x), BLOCK):
+            np.add.at(total, (x[i : i + BLOCK] @ c.T).argmax(1), x[i : i + BLOCK])
         size = np.linalg.norm(total, axis=1)
         c[size > 1e-9] = total[size > 1e-9] / size[size > 1e-9, None]
     return np.unique(c, axis=0)
 
 
-def centroids(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids by (label, dimension), for the labels with more than CELL vectors.
+def sizes(classes: DataFrame) -> DataFrame:
+    """(label, dim, n, cells): the classes of each label and dimension, and how many cells they get, about sqrt(n)."""
+    groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    return groups.withColumn("cells", F.greatest(F.lit(2), F.ceil(F.sqrt("n"))).cast("long"))
 
-    Fitted on a hash sample of SAMPLE vectors a cell, at most SAMPLE * CELLS in
-    all (a documented bound). They decide where work is done only: labels of
-    one cell, and cells larger than CELL, are compared whole, block by block.
+
+def centroids(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(label, dim, j, vec): the centroids of each label and dimension, one task fitting one of them.
+
+    Fitted on a hash sample of about SAMPLE vectors a cell, so on SAMPLE *
+    sqrt(n) of n vectors (a documented bound): 250,000 of a billion. They
+    decide where work is done only; no link depends on them.
+    """
+    sampled = classes.select("label", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(1 << 40)).alias("h")).join(groups, ["label", "dim"])
+    sampled = sampled.where(F.col("h") * F.col("n") < F.lit(float(SAMPLE << 40)) * F.col("cells")).select("label", "dim", "cells", "h", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out() -> pa.RecordBatch:
+            label, dim, cells = at
+            c = fit(np.stack([unit(v) for v in held]), cells)
+            k = len(c)
+            return pa.RecordBatch.from_arrays([pa.array([label] * k, pa.int64()), pa.array([dim] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([v.tobytes() for v in c], pa.binary())], names=["label", "dim", "j", "vec"])
+
+        for b in batches:
+            for label, dim, cells, vec in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+                if (label, dim, cells) != at:
+                    if held:
+                        yield out()
+                    at, held = (label, dim, cells), []
+                held.append(vec)
+        if held:
+            yield out()
+
+    dealt = sampled.repartition("label", "dim").sortWithinPartitions("label", "dim", "h", "vec")
+    return dealt.mapInArrow(run, "label long, dim int, j int, vec binary")
+
+
+def assigned(classes: DataFrame, groups: DataFrame, middles: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, cls, n, vec, own, guest): each unit vector with its own cell and the others that a partner may lie in.
+
+    A label's centroids go to each slice of SLICE of its vectors, ahead of
+    them, so a label of any size is spread and no task holds more than the
+    centroids of one label and a batch.
     """
-    sizes = classes.groupBy("label", (F.length("vec") / 8).cast("int").alias("dim")).count().where(F.col("count") > CELL)
-    big = {(r["label"], r["dim"]): -(-r["count"] // CELL) for r in sizes.orderBy(F.desc("count"), "label").limit(CELLS // 2).collect()}
-    if not big:
-        return {}
-    every = sum(big.values())
-    cells = {g: max(2, k * CELLS // max(CELLS, every)) for g, k in big.items()}
-    named = classes.sparkSession.createDataFrame([(*g,) for g in big], "label long, dim int")
-    rows = classes.withColumn("dim", (F.length("vec") / 8).cast("int")).join(F.broadcast(named), ["label", "dim"])  # CELLS / 2 rows at most
-    rows = rows.select("label", "vec", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE * sum(cells.values())).collect()
-    by: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in rows:
-        by.setdefault((r["label"], len(r["vec"]) // 8), []).append(unit(bytes(r["vec"])))
-    return {g: fit(np.stack(x), cells[g]) for g, x in by.items() if len(x) > 1}
-
-
-def assigned(classes: DataFrame, cells: dict[tuple[int, int], np.ndarray], cosine: float) -> DataFrame:
-    """(cell, guest, cls, n, vec): each vector in its own cell and as a guest where a partner may lie."""
     reach = math.sqrt(2 - 2 * cosine) + 1e-9
+    slices = groups.select("label", "dim", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    rows = classes.join(slices, ["label", "dim"]).select("label", "dim", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), "cls", "n", "vec")
+    copies = middles.join(slices, ["label", "dim"]).select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), F.col("j").cast("long").alias("cls"), F.lit(0).cast("long").alias("n"), "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, c = None, [], None
         for b in batches:
-            if not b.num_rows:
-                continue
-            out: list[tuple] = []
-            for label, cls, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = unit(raw)
-                c = cells.get((label, len(x)))
-                tag = f"{label}:{len(x)}:"
-                if c is None or len(c) < 2:
-                    out.append((tag, 0, cls, n, x.tobytes()))
-                    continue
-                own = int((p := c @ x).argmax())
-                apart = np.linalg.norm(c[own] - c, axis=1)
-                apart[own] = 1.0
-                margin = (p[own] - p) / apart
-                out += [(f"{tag}{j}", int(j != own), cls, n, x.tobytes()) for j in np.flatnonzero(margin <= reach)]
-            cols = list(zip(*out, strict=True))
-            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["cell", "guest", "cls", "n", "vec"])
-
-    return classes.select("label", "cls", "n", "vec").mapInArrow(run, "cell string, guest int, cls long, n long, vec binary")
+            marks = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            vec = b.column(6).to_pylist()
+            i = 0
+            while i < len(marks):
+                j = i
+                while j < len(marks) and j - i < BLOCK and marks[j] == marks[i]:
+                    j += 1
+                if marks[i][:3] != at:
+                    at, held, c = marks[i][:3], [], None
+                if marks[i][3] == 0:
+                    held += [np.frombuffer(v, np.float64) for v in vec[i:j]]
+                else:
+                    if c is None:
+                        c = np.stack(held)
+                    x = np.stack([unit(v) for v in vec[i:j]])
+                    p = x @ c.T
+                    own = p.argmax(1)
+                    apart = np.sqrt(np.maximum(2 - 2 * (c[own] @ c.T), 0))
+                    near = (p.max(1)[:, None] - p) <= reach * apart + 1e-12
+                    near |= apart < 1e-5  # too near each other for their plane to tell
+                    near[np.arange(len(x)), own] = False
+                    rows, cells = np.nonzero(near)
+                    guests = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32)), pa.array(cells.astype(np.int32)))
+                    columns = [b.column(k).slice(i, j - i) for k in (0, 1, 4, 5)] + [pa.array([v.tobytes() for v in x], pa.binary()), pa.array(own.astype(np.int32)), guests]
+                    yield pa.RecordBatch.from_arrays(columns, names=["label", "dim", "cls", "n", "vec", "own", "guest"])
+                i = j
+
+    dealt = rows.unionByName(copies).repartition("label", "dim", "slice").sortWithinPartitions("label", "dim", "slice", "role", "cls")
+    return dealt.mapInArrow(run, "label long, dim int, cls long, n long, vec binary, own int, guest array<int>")
 
 
 def _products(cosine: float):
@@ -200,29 +237,38 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK)
     one label and dimension are compared. Rows that link with nothing (null
     label; null, empty or zero vector; null or non-finite component) get 0
     links, themselves as component, and are kept. Equal vectors are collapsed
-    to one with a count first, so a group of copies of any size is one row in
-    the search; an empty table gives no rows. A repeated vec_id counts as
-    another vector; a null vec_id links like any other and is never the
-    smallest, so a component (and kept) is null only where all its ids are. Cells over block vectors are held block by block while all
-    others of the cell stream past, so no task holds a whole cell.
+    to one class with a count first, so a group of copies of any size is one
+    row in the search; classes are told apart by a number of their own. An
+    empty table gives no rows. A repeated vec_id counts as another vector; a
+    null vec_id links like any other and is never the smallest, so a component
+    (and kept) is null only where all its ids are. Cells over block vectors are
+    held block by block while all others of the cell stream past, so no task
+    holds a whole cell.
     """
     base = kept(parsed(vectors))
-    classes = kept(base.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n"), F.any_value("vec").alias("vec")))
-    placed = assigned(classes, centroids(classes), cosine)
-    sizes = placed.where("guest = 0").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "cell")
+    classes = base.where("key is not null").groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("vec").alias("vec"))
+    classes = kept(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", (F.length("vec") / 8).cast("int")))
+    groups = kept(sizes(classes))
+    placed = kept(assigned(classes, groups, centroids(classes, groups), cosine))
+    cell = ["label", "dim", "cell"]
+    blocks = placed.groupBy("label", "dim", F.col("own").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    visits = F.explode(F.concat(F.array("own"), "guest")).alias("cell")
+    name = F.concat_ws(":", *cell).alias("cell")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    targets = placed.where("guest = 0").select("cell", own.alias("block"), F.lit(0).alias("role"), "cls", "n", "vec")
-    passing = placed.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "cls", "n", "vec")
+    targets = placed.withColumnRenamed("own", "cell").join(blocks, cell).select(name, own.alias("block"), F.lit(0).alias("role"), "cls", "n", "vec")
+    passing = placed.select("label", "dim", visits, "cls", "n", "vec").join(blocks, cell)
+    passing = passing.select(name, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "cls", "n", "vec")
     dealt = targets.unionByName(passing).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
     found = kept(dealt.mapInArrow(_products(cosine), "a long, b long, n long"))
     counts = found.where("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))
     root = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
-    table = classes.select("label", "key", "cls", "n").join(counts, "cls", "left").join(root, "cls", "left")
+    table = classes.select("label", "key", "cls", "n", "least").join(counts, "cls", "left").join(root, "cls", "left")
     links = F.col("n") - 1 + F.coalesce("linked", F.lit(0))
-    table = kept(table.select("label", "key", links.alias("links"), F.coalesce("root", "cls").alias("root")))
+    table = kept(table.select("label", "key", links.alias("links"), F.coalesce("root", "cls").alias("root"), "least"))
+    least = table.groupBy("root").agg(F.min("least").alias("least"))
+    table = table.drop("least").join(least, "root")
     out = base.select("vec_id", "label", "key").join(table, ["label", "key"], "left")
-    component = F.coalesce("root", "vec_id")
+    component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 

@@ -548,29 +548,43 @@ def test_embeddings(spark):
                     n[i] += 1 if _ == 0 else 0
                     root[a[0]] = root[b[0]] = min(root[a[0]], root[b[0]])
     want = Counter((r[0], 0, r[0]) for r in rows if r not in good) + Counter((r[0], n[i], root[r[0]]) for i, r in enumerate(good))
-    for block, cell in ((2048, 1024), (4, 8), (2048, 8)):
-        old, embeddings.CELL = embeddings.CELL, cell
+    for block, slice_ in ((2048, 50_000), (4, 50_000), (4, 7)):
+        old, embeddings.SLICE = embeddings.SLICE, slice_
         got = embeddings.near_vectors(df, block=block).collect()
-        embeddings.CELL = old
+        embeddings.SLICE = old
         assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embeddings.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
-def test_embeddings_in_cells_of_default_size(spark):
-    """One label of over CELL vectors: k-means runs, and no pair is lost across cells."""
+def cells_of(df):
+    classes = embeddings.parsed(df).where("key is not null").selectExpr("label", "CAST(length(vec) / 8 AS INT) AS dim", "key", "vec", "vec_id AS cls", "1L AS n")
+    groups = embeddings.sizes(classes)
+    return classes, groups, embeddings.centroids(classes, groups)
+
+
+def test_embeddings_in_cells(spark):
+    """One large label: k-means runs, and no pair is lost across cells."""
     rng = np.random.default_rng(21)
     x = rng.normal(size=(2500, 12))
     x[:400] = x[2000:2400] + 0.05 * rng.normal(size=(400, 12))
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    classes = embeddings.parsed(df).selectExpr("label", "key", "vec", "vec_id AS cls", "1L AS n")
-    assert [len(c) for c in embeddings.centroids(classes).values()] == [3]
+    assert cells_of(df)[2].count() == 50
     u = x / np.linalg.norm(x, axis=1)[:, None]
     hit = u @ u.T >= embeddings.COSINE
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
     assert [got[i] for i in range(2500)] == (hit.sum(1) - 1).tolist() and sum(got.values()) > 300
 
 
+def test_every_label_of_the_table_has_cells(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    classes, groups, middles = cells_of(df)
+    found = {r.label: r["count"] for r in middles.groupBy("label").count().collect()}
+    assert found.keys() == {r.label for r in groups.collect()} and min(found.values()) >= 5
+    own = embeddings.assigned(classes, groups, middles, embeddings.COSINE)
+    assert min(r.n for r in own.groupBy("label").agg(mixing.F.countDistinct("own").alias("n")).collect()) >= 5
+
+
 def test_odd_vector_rows(spark):
     """Null vec_ids link like others; columns of the operator's own names don't matter."""
     v = [1.0, 2.0, 3.0]
@@ -580,6 +594,22 @@ def test_odd_vector_rows(spark):
     assert got == Counter({(None, 2, 7): 2, (7, 2, 7): 1, (8, 0, 8): 1, (9, 0, 9): 1})
 
 
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(None, [1.0, 0.0]), (5, [1.0, 0.01]), (6, [0.0, 1.0]), (None, [0.01, 1.0])], [(None, 1, 5), (5, 1, 5), (6, 1, 6), (None, 1, 6)]),
+        ([(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0])], [(1, 2, 1), (1, 2, 1), (2, 2, 1)]),
+        ([(None, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0])], [(None, 1, None), (None, 1, None), (None, 0, None)]),
+        ([(3, [1.0]), (2, [-1.0]), (3, [2.0])], [(3, 1, 3), (2, 0, 2), (3, 1, 3)]),
+    ],
+)
+def test_null_and_repeated_ids_of_different_vectors(spark, rows, want):
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_vectors(df).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(want)
+    assert all(r.kept is (None if r.vec_id is None or r.component_id is None else r.vec_id == r.component_id) for r in got)
+
+
 def test_sharding_of_odd_ids(odd):
     rows = sharding.sharded(odd, 3).collect()
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1) for r in odd.collect())
