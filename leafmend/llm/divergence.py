@@ -1,7 +1,7 @@
 """Source divergence by systolic rotation.
 
-Every source of a language is a vector of term counts, cut into blocks of
-terms. The blocks lie in a table bucketed by (language, source, block) and stay
+Every source of a language is a vector of term counts, cut into blocks of terms
+by their hash. The blocks lie in a table bucketed by (language, source, block) and stay
 there; compressed copies circulate by the rounds of a round-robin tournament,
 in which each source meets each other one of its language once. A meeting
 evaluates both directions from the two blocks' present terms, and what neither
@@ -21,21 +21,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, kept, new_path, prefixed
+from .common import dropped, kept, new_path
 
 #: Documents of a language that a kept term occurs in, at least; the ranks of the term part.
 LEAST, TOP = 3, 200
 UNIT = 10**9
-#: Terms a block has, at most; rounds that circulate in one job; terms that a task counts before it hands them on.
-BLOCK, WAVE, HELD = 1 << 16, 16, 400_000
+#: Counts a block has, about, and more for each source of its language; rounds that circulate in one job; terms that a task counts before it hands them on.
+ENTRIES, EACH, WAVE, HELD = 200_000, 50, 16, 400_000
 #: Bytes of terms are non-ASCII ones and ASCII letters, these in lower case; all others end a term.
 TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of whole texts: occurrences, and documents of the source that have the term.
+def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, source, term, n, total, first): occurrences of the kept terms in a source and in its language.
 
-    Each group has a row with the empty term, so that one without terms is there too.
+    A term is kept where at least `least` documents of the language have it;
+    first marks one row of each. Each group also has a row with the empty term,
+    so that one without terms is there too. Texts are counted whole; a task
+    hands on at most HELD counts at a time. One exchange by (lang, term) serves
+    the sums, the choice and the totals.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +49,7 @@ def counted(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), terms in n.items():
                 k, have = len(terms) + 1, d[lang, source]
-                columns = [pa.array([lang] * k, pa.binary()), pa.array([source] * k, pa.binary()), pa.array([b"", *terms], pa.binary())]
+                columns = [pa.repeat(pa.scalar(lang, pa.binary()), k), pa.repeat(pa.scalar(source, pa.binary()), k), pa.array([b"", *terms], pa.binary())]
                 columns += [pa.array([0, *terms.values()], pa.int64()), pa.array([0, *map(have.__getitem__, terms)], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
             n.clear(), d.clear()
@@ -67,13 +71,10 @@ def counted(docs: DataFrame) -> DataFrame:
     raw = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
     each = docs.select(raw("lang"), raw("source"), raw("text")).mapInArrow(run, "lang binary, source binary, term binary, n long, docs long")
     named = each.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "term")), "n", "docs")
-    return named.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
-def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, term, total, before_one) of the kept terms; before_one numbers them over all languages, in (lang, term) order."""
-    terms = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
-    return prefixed(terms.where(F.col("docs") >= least).select("lang", "term", "total", F.lit(1).alias("one")), ["lang", "term"], ["one"]).drop("one")
+    sums = named.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    sums = sums.withColumn("total", F.sum("n").over(term)).withColumn("have", F.sum("docs").over(term)).withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
+    return sums.where((F.col("term") == "") | (F.col("have") >= least)).select("lang", "source", "term", "n", "total", "first")
 
 
 def shares(count: np.ndarray, whole: int) -> np.ndarray:
@@ -108,35 +109,41 @@ def meeting(a: bytes, b: bytes, whole_a: int, whole_b: int, terms: int) -> tuple
     return sum(there[:-1].tolist()) + rest * int(there[-1]), sum(back[:-1].tolist()) + rest * int(back[-1])
 
 
-BLOCKS = "lang string, g long, block long, vec binary, source string, term string, value long"
+BLOCKS = "lang string, g long, block long, vec binary, terms long, source string, term string, value long"
+BLOCK_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
 
 def _blocks(top: int):
-    """Entries sorted by (lang, g, block, at) to the block's vector, and its top terms against the language."""
+    """Entries sorted by (lang, block, term) to the block's vector of each source of the language, empty ones too, and each source's top terms."""
+
+    def vectors(at: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lang, block, sources, whole_lang = at
+        term, g, n, total, whole = (np.concatenate([h[i] for h in held]) for i in range(5))
+        source = [x for h in held for x in h[5]]
+        ids = np.cumsum(np.concatenate([[0], (term[1:] != term[:-1]).astype(np.int64)]))
+        terms, order = int(ids[-1]) + 1, np.argsort(g, kind="stable")
+        cuts = np.searchsorted(g[order], np.arange(sources + 1))
+        rows: list[tuple] = []
+        for k in range(sources):
+            mine = order[cuts[k] : cuts[k + 1]]
+            rows.append((lang, k, block, squeezed(ids[mine], n[mine]), terms, None, None, None))
+            if not len(mine):
+                continue
+            p, q = shares(n[mine], int(whole[mine[0]])), shares(total[mine], whole_lang)
+            over = np.flatnonzero(p > q)
+            best = heapq.nsmallest(top, zip((-squared(p[over], q[over])).tolist(), term[mine[over]].tolist(), strict=True))
+            rows += [(lang, k, block, None, None, source[mine[0]], t.decode(), -v) for v, t in best]
+            if len(rows) >= 10_000:
+                yield _table(rows)
+                rows = []
+        yield _table(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, n, total, term = (np.concatenate([h[i] for h in held]) for i in range(4))
-            lang, g, block, source, whole, whole_lang = at
-            if len(ids) == 1 and ids[0] < 0:  # a block without terms of the source
-                ids, n, total, term = (x[:0] for x in (ids, n, total, term))
-            ids, n, total = (x.astype(np.int64) for x in (ids, n, total))
-            p, q = shares(n, whole), shares(total, whole_lang)
-            over = np.flatnonzero(p > q)
-            f = squared(p[over], q[over])
-            best = heapq.nsmallest(top, zip((-f).tolist(), term[over].tolist(), strict=True))
-            k = 1 + len(best)
-            columns = [[lang] * k, [g] * k, [block] * k, [squeezed(ids, n), *[None] * len(best)], [source] * k, [None, *(t for _, t in best)], [None, *(-v for v, _ in best)]]
-            types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64())
-            terms = [None if t is None else t.decode() for t in columns[5]]
-            yield pa.RecordBatch.from_arrays([pa.array(terms if i == 5 else c, t) for i, (c, t) in enumerate(zip(columns, types, strict=True))], names=[x.split()[0] for x in BLOCKS.split(", ")])
-
         for b in batches:
-            marks = list(zip(*(b.column(c).to_pylist() for c in ("lang", "g", "block", "source", "whole", "whole_lang")), strict=True))
-            ids, n, total = (b.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "total"))
-            term = np.array(b.column("term").to_pylist(), object)
+            marks = list(zip(*(b.column(c).to_pylist() for c in ("lang", "block", "sources", "whole_lang")), strict=True))
+            g, n, total, whole = (b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "n", "total", "whole"))
+            term, source = np.array([*b.column("term").to_pylist(), None], object)[:-1], b.column("source").to_pylist()
             i = 0
             while i < len(marks):
                 j = i
@@ -144,16 +151,21 @@ def _blocks(top: int):
                     j += 1
                 if marks[i] != at:
                     if held:
-                        yield from out()
+                        yield from vectors(at, held)
                     at, held = marks[i], []
-                held.append((ids[i:j], n[i:j], total[i:j], term[i:j]))
+                held.append((term[i:j], g[i:j], n[i:j], total[i:j], whole[i:j], source[i:j]))
                 i = j
         if held:
-            yield from out()
+            yield from vectors(at, held)
 
     return run
 
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(BLOCK_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, BLOCK_TYPES, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
 def _opponent(g: Column, r: Column, seats: Column) -> Column:
     """Whom g meets in round r of seats - 1, seats even: the sum of both is r by the circle's size, the last seat takes who would meet itself."""
     circle = seats - 1
@@ -162,7 +174,7 @@ def _opponent(g: Column, r: Column, seats: Column) -> Column:
     return F.when(g == circle, last).when(other == g, circle).otherwise(other)
 
 
-def audited(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
+def audited(docs: DataFrame, least: int = LEAST, top: int = TOP, entries: int = ENTRIES, wave: int = WAVE) -> DataFrame:
     """(lang, source, part, item, value, rank) for every (lang, source) group of docs.
 
     docs: text, lang and source, nulls read as ''; other columns are ignored. A
@@ -174,34 +186,29 @@ def audited(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BL
     by value, then by the item's bytes. A language of one source has no pairs,
     a group without kept terms no terms; an empty table gives no rows.
 
-    A source of any size is spread over its blocks of at most `block` terms;
-    `wave` rounds circulate at once, so a job sends at most half as many
-    copies of each vector.
+    A block of terms has about `entries` counts of all the language's sources,
+    so a source or language of any size is spread over blocks; `wave` rounds
+    circulate at once, so a job sends at most half as many copies of each
+    vector.
     """
     spark = docs.sparkSession
-    counts = kept(counted(docs))
-    terms = kept(kept_terms(counts, least))
-    vocabulary = terms.groupBy("lang").agg(F.count("*").alias("v"), F.min("before_one").alias("start"), F.sum("total").alias("n_lang"))
-    own = counts.join(terms.select("lang", "term", "total", "before_one"), ["lang", "term"])
+    counts = kept(counted(docs, least))
+    own = counts.where("term <> ''")
+    vocabulary = own.groupBy("lang").agg(F.sum(F.col("first").cast("long")).alias("v"), F.sum("n").alias("n_lang"), F.count("*").alias("nnz"))
     sizes = own.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
     seat = Window.partitionBy("lang").orderBy("source")
     groups = counts.where("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left")  # a row for each source
-    groups = groups.select(
-        "lang", "source", (F.row_number().over(seat) - 1).cast("long").alias("g"), F.count("*").over(Window.partitionBy("lang")).alias("sources"), F.coalesce("v", F.lit(0)).alias("v"), "start",
+    sources = F.count("*").over(Window.partitionBy("lang"))
+    groups = kept(groups.select(
+        "lang", "source", (F.row_number().over(seat) - 1).cast("long").alias("g"), sources.alias("sources"), F.coalesce("v", F.lit(0)).alias("v"), F.ceil(F.col("nnz") / (entries + EACH * sources)).alias("blocks"),
         (F.coalesce("n_group", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("whole"), (F.coalesce("n_lang", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("whole_lang"),
-    )
-    groups = kept(groups)
-    some = groups.where("v > 0")
-    entries = own.join(some.select("lang", "source", "g", "start", "whole", "whole_lang"), ["lang", "source"])
-    entries = entries.withColumn("at", F.col("before_one") - F.col("start")).select("lang", "g", F.expr(f"at DIV {block}").alias("block"), "source", "whole", "whole_lang", F.expr(f"at % {block}").alias("at"), "n", "total", F.col("term").cast("binary").alias("term"))
-    # Each source has each block, if only an empty one.
-    every = some.select("lang", "g", F.explode(F.expr(f"sequence(0L, (v - 1) DIV {block})")).alias("block"), "source", "whole", "whole_lang", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"), F.lit(b"").alias("term"))
-    filled = every.join(entries.select("lang", "g", "block").distinct(), ["lang", "g", "block"], "left_anti").select(*entries.columns).unionByName(entries)
-    dealt = filled.repartition("lang", "g", "block").sortWithinPartitions("lang", "g", "block", "at")
-    found = kept(dealt.mapInArrow(_blocks(top), BLOCKS))
+    ))
+    placed = own.join(groups.where("v > 0"), ["lang", "source"]).withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    placed = placed.select("lang", "block", "g", "source", "sources", "whole", "whole_lang", F.col("term").cast("binary").alias("term"), "n", "total")
+    found = kept(placed.repartition("lang", "block").sortWithinPartitions("lang", "block", "term").mapInArrow(_blocks(top), BLOCKS))
 
     ranked = found.where("value IS NOT NULL").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
-    pairs = _rotated(spark, found.where("vec IS NOT NULL").select("lang", "g", "block", "vec"), groups, block, wave)
+    pairs = _rotated(spark, found.where("vec IS NOT NULL").select("lang", "g", "block", "vec", "terms"), groups, wave)
     both = pairs.unionByName(_without_terms(groups)).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))  # a group's sources, or its blocks' top terms
     return ranked.withColumn("rank", place).where(F.col("rank") <= top).unionByName(both.withColumn("rank", place))
@@ -213,12 +220,12 @@ def _without_terms(groups: DataFrame) -> DataFrame:
     return a.join(a.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
 
 
-def _rotated(spark: SparkSession, vectors: DataFrame, groups: DataFrame, block: int, wave: int) -> DataFrame:
+def _rotated(spark: SparkSession, vectors: DataFrame, groups: DataFrame, wave: int) -> DataFrame:
     """(lang, source, item, value) of every ordered pair of a language with kept terms, by rounds."""
-    facts = groups.select("lang", "g", "source", "whole", "v", (F.col("sources") + F.col("sources") % 2).alias("seats"))
+    facts = groups.select("lang", "g", "source", "whole", (F.col("sources") + F.col("sources") % 2).alias("seats"))
     most = groups.agg(F.max(F.col("sources") + F.col("sources") % 2)).first()[0] or 0
     name, path = f"leafmend_residents_{uuid.uuid4().hex}", new_path(spark, "residents")
-    known = vectors.join(facts, ["lang", "g"]).withColumn("terms", F.least(F.lit(block), F.col("v") - F.col("block") * block))
+    known = vectors.join(facts, ["lang", "g"])
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["lang", "g", "block"]
     known.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)

@@ -55,11 +55,12 @@ def corpus(n=120, sources=7, seed=1):
     return [(pick(s := int(rng.zipf(1.5)) % sources), ["en", "de"][int(rng.integers(2))], f"s{s}") for _ in range(n)]
 
 
-def test_random_sources_over_blocks_and_waves(spark):
+def test_random_sources_over_blocks_and_waves(spark, monkeypatch):
     rows = corpus()
     checked(spark, rows)
-    checked(spark, rows, block=7, wave=2, top=5)
-    checked(spark, corpus(60, 4, seed=2), block=3, wave=1, least=1)
+    monkeypatch.setattr(divergence, "EACH", 0)
+    checked(spark, rows, entries=7, wave=2, top=5)
+    checked(spark, corpus(60, 4, seed=2), entries=3, wave=1, least=1)
 
 
 def test_odd_rows(spark):
@@ -88,10 +89,10 @@ def test_counts_of_any_size_are_exact():
     assert divergence.shares(n[:2], 9).tolist() == [1 + 10**9 // 9, 1 + 6 * 10**9 // 9]
 
 
-def test_a_task_hands_on_what_it_counts(spark, monkeypatch):
+def test_kept_terms_and_their_totals(spark):
     rows = [(1, "a b c d e a", "en", "s", "", 0, 0), (2, "a f g", "en", "t", "", 0, 0)]
-    got = {(r.source, r.term): (r.n, r.docs) for r in divergence.counted(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got["s", "a"] == (2, 1) and got["t", "a"] == (1, 1) and got["s", ""] == (0, 0) and len(got) == 10
+    got = {(r.source, r.term): (r.n, r.total, r.first) for r in divergence.counted(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert got == {("s", "a"): (2, 3, True), ("t", "a"): (1, 3, False), ("s", ""): (0, 0, True), ("t", ""): (0, 0, False)}
 
 
 @pytest.mark.parametrize("ids, n", [([], []), ([0], [3]), ([1, 5, 65_535], [9, 1, 10**12])])
