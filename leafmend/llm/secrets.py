@@ -1,26 +1,30 @@
 """Secret scans: base patterns, and guess costs of values in credential context.
 
-A value that follows a credential word is cut into dictionary words, dates,
-repeats, sequences, keyboard walks and brute-force characters so that the
-guesses needed are fewest (dynamic programming over the value's positions). A
-value that takes at least GUESSES guesses is a secret; placeholders and prose
-take few. The dictionary is a short list of frequent passwords and, behind it,
-the most frequent words of all the documents that are scanned, by rank; so what
-is an ordinary word follows from the corpus. Addresses (scheme://...) are no
-credentials.
+A value that follows a credential word (of four languages) or stands before the
+@ of an address is cut into dictionary words, dates, repeats, sequences,
+keyboard walks and brute-force characters so that the guesses needed are fewest
+(dynamic programming over the value's positions). A value that takes at least
+GUESSES guesses is a secret; placeholders and prose take few. The dictionary is
+fixed: a short list of frequent passwords and, behind it, the whole words of
+two public tokenizers' vocabularies in their order, which is nearly that of
+frequency. So a text's secrets don't depend on any other text: a leaked value
+that is copied, however often, never becomes a word.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,17 +32,27 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Words that announce a credential, and how its value is written after them.
+#: Words that announce a credential, in English, German, French and Spanish, and how its value is written after them.
+_KEYWORDS = (
+    r"password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|login|pin"
+    r"|passwort|kennwort|zugangscode|zugangsdaten|(?:api|zugriffs|geheim)?-?schl(?:[üÜ]|ue)ssel"
+    r"|mot[\x20_-]de[\x20_-]passe|cl[eéÉ][\x20_-](?:api|secr[eèÈ]te|priv[eéÉ]e|d['’]acc[eèÈ]s)|jeton|identifiants?"
+    r"|contrase[nñÑ]a|clave(?:[\x20_-](?:api|secreta|privada|de[\x20_-]acceso))?|credenciales"
+)
+#: What every credential word begins with, in lower case.
+_STEMS = ("pass", "pwd", "secret", "token", "api", "access", "private", "auth", "credential", "login", "pin", "kennwort", "zugangs", "zugriffs", "geheim", "schl", "mot", "cle", "clé", "jeton", "identifiant", "contrase", "clave", "credenciales")
 _CONTEXT = re.compile(
-    r"""(?ai)(?<![a-z])(?:password|passphrase|passwd|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))"""
+    rf"""(?ai)(?<![a-z])(?:{_KEYWORDS})["']?(?:[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|(?P<verb>[\x20\t]+(?:is|ist|lautet|est|es)[\x20\t]+))(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s"',;<>]+))"""
 )
+#: The rest of a line after a bare value, where it is further words: a passphrase, if none is a frequent word.
+_PHRASE = re.compile(r"[^\W\d_]{3,}(?:[\x20-][^\W\d_]{3,}){2,}(?=[\x20\t]*$)", re.M)
 _ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://", re.I)
+#: The password of an address: scheme://user:password@host.
+_USERINFO = re.compile(r"(?ai)[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 #: Decimal exponent of the guesses from which a value is a secret.
 GUESSES = 10.0
-#: The corpus' words in the dictionary: the most frequent ones, of so many letters.
-FREQUENT, LETTERS = 20_000, (3, 20)
-#: Bands of counts to a doubling, by which rare words are set aside.
-BANDS = 8
+#: Letters of the dictionary's words; its first words, which no passphrase has.
+LETTERS, FREQUENT = (3, 20), 1700
 #: Frequent passwords and words of placeholders, most frequent first.
 COMMON = """password 123456 12345678 qwerty admin letmein welcome monkey dragon master login abc123 iloveyou
 sunshine princess football baseball shadow michael superman batman trustno1 hello freedom whatever secret token
@@ -142,7 +156,7 @@ def guess_cost(value: str, words: dict[str, int] | None = None, most: float = ma
     left, and a value is read no further than the last position still open:
     values of any length are costed whole.
     """
-    words = words if words is not None else DICTIONARY
+    words = words if words is not None else dictionary()
     n, low, longest = len(value), value.lower(), _longest(words)
     plain = low.translate(_LEET)
     open_ = {0: 0.0}
@@ -160,26 +174,32 @@ def guess_cost(value: str, words: dict[str, int] | None = None, most: float = ma
     return open_.get(n, math.inf)
 
 
-DICTIONARY = {w: i + 1 for i, w in enumerate(COMMON)}
+def vocabularies() -> tuple[str, str]:
+    """Where the two vocabularies lie: words of English, pieces of many languages."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def dictionary(docs: DataFrame, most: int = FREQUENT) -> dict[str, int]:
-    """Word to rank: COMMON first, then the most frequent words (letters a-z, case folded) of all texts, ties by spelling.
+@lru_cache(1)
+def dictionary(paths: tuple[str, str] | None = None) -> dict[str, int]:
+    """Word to rank: COMMON first, then the whole words of both vocabularies, each by its better rank in either, ties by spelling.
 
-    Counts are partial aggregates. Words too rare to fill the list are set
-    aside by bands of counts (some hundred rows), so what tasks send the driver
-    is near most words, however many tasks there are; more only where very many
-    words share the last band.
+    A whole word is a token that ends a word in the first and one behind a
+    blank in the second, of LETTERS letters, folded to lower case.
     """
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word"))
-    words = words.where(F.length("word").between(*LETTERS)).groupBy("word").count().where("count > 1")
-    # Each task would send the driver `most` words; so words of bands of counts below the one that fills the list go first.
-    words = words.withColumn("band", F.floor(F.log2("count") * BANDS))
-    sizes = words.groupBy("band").agg(F.count(F.lit(1)).alias("n")).select("band", F.sum("n").over(Window.orderBy(F.desc("band"))).alias("above"))
-    least = sizes.where(F.col("above") >= most).agg(F.max("band")).scalar()
-    words = words.where(F.col("band") >= F.coalesce(least, F.lit(0)))
-    found = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(most).collect()]
-    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *found]))}
+    words_path, pieces_path = paths or vocabularies()
+    ranks: dict[str, int] = {}
+    with open(words_path, encoding="utf-8") as f:
+        found = [(w.removesuffix("</w>"), i) for w, i in json.load(f)["model"]["vocab"].items() if w.endswith("</w>")]
+    with open(pieces_path, "rb") as f:
+        found += [(base64.b64decode(t)[1:].decode("utf-8", "replace"), int(i)) for t, i in map(bytes.split, f) if base64.b64decode(t)[:1] == b" "]
+    for word, i in found:
+        word = word.lower()
+        if word.isalpha() and LETTERS[0] <= len(word) <= LETTERS[1]:
+            ranks[word] = min(i, ranks.get(word, i))
+    ordered = sorted(ranks, key=lambda w: (ranks[w], w))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *ordered]))}
 
 
 def _gaps(start: int, end: int, spans: list[tuple[int, int, str]], reach: list[int]) -> Iterator[tuple[int, int]]:
@@ -195,20 +215,57 @@ def _gaps(start: int, end: int, spans: list[tuple[int, int, str]], reach: list[i
         yield start, end
 
 
+def _contexts(text: str) -> Iterator[re.Match]:
+    """All matches of _CONTEXT, left to right without overlaps, looked for only where a credential word may begin."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters' lower case is longer
+        yield from _CONTEXT.finditer(text)
+        return
+    places, end = set(), 0
+    for stem in _STEMS:
+        i = low.find(stem)
+        while i >= 0:
+            places.add(i)
+            i = low.find(stem, i + 1)
+    for i in sorted(places):
+        if i >= end and (m := _CONTEXT.match(text, i)):
+            end = m.end()
+            yield m
+
+
+def _values(text: str, words: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what stands where a credential would: after a credential word, or before the @ of an address.
+
+    A bare value after a verb ("the password is ...") is one only if it isn't
+    letters alone, as prose is; of an address only the password is one. A bare
+    value goes on to the end of its line where that is three words or more of
+    which none is among the FREQUENT first of the dictionary.
+    """
+    if "://" in text:
+        yield from (m.span(1) for m in _USERINFO.finditer(text))
+    for m in _contexts(text):
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        if _ADDRESS.match(m[kind]) or m["verb"] and kind == "bare" and m[kind].rstrip(".!?:)").isalpha():
+            continue
+        phrase = _PHRASE.match(text, start) if kind == "bare" else None
+        if phrase and all(words.get(w.lower(), FREQUENT + 1) > FREQUENT for w in re.split(r"[\x20-]", phrase[0])):
+            end = phrase.end()
+        yield start, end
+
+
 def find(text: str | None, guesses: float = GUESSES, words: dict[str, int] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in a text, by start, then by the order of KINDS."""
     text = text or ""
+    words = words if words is not None else dictionary()
     found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     base = sorted(found)
     reach = list(accumulate((e for _, e, _ in base), max))
-    for m in _CONTEXT.finditer(text):
-        k = m.lastindex
-        if k and not _ADDRESS.match(m[k]):
-            found += [(s, e, "guess") for s, e in _gaps(m.start(k), m.end(k), base, reach) if guess_cost(text[s:e], words, guesses) >= guesses]
-    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
+    guessed = {(s, e) for start, end in _values(text, words) for s, e in _gaps(start, end, base, reach) if guess_cost(text[s:e], words, guesses) >= guesses}
+    return sorted([*found, *((s, e, "guess") for s, e in guessed)], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -232,9 +289,9 @@ def scanned(docs: DataFrame, guesses: float = GUESSES, mask: str = "[SECRET]", w
     text has no secrets and stays null in clean_text; an empty table gives no
     rows; doc_id, null or repeated, plays no part. The base matches are as the
     contract has them; the guess spans never overlap one. Texts are scanned
-    whole, one at a time. words: the dictionary; by default that of docs.
+    whole, one at a time. words: the dictionary, by default that of the
+    vocabularies; nothing is gathered from docs, so a row's secrets are its own.
     """
-    words = dictionary(docs) if words is None else words
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"]
     base = docs.drop(*own)
 

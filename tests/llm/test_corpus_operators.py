@@ -641,19 +641,52 @@ def test_shards_stay_equal_when_one_text_fills_half(spark):
     assert len(size) == 8 and max(size.values()) < 1.02 * sum(size.values()) / 8
 
 
-def test_dictionary_is_the_most_frequent_words(spark):
-    """Against a plain count: ties by spelling at every cut, one cut within many words of one count, none that fills the list."""
-    rng = random.Random(3)
-    vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 4))) for _ in range(150)]
-    texts = [None, "", "A1bc ABC abc"] + [" ".join(rng.choice(vocabulary[: rng.randint(1, 150)]) for _ in range(30)) for _ in range(60)]
-    counts = {}
-    for t in texts:
-        for w in re.split("[^a-z]+", (t or "").lower()):
-            if 3 <= len(w) <= 20:
-                counts[w] = counts.get(w, 0) + 1
-    ranked = sorted((w for w, n in counts.items() if n > 1), key=lambda w: (-counts[w], w))
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    for most in (1, 7, 40, len(ranked), len(ranked) + 9):
-        want = dict.fromkeys([*secrets.COMMON, *ranked[:most]])
-        assert secrets.dictionary(docs, most) == {w: i + 1 for i, w in enumerate(want)}
-    assert secrets.dictionary(docs.limit(0)) == secrets.DICTIONARY
+def test_dictionary_is_fixed(tmp_path):
+    """Whole words of two vocabularies by their better rank, behind the frequent passwords; nothing of any text."""
+    words = secrets.dictionary()
+    assert list(words)[: len(secrets.COMMON)] == list(dict.fromkeys(secrets.COMMON)) and list(words.values()) == list(range(1, len(words) + 1))
+    assert all(w in words for w in ("horse", "battery", "garden", "nicht", "nous", "para", "über")) and "trbkqzmwvplx" not in words
+    assert words["the"] < words["horse"] < words["staple"] and all(3 <= len(w) <= 20 and w.isalpha() or w in secrets.COMMON for w in words)
+    first, second = tmp_path / "a.json", tmp_path / "b.tiktoken"
+    first.write_text('{"model": {"vocab": {"alpha</w>": 5, "beta": 1, "gamma</w>": 2, "b2</w>": 0, "of</w>": 0}}}')
+    second.write_bytes(b"IGFscGhh 1\nIEJldGE= 7\nZGVsdGE= 0\n")  # " alpha", " Beta", "delta" without a blank
+    assert list(secrets.dictionary((str(first), str(second))))[len(dict.fromkeys(secrets.COMMON)) :] == ["alpha", "gamma", "beta"]
+
+
+def test_copies_of_a_secret_stay_secret(spark):
+    """A leaked value is found in each of its copies, and a row's secrets don't depend on the others."""
+    leak, other = 'auth: "trbkqzmwvplx" is set', "the word trbkqzmwvplx again and trbkqzmwvplx"
+    for n in (1, 2, 50):
+        rows = [(i, leak) for i in range(n)] + [(100 + i, other) for i in range(n)]
+        got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: "guess:7:19" if i < 100 else "" for i, _ in rows}
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Kennwort: xK9#fj2Lq8Zp", ["xK9#fj2Lq8Zp"]),
+        ("Das Passwort ist xK9#fj2Lq8Zp.", ["xK9#fj2Lq8Zp."]),
+        ("API-Schlüssel = 'qT7xLm3Vz9Rb'", ["qT7xLm3Vz9Rb"]),
+        ("mot de passe : xK9#fj2Lq8Zp", ["xK9#fj2Lq8Zp"]),
+        ("Clé API=qT7xLm3Vz9Rb", ["qT7xLm3Vz9Rb"]),
+        ("la contraseña es xK9#fj2Lq8Zp", ["xK9#fj2Lq8Zp"]),
+        ("CLAVE DE ACCESO: qT7xLm3Vz9Rb", ["qT7xLm3Vz9Rb"]),
+        ("the password is xK9#fj2Lq8Zp ok", ["xK9#fj2Lq8Zp"]),
+        ("the password is unquestionably", []),
+        ("la clave es extraordinariamente larga", []),
+        ("password: correct horse battery staple", ["correct horse battery staple"]),
+        ("Passphrase = vulture-anchor-copper-tulip\nnext line", ["vulture-anchor-copper-tulip"]),
+        ("password: please enter the one that you were given", []),
+        ("Passwort: bitte geben Sie das neue ein", []),
+        ("see https://bob:Xk29fjQpz81Lw@host/x", ["Xk29fjQpz81Lw"]),
+        ("token: https://bob:Xk29fjQpz81Lw@host/x", ["Xk29fjQpz81Lw"]),
+        ("see https://bob:password@host/x and http://host:8080/a@b", []),
+        ("token: https://host/path/Xk29fjQpz81LwXk29fjQpz81Lw", []),
+        ("İ pwd: xK9#fj2Lq8Zp", ["xK9#fj2Lq8Zp"]),
+        ("author: Xk29fjQpz81Lw, opinion: Xk29fjQpz81Lw", []),
+    ],
+)
+def test_where_credentials_stand(text, found):
+    assert [text[s:e] for s, e, k in secrets.find(text) if k == "guess"] == found
+
