@@ -8,16 +8,19 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import queries as operators
-from .plans import joins, language, rules, stats, text, windows, workorders
+from .operators import text_queries
+from .plans import joins, language, places, rules, stats, text, windows, workorders
 from .plans.dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language)
+#: Functions of families that are parts of queries only.
+PARTS = {"passes", "lines"}
+FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language, places)
 
 
 def plans() -> dict[str, Callable]:
     """Name to function of a dialect, for every plan of every family."""
-    return {n: f for m in FAMILIES for n, f in vars(m).items() if not n.startswith("_") and callable(f) and getattr(f, "__module__", "") == m.__name__}
+    return {n: f for m in FAMILIES for n, f in vars(m).items() if not n.startswith("_") and n not in PARTS and callable(f) and getattr(f, "__module__", "") == m.__name__}
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -37,11 +40,11 @@ def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(f) for n, f in plans().items()} | operators.queries()
+    return {n: _query(f) for n, f in plans().items()} | operators.queries() | text_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: f(Duck()) for n, f in plans().items()} | operators.oracle_sql()
+    return {n: f(Duck()) for n, f in plans().items()} | operators.oracle_sql() | text_queries.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

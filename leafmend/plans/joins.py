@@ -111,11 +111,3 @@ def update_join(d) -> str:
     SELECT a.doc_id, CASE WHEN b.choice = 'change' THEN b.v ELSE a.quality END AS quality, coalesce(b.choice, 'none') AS choice
     FROM labels a LEFT JOIN (SELECT doc_id, 1 - quality AS v, CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'change' ELSE 'reject' END AS choice FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id
     WHERE b.choice IS DISTINCT FROM 'reject'"""
-
-
-def level_sections(d) -> str:
-    """Each heading's interval: up to the next of the same or a higher level."""
-    return """
-    SELECT h.conv_id, h.turn, min(n.turn) AS until FROM (SELECT conv_id, turn, length(text) % 3 AS level FROM conversations) h
-    LEFT JOIN (SELECT conv_id, turn, length(text) % 3 AS level FROM conversations) n ON n.conv_id = h.conv_id AND n.turn > h.turn AND n.level <= h.level
-    GROUP BY h.conv_id, h.turn"""

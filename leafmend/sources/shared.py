@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where it is unset (tests), below the warehouse, which executors share too."""
+    """A fresh path in the folder that spark.checkpoint.dir names.
+
+    Where it is unset, a session on one machine (tests) gets a folder below the
+    warehouse; on a cluster that would be some machine's own disk, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/leafmend-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str, *partitions: str) -> DataFrame:
+    """df written once to a fresh shared path and read again, its lineage cut."""
+    path = shared_path(df.sparkSession, what)
+    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
