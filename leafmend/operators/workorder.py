@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
+from .groups import by_group
 from .validate import first_reason
 
 #: The types that a decision may set.
@@ -87,3 +88,39 @@ def deferral_pages(items: DataFrame, pages: int) -> DataFrame:
     cut = F.coalesce(F.size(good) < F.size("pages"), F.lit(False))
     rest = [c for c in items.columns if c != "pages"]
     return items.select(*rest, F.when(F.size(good) > 0, good).alias("pages"), F.when(cut, "not PDF page numbers in range").alias("why"))
+
+
+#: The reasons against a section's move.
+MOVES = (
+    "bad pages", "the audit finds no section read out of place in these pages or where it lands", "more than 3 section moves",
+    "its pages overlap another section move", "it lands inside the pages of another section move",
+)
+MOST_MOVES = 3
+
+
+def section_moves(moves: DataFrame, misread: DataFrame, pages: int) -> DataFrame:
+    """moves (book, pos, low, high, goal) with why: the first reason against each, null where it is kept.
+
+    misread (book, page): where a section read out of place starts. Moves of a
+    book are judged in order of pos, each on those kept before it, at most
+    MOST_MOVES; a move with a null page has bad pages.
+    """
+
+    def judged(low: list, high: list, goal: list, bad: list) -> list[list[str | None]]:
+        kept, out = [], []
+        for a, b, g, starts in zip(low, high, goal, bad, strict=True):
+            faults = (
+                any(x is None or not 1 <= x <= pages for x in (a, b, g)),
+                lambda a=a, b=b, g=g, starts=starts: not any(a <= f <= b or f == g for f in starts or ()),
+                lambda: len(kept) == MOST_MOVES,
+                lambda a=a, b=b: any(a <= h and l <= b for l, h, _ in kept),
+                lambda a=a, b=b, g=g: any(l <= g <= h or a <= k <= b for l, h, k in kept),
+            )
+            out.append(next((why for fault, why in zip(faults, MOVES, strict=True) if (fault() if callable(fault) else fault)), None))
+            if out[-1] is None:
+                kept.append((a, b, g))
+        return [out]
+
+    starts = misread.groupBy("book").agg(F.collect_set("page").alias("_starts"))
+    rows = moves.join(starts, "book", "left").select(*moves.columns, "_starts")
+    return by_group(rows, ["book"], ["pos"], ["low", "high", "goal", "_starts"], judged, "why string").drop("_starts")

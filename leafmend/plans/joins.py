@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def ledger_dedupe(d) -> str:
-    """Seed and ledger as one: the first row of a key, without ledger rows that the seed has."""
+    """Seed and ledger as one: the first row of a key, without ledger rows that the seed has; every other ledger row has a number of its own."""
     return """
-    WITH seed AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_id % 3 = 0),
-    ledger AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_id % 2 = 0)
+    WITH seed AS (SELECT user_id, event_type, floor(value) AS value, event_id FROM events),
+    ledger AS (SELECT user_id, event_type, value, CASE WHEN event_id % 2 = 0 THEN event_id ELSE -1 - event_id END AS event_id FROM events)
     SELECT user_id, event_type, event_id FROM (
       SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY event_id) AS rn FROM (
         SELECT * FROM seed UNION ALL SELECT l.* FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.event_id = l.event_id)))
@@ -32,8 +32,8 @@ def diff_full_outer(d) -> str:
     """Fields that differ between two snapshots, missing on one side included."""
     return """
     SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.c_mktsegment AS baseline, b.c_mktsegment AS newer
-    FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0) a
-    FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 4 <> 0) b ON a.c_custkey = b.c_custkey
+    FROM customer a FULL OUTER JOIN (
+      SELECT CASE WHEN c_custkey % 5 = 0 THEN -1 - c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer) b ON a.c_custkey = b.c_custkey
     WHERE a.c_mktsegment IS DISTINCT FROM b.c_mktsegment"""
 
 
@@ -79,7 +79,7 @@ def carried_choices(d) -> str:
     """Earlier choices that land on today's items: the same id and the same value."""
     return """
     SELECT a.doc_id, a.quality, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.quality = b.quality THEN 'carried' ELSE 'changed' END AS state
-    FROM labels a LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 4 <> 1) b ON a.doc_id = b.doc_id"""
+    FROM labels a LEFT JOIN (SELECT CASE WHEN doc_id % 4 = 1 THEN -1 - doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 6 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels) b ON a.doc_id = b.doc_id"""
 
 
 def multiset_equality(d) -> str:
@@ -109,5 +109,5 @@ def update_join(d) -> str:
     """A reviewer's choices laid over decisions: rejected ones go, changed ones take the new value, others stay."""
     return """
     SELECT a.doc_id, CASE WHEN b.choice = 'change' THEN b.v ELSE a.quality END AS quality, coalesce(b.choice, 'none') AS choice
-    FROM labels a LEFT JOIN (SELECT doc_id, 1 - quality AS v, CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'change' ELSE 'reject' END AS choice FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id
+    FROM labels a LEFT JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 - doc_id END AS doc_id, 1 - quality AS v, CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'change' ELSE 'reject' END AS choice FROM labels) b ON a.doc_id = b.doc_id
     WHERE b.choice IS DISTINCT FROM 'reject'"""

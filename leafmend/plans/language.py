@@ -1,11 +1,9 @@
-"""Language values, replies about word forms, and how far a book's release has come.
-
-Literal rows stand in for replies and results, which no table holds.
-"""
+"""Language values, replies about word forms, and how far a book's release has come; given.py takes replies and results from the tables."""
 
 from __future__ import annotations
 
-from .rules import SHORT, SUPPRESSED, _values
+from .given import values as _values
+from .rules import SHORT, SUPPRESSED
 
 #: The languages that may be written, by tag, with their names for people.
 NAMES = {
@@ -72,31 +70,16 @@ def written_tags(d) -> str:
     LEFT JOIN {means} ON w.called = lower(trim({d.replaced("t.written", "[ ]+", " ")}))"""
 
 
-#: Requests' items: reply, id, form, group, class.
-ITEMS = [(1, "a", "Tenpyō hōji", "marks", "marks"), (1, "b", "ʻaina", "hawaiian", "hawaiian"), (1, "c", "aina", "latin", "latin"), (1, "e", "年前", "cjk", "cjk:han_only"), (1, "f", "vita", "latin", "latin"), (1, "g", "old", "existing", "latin"), (5, "a", "pani", "latin", "latin"), (5, "b", "puhi", "latin", "latin"),
-         (2, "a", "mano", "latin", "latin"), (2, "b", "слово", "script", "script:cyrillic"), (3, "a", "kai", "latin", "latin"), (4, "a", "lai", "latin", "latin")]
-#: Texts marked with an item's id, which an answer may echo too.
-MARKS = [(1, "a", "hōji"), (1, "f", "dolce vita")]
-#: Replies: how each was read (whole, in pieces, not at all) and why it ended.
-REPLIES = [(1, "whole", "stop"), (2, "partial", "stop"), (3, "unreadable", "stop"), (4, "whole", "length"), (5, "whole", "stop")]
-#: Decisions in the replies' order: reply, place, id, echo, lang, confidence, why.
-DECISIONS = [
-    (1, 1, "a", "TENPYŌ  hōji", "ja-Latn", "high", "language"), (1, 2, "b", "aina", "haw", "high", "language"), (1, 3, "c", None, "ms-Latn", "sure", "language"), (1, 4, "c", "aina", "ms-Latn", "medium", "language"),
-    (1, 5, "c", "aina", "id", "low", "unsure"), (1, 6, "z", "aina", "id", "low", "unsure"), (1, 7, "e", "年前", "jpn", "high", "language"), (1, 8, "f", "Dolce-Vita", "it", "low", "because"),
-    (1, 9, "f", "Dolce-Vita", "it", "low", "unsure"), (1, 10, "g", "old", "ang", "high", "language"), (2, 1, "a", "mano", None, "medium", "indeterminate"), (1, 11, None, None, "en", "high", "language"), (5, 1, "a", "PANI", "fr", "low", "unsure"), (5, 2, "b", "puhi", None, "high", "english"),
-]
-
-
 def _decided(d) -> str:
     """CTEs ending in decided: each decision with the code of the first reason against it, null where it is kept."""
     key = lambda x: f"lower({d.replaced(x, r'[^\pL\pN]', '')})"
     same = lambda x: f"lower(trim({d.replaced(x, '[ ]+', ' ')}))"
     bare = f"CASE WHEN {d.first('lang', '^([^-]+)-Latn$', 1)} IN ({_listed(SUPPRESSED)}) THEN {d.first('lang', '^([^-]+)-Latn$', 1)} ELSE lang END"
     return f"""
-    WITH items AS (SELECT reply, item, form, grp, class FROM {_values(ITEMS, "i", "reply, item, form, grp, class")}),
-    keys AS (SELECT DISTINCT reply, item, loose FROM (SELECT reply, item, {key("form")} AS loose FROM items UNION ALL SELECT reply, item, {key("form")} FROM {_values(MARKS, "m", "reply, item, form")}) WHERE loose <> ''),
+    WITH items AS (SELECT reply, item, form, grp, class FROM {d.given("requested")}),
+    keys AS (SELECT DISTINCT reply, item, loose FROM (SELECT reply, item, {key("form")} AS loose FROM items UNION ALL SELECT reply, item, {key("form")} FROM {d.given("echoed")}) WHERE loose <> ''),
     owners AS (SELECT reply, loose, min(item) AS item FROM keys GROUP BY reply, loose HAVING count(*) = 1),
-    given AS (SELECT reply, place, item, echo, lang AS said, {bare} AS lang, confidence, why FROM {_values(DECISIONS, "g", "reply, place, item, echo, lang, confidence, why")}),
+    given AS (SELECT reply, place, item, echo, lang AS said, {bare} AS lang, confidence, why FROM {d.given("decisions")}),
     tags AS (SELECT id, allowed FROM ({_tags(d, "(SELECT DISTINCT lang AS id, lang AS written FROM given WHERE lang IS NOT NULL)")})),
     judged AS (SELECT g.reply, g.place, g.item, g.lang, g.confidence, g.why, i.item IS NOT NULL AS known,
         CASE WHEN g.echo IS NOT NULL AND NOT coalesce({same("g.echo")} = {same("i.form")}, false) AND NOT coalesce(o.item = g.item, false) THEN 'echo'
@@ -126,20 +109,12 @@ def form_answers(d) -> str:
     answers AS (SELECT i.reply, i.item, i.grp, i.class, k.lang, k.confidence, k.item IS NULL AS missing,
         CASE WHEN k.item IS NULL THEN CASE WHEN g.own IS NOT NULL THEN g.own WHEN r.finish = 'length' THEN 'cut_off' WHEN r.was_read = 'unreadable' THEN 'unreadable' WHEN r.was_read = 'partial' THEN 'invalid' ELSE 'not_answered' END END AS no_answer
       FROM items i LEFT JOIN (SELECT * FROM decided WHERE code IS NULL) k ON k.reply = i.reply AND k.item = i.item LEFT JOIN gaps g ON g.reply = i.reply AND g.item = i.item
-      JOIN {_values(REPLIES, "r", "reply, was_read, finish")} ON r.reply = i.reply),
+      JOIN {d.given("replies", "r")} ON r.reply = i.reply),
     marked AS (SELECT reply, item, lang, no_answer, grp <> 'existing' AND lang IS NOT NULL AND coalesce(confidence IN ('high', 'medium'), false) AS tagged,
         grp = 'existing' OR missing OR {d.matches("class", "^(cjk|script):")} AND (lang IS NULL OR confidence = 'low') AS person FROM answers)
     SELECT reply, item, lang, no_answer, tagged, person, tagged OR person OR max(CASE WHEN tagged OR person THEN 1 ELSE 0 END) OVER (PARTITION BY reply) = 0 AS shown FROM marked"""
 
 
-#: Results of two evaluations of a book's file: book, section, place, hash, session, complete, issues.
-RESULTS = [(1, "pac", 1, "h1", "1", True, 0), (1, "screen_reader", 1, "h1", "1", True, 2), (2, "pac", 1, "h0", "3", True, 1), (3, "pac", 1, "h1", None, False, 1), (3, "screen_reader", 1, "h0", "x", True, 0), (5, "pac", 1, "h1", "1", True, 1),
-           (5, "pac", 2, "h1", "1", True, 0), (5, "screen_reader", 1, "h1", "1", True, 0), (6, "pac", 1, "h0", "1", True, 1), (6, "screen_reader", 1, "h0", "1", True, 0), (7, "pac", 1, "h1", "1", True, 0), (7, "screen_reader", 1, "h1", "1", True, 1)]
-#: Books: current hash, base requirements met, shipped hash, sessions finished and open, the current file's session.
-BOOKS = [(1, "h1", True, None, None, None, "1"), (2, "h1", True, None, None, None, None), (3, "h1", True, None, None, None, None), (4, "h1", True, None, None, None, None), (5, "h1", False, None, None, None, None),
-         (6, "h1", True, "h0", None, None, "2"), (7, "h1", True, "h1", None, "4", None), (8, "h1", True, "h0", "5", "6", None), (9, "h1", True, "h0", None, None, None)]
-
-
 def release_lines(d) -> str:
     """A book's status, with the issues noted on its version; once shipped, the shipped copy's, and a line on what comes next; and the line on its evaluation."""
     noted = lambda n: f"concat(CAST({n} AS STRING), CASE WHEN {n} = 1 THEN ' issue noted' ELSE ' issues noted' END)"
@@ -150,8 +125,8 @@ def release_lines(d) -> str:
     missing = f"""concat(CASE section WHEN 'pac' THEN 'PAC 2026' ELSE 'Screen-Reader Test' END, CASE state WHEN 'not recorded' THEN ' not recorded' WHEN 'could not be read' THEN ': could not be read in full: record it again'
       ELSE concat(': recorded on a previous version', CASE WHEN {number("ses")} THEN concat(', ', {session(f"CASE WHEN {number('ses')} THEN ses END")}) ELSE '' END) END)"""
     return f"""
-    WITH books AS (SELECT book, cur, base_ok, shipped, finished, being, ses FROM {_values(BOOKS, "b", "book, cur, base_ok, shipped, finished, being, ses")}),
-    results AS (SELECT book, section, place, sha, session, whole, issues FROM {_values(RESULTS, "r", "book, section, place, sha, session, whole, issues")}),
+    WITH books AS (SELECT book, cur, base_ok, shipped, finished, being, ses FROM {d.given("books")}),
+    results AS (SELECT book, section, place, sha, session, whole, issues FROM {d.given("results")}),
     asked AS (SELECT b.book, v.sha, s.section FROM books b JOIN (SELECT book, cur AS sha FROM books UNION SELECT book, shipped FROM books WHERE shipped IS NOT NULL) v ON v.book = b.book
       JOIN {_values([("pac", 1), ("screen_reader", 1)], "s", "section, one")} ON s.one = 1),
     latest AS (SELECT book, sha, section, max_by(whole, place) AS whole, max_by(issues, place) AS issues FROM results GROUP BY book, sha, section),
@@ -169,25 +144,14 @@ def release_lines(d) -> str:
     FROM current c LEFT JOIN judged s ON s.book = c.book AND s.sha = c.shipped"""
 
 
-#: Requests sent: number, hash, hash it was sent again for, error, whether parts were sent again, why it ended, whether it can't be read.
-SENT = [(1, "s1", None, False, False, "stop", False), (2, "s2", None, False, False, "length", False), (20, "r2", "s2", False, False, "stop", False), (3, "s3", None, False, True, "stop", False), (30, "r3", "s3", False, False, "length", False),
-        (4, "s4", None, True, False, "stop", False), (5, "s5", None, False, False, "stop", True), (6, "s6", None, False, False, None, False), (8, "s8", None, False, True, "stop", False), (80, "r8", "s8", False, False, "stop", False)]
-
-
 def unfinished_requests(d) -> str:
-    """The first eight requests that didn't finish: failed, cut off or sent again in part without a sound second reply, ended otherwise, unreadable, or never sent."""
-    sent = _values(SENT, "t", "n, sha, again_for, error, again, finish, unreadable")
+    """The requests asked for that didn't finish: failed, cut off or sent again in part without a sound second reply, ended otherwise, unreadable, or never sent."""
     sound = "NOT error AND coalesce(finish = 'stop', false) AND NOT unreadable AND NOT again"
     return f"""
-    WITH sent AS (SELECT n, sha, again_for, error, again, finish, unreadable FROM {sent}),
+    WITH sent AS (SELECT n, sha, again_for, error, again, finish, unreadable FROM {d.given('sent', 't')}),
     second AS (SELECT again_for, max_by(CASE WHEN {sound} THEN 1 ELSE 0 END, n) = 1 AS good FROM sent WHERE again_for IS NOT NULL GROUP BY again_for),
     done AS (SELECT s.n, NOT error AND CASE WHEN again OR coalesce(finish = 'length', false) THEN coalesce(r.good, false) ELSE {sound} END AS good FROM sent s LEFT JOIN second r ON r.again_for = s.sha WHERE s.again_for IS NULL)
-    SELECT a.n FROM {_values([(i,) for i in range(1, 9)], "a", "n")} LEFT JOIN done ON done.n = a.n WHERE NOT coalesce(good, false)"""
-
-
-#: A book's expected costs: requests, page readings still to do, language requests still to send; each with its calls learned from or why it has no figure.
-FIGURES = [(1, 2.0, 1.5, 2.5, 80, False, 0, None, None, None, None, None, False), (2, 2.0, 1.5, 2.5, 80, False, 3, 0.5, 0.25, 1.0, 40, None, True), (3, 2.0, None, None, 30, True, 3, 0.5, None, None, 40, None, False),
-           (4, 2.0, 1.5, 2.5, 80, False, 3, None, None, None, None, "too_few", False), (5, None, None, None, None, False, 3, 0.5, 0.5, 0.5, 40, None, False), (6, 2.0, 1.5, 2.5, 80, False, 3, None, None, None, None, None, False)]
+    SELECT a.n FROM {d.given("asked", "a")} LEFT JOIN done ON done.n = a.n WHERE NOT coalesce(good, false)"""
 
 
 def whole_costs(d) -> str:
@@ -196,4 +160,4 @@ def whole_costs(d) -> str:
     SELECT id, CASE WHEN alone THEN usd WHEN p_usd IS NOT NULL THEN usd + p_usd END AS usd, CASE WHEN alone THEN low WHEN p_usd IS NOT NULL THEN coalesce(low, usd) + coalesce(p_low, p_usd) END AS low,
       CASE WHEN alone THEN high WHEN p_usd IS NOT NULL THEN coalesce(high, usd) + coalesce(p_high, p_usd) END AS high, CASE WHEN alone THEN calls WHEN p_usd IS NOT NULL THEN least(calls, p_calls) END AS calls,
       CASE WHEN alone THEN beyond ELSE p_usd IS NOT NULL AND (beyond OR p_beyond) END AS beyond, CASE WHEN NOT alone AND p_usd IS NULL THEN coalesce(p_none, 'no_page_figure') END AS missing
-    FROM (SELECT *, usd IS NULL OR to_read = 0 AS alone FROM {_values(FIGURES, "t", "id, usd, low, high, calls, beyond, to_read, p_usd, p_low, p_high, p_calls, p_none, p_beyond")})"""
+    FROM (SELECT *, usd IS NULL OR to_read = 0 AS alone FROM {d.given("figures", "t")})"""

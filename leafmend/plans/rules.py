@@ -5,7 +5,8 @@ Where the tables have no such column, a few literal rows stand in, listed with t
 
 from __future__ import annotations
 
-from .text import SPACES
+from .given import values as _values
+from .text import CJK_WIDE, SPACES
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 #: The shape of a date, names that aren't titles, a maker's tag before a title, a copy's number after it.
@@ -26,14 +27,6 @@ cze cs hun hu fin fi jav jv""".split()
 WINDOW, CALLS, BOOKS, LOW, HIGH = 80, 12, 6, 0.05, 0.95
 
 
-def _values(rows: list[tuple], name: str, columns: str) -> str:
-    text = lambda v: "NULL" if v is None else "'" + v + "'" if isinstance(v, str) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS {name}({columns})"
-
-
-DATES = ["2026-11-15", "2026-11-15T18:19:00", "2026-02-30 00:05", "2026-13-01", "soon", "", None, "2026-10-31T09:07:30.5Z", "2026-10-31T24:00", " 2026-01-02 ", "2026-06-07T12:00+09:00"]
-
-
 def iso_date_words(d) -> str:
     """Dates and times as written, in words: no zone is applied, days to 31 pass in any month, what doesn't parse stays, what is missing says so."""
     part = lambda i: f"CAST(nullif({d.first('v', ISO, i)}, '') AS INT)"
@@ -44,10 +37,7 @@ def iso_date_words(d) -> str:
         CASE WHEN coalesce(v, '') = '' OR sound AND h IS NULL THEN 'time not recorded' WHEN NOT sound THEN v
           ELSE concat(CAST(CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END AS STRING), ':', {two}, CASE WHEN h < 12 THEN ' AM' ELSE ' PM' END) END AS clock
       FROM (SELECT *, coalesce(mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND (h IS NULL OR h <= 23 AND mi <= 59), false) AS sound FROM (
-        SELECT id, v, {part(1)} AS y, {part(2)} AS mo, {part(3)} AS d, {part(4)} AS h, {part(5)} AS mi FROM (SELECT id, trim(v) AS v FROM {_values(list(enumerate(DATES)), "t", "id, v")}))))"""
-
-
-TAGS = ["jpn-Latn", "ms-Latn", "eng", "haw", "ryu-Latn", "EN-Latn", "zho-Hant", "id-Latn", "jw", "de-Latn-AT", "fra", "x"]
+        SELECT id, v, {part(1)} AS y, {part(2)} AS mo, {part(3)} AS d, {part(4)} AS h, {part(5)} AS mi FROM (SELECT id, trim(v) AS v FROM {d.given("iso_dates")}))))"""
 
 
 def short_tags(d) -> str:
@@ -57,7 +47,7 @@ def short_tags(d) -> str:
     return f"""
     SELECT id, tag, concat(coalesce(two, {first}), {rest}) AS shortest,
       CASE WHEN {d.first("tag", "^([^-]+)-Latn$", 1)} IN ({", ".join(f"'{x}'" for x in SUPPRESSED)}) THEN {first} ELSE tag END AS unscripted
-    FROM {_values(list(enumerate(TAGS)), "t", "id, tag")} LEFT JOIN {_values(pairs, "m", "three, two")} ON three = {first}"""
+    FROM {d.given("tags")} LEFT JOIN {_values(pairs, "m", "three, two")} ON three = {first}"""
 
 
 def sentence_ends(d) -> str:
@@ -110,35 +100,35 @@ def request_estimates(d) -> str:
       SELECT doc_id, n_chars / CAST(2.2 AS DOUBLE) AS text_tokens, (n_chars % 1000) * 700 / CAST(750 AS DOUBLE) AS image_tokens FROM documents)"""
 
 
-IMAGES = [(1, 5, False, 0.0, 144.0, 0.0, 72.0, 300, 150), (1, 5, False, 0.0, 72.0, 0.0, 144.0, 400, 200), (2, 3, False, 0.0, 60.0, 0.0, 20.0, 10, 10), (3, 2, True, 0.0, 400.0, 0.0, 600.0, 100, 100),
-          (4, 2, False, 10.0, 82.0, 0.0, 144.0, 149, 299), (5, 1, False, 0.0, 100.0, 0.0, 100.0, 0, 50), (6, None, False, 0.0, 100.0, 0.0, 100.0, 50, 50), (7, 1, False, 0.0, 100.0, 0.0, 100.0, 50, 50)]
-
-
 def low_resolution(d) -> str:
     """Figures under 150 pixels an inch: the least of their images, short side to short side; images of under an inch, whole pages and figures without a page aside."""
     return f"""
     SELECT obj, page, ppi FROM (
       SELECT obj, min(page) AS page, CAST(round(min(least(least(w, h) / (least(pw, ph) / 72), greatest(w, h) / (greatest(pw, ph) / 72)))) AS BIGINT) AS ppi
       FROM (SELECT obj, page, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST(x1 - x0 AS DOUBLE) AS pw, CAST(y1 - y0 AS DOUBLE) AS ph
-        FROM {_values(IMAGES, "t", "obj, page, whole, x0, x1, y0, y1, w, h")} WHERE NOT whole AND page IS NOT NULL)
+        FROM {d.given("images")} WHERE NOT whole AND page IS NOT NULL)
       WHERE least(w, h) > 0 AND least(pw, ph) > 0 AND greatest(pw, ph) >= 72 GROUP BY obj) WHERE ppi < 150"""
 
 
-BOXES = [(0, 0, 100, 100, 0, 0, 100, 100), (0, 0, 100, 79, 0, 0, 100, 100), (-50, 0, 100, 80, 0, 0, 100, 100), (0, 0, 100, 79.96, 0, 0, 100, 100), (200, 0, 300, 100, 0, 0, 100, 100), (0, 0, 1, 1, 5, 5, 5, 5)]
-
-
 def page_scans(d) -> str:
     """Whether a box covers 80.0 % of the visible area or more, cut to it and rounded to a tenth."""
     part = "greatest(least(x1, vx1) - greatest(x0, vx0), 0) * greatest(least(y1, vy1) - greatest(y0, vy0), 0)"
     return f"""
     SELECT id, round(CAST(100 * {part} AS DOUBLE) / greatest(greatest(vx1 - vx0, 0) * greatest(vy1 - vy0, 0), 1), 1) >= 80 AS covers
-    FROM {_values([(i, *b) for i, b in enumerate(BOXES)], "t", "id, x0, y0, x1, y1, vx0, vy0, vx1, vy1")}"""
+    FROM {d.given("boxes")}"""
+
+
+def _cjk(n: str, nd: str) -> str:
+    return f"{n} >= 10 AND ({nd} >= 20 OR {nd} >= 10 AND CAST({nd} AS DOUBLE) / {n} >= 0.6)"
 
 
 def cjk_pages(d) -> str:
-    """A page holds CJK text from 10 characters, 20 of them different, or 10 different ones that are 60 % of all."""
-    counts = [(9, 9), (10, 10), (30, 12), (16, 10), (17, 10), (40, 20), (100, 19), (10, 9)]
-    return f"SELECT n, nd, n >= 10 AND (nd >= 20 OR nd >= 10 AND CAST(nd AS DOUBLE) / n >= 0.6) AS cjk FROM {_values(counts, 't', 'n, nd')}"
+    """A page holds CJK text from 10 characters, 20 of them different, or 10 different ones that are 60 % of all; characters beyond ASCII stand in for CJK ones too."""
+    only = lambda p: d.replaced("coalesce(text, '')", p, "")
+    count = lambda x: f"CASE WHEN {x} = '' THEN 0 ELSE {d.size(d.characters(x))} END"
+    return f"""
+    SELECT doc_id, n, nd, {_cjk("n", "nd")} AS beyond_ascii, {_cjk("c", "cd")} AS cjk FROM (
+      SELECT doc_id, length(b) AS n, {count("b")} AS nd, length(c) AS c, {count("c")} AS cd FROM (SELECT doc_id, {only(r"[\x00-\x7F]+")} AS b, {only(f"[^{CJK_WIDE}]+")} AS c FROM documents))"""
 
 
 def page_lists(d) -> str:
@@ -157,13 +147,9 @@ def safety_lines(d) -> str:
     FROM (SELECT l_orderkey, count(*) AS lines, count(DISTINCT CASE WHEN l_linenumber <= 5 THEN l_linenumber END) AS n, nullif({d.listed("CASE WHEN l_returnflag = 'R' THEN concat('check ', CAST(l_linenumber AS STRING)) END")}, '') AS bad FROM lineitem GROUP BY l_orderkey)"""
 
 
-CHECKLIST = [("a", "title", "pass,fail"), ("a", "alt", "pass,fail,na"), ("b", "order", "pass,fail")]
-ANSWERS = [(1, "a", "title", "pass"), (1, "a", "alt", "na"), (2, "a", "title", "na"), (2, "a", "alt", "fail"), (3, "a", "title", "fail"), (3, "a", "alt", "pass"), (3, "a", "odd", "pass"), (4, "b", "order", "fail"), (5, "a", "alt", "pass")]
-
-
 def checklists(d) -> str:
     """Results of evaluations: complete where each item of the checklist has one of its choices and no item is unknown; the items marked fail."""
-    answers, items = _values(ANSWERS, "r", "id, section, item, result"), _values(CHECKLIST, "c", "section, item, choices")
+    answers, items = d.given("answers"), d.given("checklist")
     return f"""
     WITH a AS (SELECT id, section, item, result FROM {answers}), c AS (SELECT section, item, choices FROM {items}),
     asked AS (SELECT k.id, c.section, c.item, c.choices FROM (SELECT DISTINCT id, section FROM a) k JOIN c ON c.section = k.section),
@@ -215,7 +201,7 @@ def stratified_sample(d) -> str:
     """A hundred documents, source by source in turn, by the hash of their id: a repeatable sample that no source fills."""
     h = d.sha256("CAST(doc_id AS STRING)")
     return f"""
-    SELECT doc_id, source, rn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {h}, doc_id) AS rn FROM documents WHERE source IS NOT NULL)
+    SELECT doc_id, source, rn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {h}, doc_id) AS rn FROM documents)
     WHERE rn <= 100 ORDER BY rn, source LIMIT 100"""
 
 

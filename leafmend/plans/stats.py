@@ -79,13 +79,6 @@ def safety_state(d) -> str:
       SELECT doc_id, min(ok) AS low, count(ok) AS n FROM ({" UNION ALL ".join(f"SELECT doc_id, {c} AS ok FROM documents" for c in checks)}) GROUP BY doc_id)"""
 
 
-def needs_person_rank(d) -> str:
-    """What needs a person: by rank, then the leading ones, then place."""
-    return """
-    SELECT doc_id, issue, CAST(row_number() OVER (ORDER BY rnk, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END, doc_id) AS BIGINT) AS place FROM (
-      SELECT doc_id, 'too short' AS issue, 1 AS rnk FROM documents WHERE n_chars < 60 UNION ALL SELECT doc_id, 'too long', 2 FROM documents WHERE n_chars > 15000)"""
-
-
 def producer_summary(d) -> str:
     """Totals by the producer's name without its number."""
     return f"SELECT {d.replaced('source', '[0-9]+$', '')} AS producer, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS characters, count(DISTINCT lang) AS langs FROM documents GROUP BY {d.replaced('source', '[0-9]+$', '')}"

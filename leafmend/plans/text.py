@@ -6,6 +6,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Characters for classes of regular expressions: all white space, of Unicode too; those of CJK scripts, without and with full-width forms or compatibility ideographs.
 SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CJK = r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{AC00}-\x{D7AF}"
 CJK_WIDE, CJK_COMPAT = CJK + r"\x{FF00}-\x{FFEF}", CJK + r"\x{F900}-\x{FAFF}"
 #: Signs that words are stripped of at their edges, and those that make a word junk.
@@ -19,10 +20,14 @@ GENERIC = r"^(click |tap )?(here|more|read more|learn more|link|this link|this|d
 ADDRESS = r"^\s*(https?://|www[.])\S+\s*$"
 
 
+#: Most words: letters alone, the first of any case, which no rule of edges, junk or suspects can touch.
+PLAIN_WORD = "^[A-Za-z][a-z]+$"
+
+
 def _stripped(d, edges: str) -> str:
-    """Documents' words without these signs at their edges, as column w; each text has one more that is empty (the stop), so that none is left out."""
+    """Documents' words without these signs at their edges, as column w, and whether they are plain; each text has one more that is empty (the stop), so that none is left out."""
     core = d.replaced("raw", f"^[{edges}]+|[{edges}]+$", "")
-    return f"""(SELECT doc_id, {core} AS w FROM (SELECT doc_id, concat(coalesce(text, ''), ' .') AS text FROM documents) {d.each(d.found("text", f"[^{SPACES}]+"), "raw")})"""
+    return f"""(SELECT doc_id, plain, CASE WHEN plain THEN raw ELSE {core} END AS w FROM (SELECT doc_id, raw, {d.matches("raw", PLAIN_WORD)} AS plain FROM (SELECT doc_id, concat(coalesce(text, ''), ' .') AS text FROM documents) {d.each(d.found("text", f"[^{SPACES}]+"), "raw")}))"""
 
 
 def repeated_lines(d) -> str:
@@ -51,7 +56,7 @@ def text_quality_by_source(d) -> str:
     between = rf"[A-Za-z][^A-Za-z{SPACES}\x27’\-.,;:!?)\]”\x22]+[A-Za-z]"
     return f"""
     SELECT source, count(*) AS tokens, CAST(sum(bad) AS BIGINT) AS suspect, round(CAST(1000 AS DOUBLE) * sum(bad) / count(*), 4) AS per_thousand
-    FROM (SELECT source, CASE WHEN {d.matches("w", r"^\pL$")} AND w NOT IN ('a', 'A', 'I') OR {d.matches("w", between)} THEN 1 ELSE 0 END AS bad FROM documents {d.each(d.found("text", f"[^{SPACES}]+"), "w")})
+    FROM (SELECT source, CASE WHEN {d.matches("w", PLAIN_WORD)} THEN 0 WHEN {d.matches("w", r"^\pL$")} AND w NOT IN ('a', 'A', 'I') OR {d.matches("w", between)} THEN 1 ELSE 0 END AS bad FROM documents {d.each(d.found("text", f"[^{SPACES}]+"), "w")})
     GROUP BY source"""
 
 
@@ -66,13 +71,13 @@ def junk_stats(d) -> str:
     return f"""
     SELECT doc_id, tokens, junk, round(junk / greatest(tokens, 1), 6) AS share, tokens >= 30 AND junk / greatest(tokens, 1) >= 0.05 AS flagged FROM (
       SELECT doc_id, CAST(sum(CASE WHEN w <> '' THEN 1 ELSE 0 END) AS DOUBLE) AS tokens,
-        CAST(sum(CASE WHEN NOT {d.matches("w", f"[{CJK_COMPAT}]")} AND ({d.matches("w", JUNK)} OR {capitals} OR {mixed}) THEN 1 ELSE 0 END) AS DOUBLE) AS junk
+        CAST(sum(CASE WHEN plain THEN 0 WHEN NOT {d.matches("w", f"[{CJK_COMPAT}]")} AND ({d.matches("w", JUNK)} OR {capitals} OR {mixed}) THEN 1 ELSE 0 END) AS DOUBLE) AS junk
       FROM {_stripped(d, EDGES_MORE)} GROUP BY doc_id)"""
 
 
 def textlike_gate(d) -> str:
     """Text is like text from 15 wordlike words and a share of 0.6: two letters or more with a vowel, or any CJK character."""
-    wordlike = f"{d.matches('w', r'^[\pL\p{Nl}\p{No}]{2,}$')} AND {d.matches('w', '[aeiouyAEIOUY]')} OR {d.matches('w', f'[{CJK_WIDE}]')}"
+    wordlike = f"plain AND {d.matches('w', '[aeiouyAEIOUY]')} OR NOT plain AND ({d.matches('w', r'^[\pL\p{Nl}\p{No}]{2,}$')} AND {d.matches('w', '[aeiouyAEIOUY]')} OR {d.matches('w', f'[{CJK_WIDE}]')})"
     return f"""
     SELECT doc_id, tokens, wordlike, wordlike >= 15 AND wordlike >= 0.6 * tokens AS textlike FROM (
       SELECT doc_id, CAST(sum(CASE WHEN w <> '' THEN 1 ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(CASE WHEN {wordlike} THEN 1 ELSE 0 END) AS BIGINT) AS wordlike
@@ -88,10 +93,6 @@ def script_histogram(d) -> str:
     FROM documents GROUP BY lang"""
 
 
-#: Texts that the driver's tables lack.
-SCRIPTS = "(VALUES (1, 'こんにちは'), (2, '漢字'), (3, '한국어'), (4, '漢字 and Latin'), (5, 'plain'), (6, 'かな漢字'), (7, '大学 Press')) AS t(id, s)"
-
-
 def script_kind_action(d) -> str:
     """Kind of a CJK run, and what is done: kana is Japanese, hangul Korean, Han alone is put off, Latin inherits."""
     kana, hangul, han, latin = (d.matches("s", x) for x in ("[ぁ-ヿ]", "[가-힣]", "[一-鿿]", "[A-Za-z]"))
@@ -99,7 +100,7 @@ def script_kind_action(d) -> str:
     return f"""
     SELECT id, kind, CASE kind WHEN 'kana' THEN 'ja' WHEN 'hangul' THEN 'ko' ELSE 'en' END AS lang,
       CASE WHEN kind IN ('kana', 'hangul') THEN 'tag' WHEN kind IS NULL THEN 'inherit' ELSE 'defer' END AS action
-    FROM (SELECT id, {kind} AS kind FROM {SCRIPTS})"""
+    FROM (SELECT id, {kind} AS kind FROM {d.given('scripts')})"""
 
 
 def lang_tag_norm(d) -> str:
@@ -162,22 +163,9 @@ def grouping_two_level(d) -> str:
 
 def cleaned_text(d) -> str:
     """A person's text as kept, by hashes: line ends become plain, control characters but tabs and line feeds go, directions too; as it is, and on one line."""
-    plain = d.replaced("coalesce(text, '')", r"\x0D\x0A?", "@@LF@@")
-    plain = f"replace({plain}, '@@LF@@', chr(10))"
+    plain = "replace(replace(coalesce(text, ''), concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"
     kept = d.replaced(plain, r"[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
-    edges = d.replaced("t", f"^[{SPACES}]+|[{SPACES}]+$", "")
-    return f"SELECT doc_id, {d.sha256(edges)} AS hash, {d.sha256('trim(' + d.replaced('t', f'[{SPACES}]+', ' ') + ')')} AS line_hash FROM (SELECT doc_id, {kept} AS t FROM documents)"
-
-
-def bag_diff(d) -> str:
-    """Characters of a document that the next of its source lacks or has too many of, in any order, for each of its own.
-
-    Counted within the row, so nothing but the neighbours' order is shuffled.
-    """
-    gap = "abs(length(text) - length(replace(text, c, '')) - length(later) + length(replace(later, c, '')))"
-    return f"""
-    SELECT doc_id, round(CAST({d.summed(d.characters("concat(text, later)"), "c", gap)} AS DOUBLE) / greatest(length(text), 1), 6) AS rate
-    FROM (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS later FROM documents) WHERE later IS NOT NULL"""
+    return f"SELECT doc_id, {d.sha256(d.trimmed('t', WHITE_SPACE))} AS hash, {d.sha256('trim(' + d.replaced('t', f'[{SPACES}]+', ' ') + ')')} AS line_hash FROM (SELECT doc_id, {kept} AS t FROM documents)"
 
 
 def duplicate_text_flags(d) -> str:
@@ -200,15 +188,15 @@ def excerpts(d) -> str:
     flat = f"trim({d.replaced('text', f'[{SPACES}]+', ' ')})"
     cut = "CASE WHEN sp > 60 THEN substr(t, 1, sp) ELSE substr(t, 1, 100) END"
     return f"""
-    SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE concat({d.replaced(cut, "[ ,;:.–—-]+$", "")}, '…') END AS excerpt
-    FROM (SELECT doc_id, t, CAST(length({d.replaced("substr(t, 1, 101)", "[^ ]*$", "")}) AS INT) - 1 AS sp FROM (SELECT doc_id, {flat} AS t FROM documents WHERE text IS NOT NULL))"""
+    SELECT doc_id, CASE WHEN t IS NULL OR length(t) <= 100 THEN t ELSE concat({d.replaced(cut, "[ ,;:.–—-]+$", "")}, '…') END AS excerpt
+    FROM (SELECT doc_id, t, CAST(length({d.replaced("substr(t, 1, 101)", "[^ ]*$", "")}) AS INT) - 1 AS sp FROM (SELECT doc_id, {flat} AS t FROM documents))"""
 
 
 def markdown_escaped(d) -> str:
     """Texts safe for Markdown, by the hash of the result: marks are escaped, quotes begin with '> '."""
     return f"""
-    SELECT doc_id, {d.sha256("concat('> ', replace(" + d.replaced("text", r"([\\`*_\[\]<>#|])", d.escaped) + ", chr(10), concat(chr(10), '> ')))")} AS hash
-    FROM documents WHERE text IS NOT NULL"""
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN {d.sha256("concat('> ', replace(" + d.replaced("text", r"([\\`*_\[\]<>#|])", d.escaped) + ", chr(10), concat(chr(10), '> ')))")} END AS hash
+    FROM documents"""
 
 
 def stem_names(d) -> str:

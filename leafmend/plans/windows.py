@@ -35,14 +35,6 @@ def read_late(d) -> str:
     WHERE o_totalprice < reached / 5"""
 
 
-def ranges_collapse(d) -> str:
-    """Consecutive numbers as ranges."""
-    return """
-    SELECT event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM (
-      SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events)
-    GROUP BY event_type, island"""
-
-
 def hash_split(d) -> str:
     """The half of each document by the parity of its id's hash."""
     return f"""
@@ -51,20 +43,6 @@ def hash_split(d) -> str:
     GROUP BY half"""
 
 
-def systematic_sample(d) -> str:
-    """Every fortieth document of a language."""
-    return """
-    SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE (rn - 1) % 40 = 0"""
-
-
-def chunking(d) -> str:
-    """Requests of at most 150 forms, in order, within a source."""
-    return """
-    SELECT source, chunk, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (
-      SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 150) AS BIGINT) AS chunk FROM documents)
-    GROUP BY source, chunk"""
-
-
 def smallest_fit(d) -> str:
     """How many of a customer's orders fit a limit, smallest first."""
     return """
@@ -73,25 +51,6 @@ def smallest_fit(d) -> str:
     WHERE so_far <= 500000 GROUP BY o_custkey"""
 
 
-def budget_prefix(d) -> str:
-    """Orders in date order until a status's budget is spent."""
-    return """
-    SELECT o_orderstatus, o_orderkey FROM (
-      SELECT o_orderstatus, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS so_far FROM orders)
-    WHERE so_far <= 5000000"""
-
-
-def peak_in_flight(d) -> str:
-    """Most requests under way at once for each kind; one that ends where another begins isn't counted with it."""
-    t = d.seconds("ts")
-    return f"""
-    SELECT event_type, CAST(max(running) AS BIGINT) AS peak FROM (
-      SELECT event_type, sum(step) OVER (PARTITION BY event_type ORDER BY t, step, event_id ROWS UNBOUNDED PRECEDING) AS running FROM (
-        SELECT event_type, event_id, round({t}, 3) AS t, 1 AS step FROM events
-        UNION ALL SELECT event_type, event_id, round({t} + value * 60, 3) AS t, -1 AS step FROM events))
-    GROUP BY event_type"""
-
-
 def request_stats(d) -> str:
     """Calls, failures, median and slowest."""
     return f"""
@@ -124,8 +83,3 @@ def shape_rows(d) -> str:
       SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS top_n,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS end_n FROM lineitem)
     WHERE top_n <= 4 OR end_n <= 2"""
-
-
-def queue_position(d) -> str:
-    """Place among the queued of a priority."""
-    return "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_orderstatus = 'O'"

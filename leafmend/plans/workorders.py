@@ -1,16 +1,13 @@
 """A work order's keys against what its book holds, each item with the first reason against it (null: kept).
 
 The reasons are fixed values, output that must be the same word for word. A
-literal book of 12 pages and a literal order stand in, as no table holds one.
+book has 12 pages; its objects, styles and decisions come from the tables by
+given.py.
 """
 
 from __future__ import annotations
 
-from .rules import _values
-
 PAGES = 12
-STYLES = _values([("Body",), ("Head",), ("Item",), ("Foot",)], "s", "style")
-OBJECTS = _values([(1, "figure", None), (2, "figure", None), (3, "table", 5), (4, "table", None), (5, "list", None), (6, "text", None), (7, "table", 3)], "o", "obj, what, n_rows")
 TYPES = "'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'P', 'Span', 'Caption', 'Note', 'Div'"
 
 
@@ -20,32 +17,23 @@ def _range(low: str, high: str) -> str:
 
 def role_checks(d) -> str:
     """Style mappings, new types of elements, alternative texts."""
-    maps = _values([(1, "Body", "P"), (2, "Gone", "P"), (3, "Head", "Figure"), (4, "Head", "H9"), (5, "Item", None)], "m", "pos, style, target")
-    retypes = _values([(1, 6, "H2"), (2, 99, "H2"), (3, 6, "Table"), (4, 1, "Figure")], "r", "pos, obj, kind")
-    alts = _values([(1, 1, "A map"), (2, 2, "A plan"), (3, 6, "Text"), (4, 1, "  "), (5, 99, "x"), (6, 2, None)], "a", "pos, obj, alt")
+    styles, objects = d.given("styles", "s"), d.given("objects", "o")
     return f"""
     SELECT 'rolemap' AS part, pos, CASE WHEN s.style IS NULL THEN 'unknown style' WHEN NOT coalesce(target IN ({TYPES}), false) THEN 'target not allowed' END AS why
-    FROM (SELECT * FROM {maps}) m LEFT JOIN (SELECT * FROM {STYLES}) s ON s.style = m.style
+    FROM {d.given('maps', 'm')} LEFT JOIN {styles} ON s.style = m.style
     UNION ALL SELECT 'retype', pos, CASE WHEN o.obj IS NULL THEN 'unknown obj' WHEN NOT coalesce(kind IN ({TYPES}, 'Figure'), false) THEN 'type not allowed' END
-    FROM (SELECT * FROM {retypes}) r LEFT JOIN (SELECT * FROM {OBJECTS}) o ON o.obj = r.obj
+    FROM {d.given('retypes', 'r')} LEFT JOIN {objects} ON o.obj = r.obj
     UNION ALL SELECT 'alt', pos, CASE WHEN o.obj IS NULL THEN 'unknown obj' WHEN what <> 'figure' OR trim(coalesce(alt, '')) = '' THEN 'not a figure or empty alt'
-      WHEN a.obj = 2 THEN 'its image was not sent (over --max-images), so the alt was written unseen' END
-    FROM (SELECT * FROM {alts}) a LEFT JOIN (SELECT * FROM {OBJECTS}) o ON o.obj = a.obj"""
+      WHEN NOT sent THEN 'its image was not sent (over --max-images), so the alt was written unseen' END
+    FROM {d.given('alts', 'a')} LEFT JOIN {objects} ON o.obj = a.obj"""
 
 
 def page_figure_checks(d) -> str:
     """Texts for whole-page figures: the page is listed, the text is there, the image was sent."""
-    items = _values([(1, 3, "A plate"), (2, 4, ""), (3, 5, "Unseen"), (4, 9, "Not listed"), (5, None, "x"), (6, 4, None)], "i", "pos, page, alt")
-    listed = _values([(3, True), (4, True), (5, False)], "p", "page, sent")
     return f"""
     SELECT pos, CASE WHEN p.page IS NULL THEN 'not a page listed in page_figures' WHEN trim(coalesce(alt, '')) = '' THEN 'empty alt'
       WHEN NOT sent THEN 'its page image was not sent (over --max-images), so the alt was written unseen' END AS why
-    FROM (SELECT * FROM {items}) i LEFT JOIN (SELECT * FROM {listed}) p ON p.page = i.page"""
-
-
-#: pos, obj, header rows and columns, title and note rows, the largest and least of the rows that are listed, whether flattened too.
-TABLES = [(1, 3, 1, 0, 0, 0, 4, 0, False), (2, 99, 1, 0, 0, 0, None, None, False), (3, 4, 1, 0, 0, 0, None, None, True), (4, 3, 4, 0, 0, 0, None, None, False), (5, 4, 1, 1, -1, 0, None, None, False),
-          (6, 3, 1, 0, 0, 0, 5, 5, False), (7, 4, 0, 0, 1, 0, None, None, False), (8, 3, 1, 1, 0, 0, None, None, False), (9, 4, 0, 2, 0, 0, 900, 1, False), (10, 7, 1, 0, 0, 0, 2, -1, False), (11, 4, 1, 0, 0, 3, None, None, False)]
+    FROM {d.given('figure_texts', 'i')} LEFT JOIN {d.given('figure_pages', 'p')} ON p.page = i.page"""
 
 
 def table_checks(d) -> str:
@@ -56,61 +44,29 @@ def table_checks(d) -> str:
       WHEN coalesce(least_row < 0 OR most_row >= n_rows, least_row < 0, false) THEN 'group_rows and repeat_rows must list row numbers in the table' WHEN hr = 0 AND hc = 0 THEN 'no header rows or columns' END"""
     return f"""
     SELECT pos, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY obj, why IS NULL ORDER BY pos) > 1 THEN 'the same table twice' END) AS why FROM (
-      SELECT t.pos, t.obj, {why} AS why FROM (SELECT * FROM {_values(TABLES, "t", "pos, obj, hr, hc, tr, nr, most_row, least_row, flat")}) t LEFT JOIN (SELECT * FROM {OBJECTS}) o ON o.obj = t.obj)"""
+      SELECT t.pos, t.obj, {why} AS why FROM {d.given("table_readings", "t")} LEFT JOIN {d.given("objects", "o")} ON o.obj = t.obj)"""
 
 
 def style_checks(d) -> str:
     """Merges, lists, kept lists and note styles: what they name is there."""
-    merges = _values([(1, "Body", "next", "Head"), (2, "Body", "up", "Head"), (3, "Gone", "prev", None), (4, "Item", "prev", "Gone"), (5, "Item", "prev", None)], "m", "pos, style, direction, partner")
-    lists, keep, notes = _values([(1, "Item"), (2, "Gone"), (3, None)], "l", "pos, style"), _values([(1, 5), (2, 6)], "k", "pos, obj"), _values([(1, "Foot"), (2, "End")], "n", "pos, style")
-    known = lambda c: f"{c} IN (SELECT style FROM {STYLES})"
+    known = lambda c: f"coalesce({c} IN (SELECT style FROM {d.given('styles')}), false)"
     return f"""
-    SELECT 'merges' AS part, pos, CASE WHEN {known("m.style")} AND direction IN ('next', 'prev') AND (partner IS NULL OR {known("partner")}) THEN NULL ELSE 'unknown style or direction' END AS why FROM {merges}
-    UNION ALL SELECT 'lists', pos, CASE WHEN {known("l.style")} THEN NULL ELSE 'unknown style' END FROM {lists}
-    UNION ALL SELECT 'keep_lists', pos, CASE WHEN k.obj IN (SELECT obj FROM {OBJECTS} WHERE what = 'list') THEN NULL ELSE 'not a list the one-item rule would flatten' END FROM {keep}
-    UNION ALL SELECT 'notes', pos, CASE WHEN {known("n.style")} THEN NULL ELSE 'unknown styles' END FROM {notes}"""
+    SELECT 'merges' AS part, pos, CASE WHEN {known("m.style")} AND direction IN ('next', 'prev') AND (partner IS NULL OR {known("partner")}) THEN NULL ELSE 'unknown style or direction' END AS why FROM {d.given('merges', 'm')}
+    UNION ALL SELECT 'lists', pos, CASE WHEN {known("l.style")} THEN NULL ELSE 'unknown style' END FROM {d.given('lists', 'l')}
+    UNION ALL SELECT 'keep_lists', pos, CASE WHEN k.obj IN (SELECT obj FROM {d.given('objects')} WHERE what = 'list') THEN NULL ELSE 'not a list the one-item rule would flatten' END FROM {d.given('kept_lists', 'k')}
+    UNION ALL SELECT 'notes', pos, CASE WHEN {known("n.style")} THEN NULL ELSE 'unknown styles' END FROM {d.given('note_styles', 'n')}"""
 
 
 def section_checks(d) -> str:
     """Page ranges of sections, contents and adopted orphans, and the page an index starts from."""
-    items = _values([(1, "sections", 1, 12), (2, "sections", 0, 3), (3, "toc", 5, 13), (4, "toc", 2, 2), (5, "adopt_orphans", 3, None), (6, "adopt_orphans", 9, 4)], "i", "pos, part, low, high")
-    index = _values([(7, 12), (8, 13), (9, None)], "x", "pos, page")
     return f"""
-    SELECT pos, part, CASE WHEN NOT {_range("low", "high")} THEN 'bad page range' END AS why FROM {items}
-    UNION ALL SELECT pos, 'index_from', CASE WHEN NOT coalesce(page BETWEEN 1 AND {PAGES}, false) THEN 'bad page' END FROM {index}"""
+    SELECT pos, part, CASE WHEN NOT {_range("low", "high")} THEN 'bad page range' END AS why FROM {d.given('ranges')}
+    UNION ALL SELECT pos, 'index_from', CASE WHEN NOT coalesce(page BETWEEN 1 AND {PAGES}, false) THEN 'bad page' END FROM {d.given('index_pages')}"""
 
 
 def untagged_checks(d) -> str:
     """Text rules of artifacts (a band, two pages of the book) and elements (figures of a single run)."""
-    rules = _values([(1, "top", 1, 4), (2, "side", 1, 4), (3, None, 1, 4), (4, "any", 4, 40), (5, "bottom", None, 4)], "r", "pos, band, low, high")
-    elements = _values([(1, 1), (2, 6), (3, 99)], "e", "pos, obj")
     return f"""
-    SELECT 'artifacts.text_rules' AS part, pos, CASE WHEN coalesce(band, 'any') NOT IN ('top', 'bottom', 'any') THEN 'band must be top, bottom or any' WHEN NOT {_range("low", "high")} THEN 'bad page range' END AS why FROM {rules}
+    SELECT 'artifacts.text_rules' AS part, pos, CASE WHEN coalesce(band, 'any') NOT IN ('top', 'bottom', 'any') THEN 'band must be top, bottom or any' WHEN NOT {_range("low", "high")} THEN 'bad page range' END AS why FROM {d.given('text_rules')}
     UNION ALL SELECT 'artifacts.elements', e.pos, CASE WHEN o.obj IS NULL THEN 'unknown obj' WHEN o.what <> 'figure' THEN 'not a single-run figure listed in the digest' END
-    FROM (SELECT * FROM {elements}) e LEFT JOIN (SELECT * FROM {OBJECTS}) o ON o.obj = e.obj"""
-
-
-#: pos, first and last page moved, the page it goes before; the sections read out of place start on pages 3 and 9.
-MOVES = [(1, 3, 4, 8), (2, 0, 2, 5), (3, 6, 7, 12), (4, 4, 5, 9), (5, 6, 6, 3), (6, 10, 11, 9), (7, 9, 9, 1), (8, 12, 12, 9), (9, 8, 8, 9), (10, 2, 2, 9)]
-
-
-def section_moves(d) -> str:
-    """Moves of sections in order: pages of the book, something out of place there, three at most, none that meets or lands in an earlier kept one.
-
-    Each move is judged on those kept before it, so the kept ones are carried along as three ranges.
-    """
-    n = len(MOVES)
-    own = f"NOT coalesce(low BETWEEN 1 AND {PAGES} AND high BETWEEN 1 AND {PAGES} AND goal BETWEEN 1 AND {PAGES}, false)"
-    lost = " AND ".join(f"NOT (low <= {f} AND {f} <= high OR goal = {f})" for f in (3, 9))
-    meets = " OR ".join(f"coalesce(low <= h{k} AND l{k} <= high, false)" for k in (1, 2, 3))
-    lands = " OR ".join(f"coalesce(l{k} <= goal AND goal <= h{k} OR low <= g{k} AND g{k} <= high, false)" for k in (1, 2, 3))
-    why = f"""CASE WHEN {own} THEN 'bad pages' WHEN {lost} THEN 'the audit finds no section read out of place in these pages or where it lands' WHEN kept = 3 THEN 'more than 3 section moves'
-      WHEN {meets} THEN 'its pages overlap another section move' WHEN {lands} THEN 'it lands inside the pages of another section move' END"""
-    carry = ", ".join(f"CASE WHEN why IS NULL AND kept = {k - 1} THEN {new} ELSE {c}{k} END AS {c}{k}" for k in (1, 2, 3) for c, new in (("l", "low"), ("h", "high"), ("g", "goal")))
-    empty = ", ".join(f"CAST(NULL AS INT) AS {c}{k}" for k in (1, 2, 3) for c in "lhg")
-    names = ", ".join(f"{c}{k}" for k in (1, 2, 3) for c in "lhg")
-    steps = [f"WITH moves AS (SELECT pos, low, high, goal FROM {_values(MOVES, 'v', 'pos, low, high, goal')}), k0 AS (SELECT 0 AS kept, {empty})"]
-    for i in range(1, n + 1):
-        steps.append(f"w{i} AS (SELECT pos, low, high, goal, kept, {names}, {why} AS why FROM moves JOIN k{i - 1} ON pos = {i})")
-        steps.append(f"k{i} AS (SELECT kept + CASE WHEN why IS NULL THEN 1 ELSE 0 END AS kept, {carry} FROM w{i})")
-    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT pos, why FROM w{i}" for i in range(1, n + 1))
+    FROM {d.given('elements', 'e')} LEFT JOIN {d.given('objects', 'o')} ON o.obj = e.obj"""

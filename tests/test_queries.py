@@ -42,7 +42,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_filters_reach_the_scan(spark):
-    df = catalog.queries()["queue_position"](spark, SF)
+    df = catalog.queries()["claimed_keys"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,O)]" in plan
-    assert "o_totalprice" not in plan
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in plan and "PushedFilters: [IsNotNull(toxic), EqualTo(toxic,1)]" in plan
+    assert "text#" not in plan

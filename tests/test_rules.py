@@ -5,20 +5,30 @@ from collections import namedtuple
 import duckdb
 import pytest
 
+from fixtures import FIXTURES
 from leafmend import catalog
+from leafmend.operators import text_queries
 from leafmend.plans import language, rules
-from leafmend.plans.dialect import Duck
+from leafmend.plans.dialect import Duck, Spark
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def ask(spark):
-    return lambda name: [tuple(r) for r in catalog.queries()[name](spark, SF).collect()]
+    """A plan's rows where it asks about FIXTURES in place of the tables."""
+
+    def rows(name):
+        sql = catalog.plans()[name](Spark(FIXTURES))
+        catalog.views(spark, SF, sql)
+        return [tuple(r) for r in spark.sql(sql).collect()]
+
+    return rows
 
 
 def test_dates_in_words(ask):
-    got = {rules.DATES[r[0]]: r[1:] for r in ask("iso_date_words")}
+    dates = dict(FIXTURES["iso_dates"])
+    got = {dates[r[0]]: r[1:] for r in ask("iso_date_words")}
     none = "date not recorded"
     assert got["2026-11-15"] == ("November 15, 2026", "time not recorded", "November 15, 2026")
     assert got["2026-11-15T18:19:00"] == ("November 15, 2026", "6:19 PM", "November 15, 2026, at 6:19 PM")
@@ -49,7 +59,18 @@ def test_resolution_and_cover(ask):
     # 300 x 150 pixels on 144 x 72 points: 150; its other image, turned: 200. 149 x 299 on 72 x 144: 149. 50 x 50 on 100 x 100: 36.
     assert sorted(ask("low_resolution")) == [(4, 2, 149), (7, 1, 36)]
     assert [c for _, c in sorted(ask("page_scans"))] == [True, False, True, True, False, False]
-    assert {r[:2]: r[2] for r in ask("cjk_pages")} == {(9, 9): False, (10, 10): True, (30, 12): False, (16, 10): True, (17, 10): False, (40, 20): True, (100, 19): False, (10, 9): False}
+
+
+def test_cjk_pages(spark):
+    text = lambda n, nd, first: "".join(chr(first + i % nd) for i in range(n))
+    counts = [(9, 9), (10, 10), (30, 12), (16, 10), (17, 10), (40, 20), (100, 19), (10, 9)]
+    rows = [text(n, nd, 0x4E00) + " latin " for n, nd in counts] + [text(n, nd, 0xE0) for n, nd in counts] + ["plain", "", None]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").createOrReplaceTempView("documents")
+    got = {r.doc_id: r for r in spark.sql(rules.cjk_pages(Spark())).collect()}
+    want = [False, True, False, True, False, True, False, False]
+    assert [got[i].cjk for i in range(8)] == want == [got[i].beyond_ascii for i in range(8, 16)] and [(got[i].n, got[i].nd) for i in range(8)] == counts
+    assert not any(got[i].cjk for i in range(8, 19)) and got[16].n == got[17].n == got[18].n == 0
+
 
 
 def test_checklists(ask):
@@ -116,31 +137,30 @@ def test_work_order_reasons(ask):
     assert {k for k, v in whys("untagged_checks").items() if v is None} == {("artifacts.text_rules", 1), ("artifacts.text_rules", 3), ("artifacts.elements", 1)}
 
 
-def test_section_moves_one_by_one(ask):
-    """The plan's chained steps against a plain loop."""
-    kept, want = [], {}
-    for pos, low, high, goal in rules_moves():
-        if not all(1 <= p <= 12 for p in (low, high, goal)):
-            why = "bad pages"
-        elif not any(low <= f <= high or f == goal for f in (3, 9)):
-            why = "the audit finds no section read out of place in these pages or where it lands"
-        elif len(kept) == 3:
-            why = "more than 3 section moves"
-        elif any(low <= h and l <= high for l, h, _ in kept):
-            why = "its pages overlap another section move"
-        elif any(l <= goal <= h or low <= g <= high for l, h, g in kept):
-            why = "it lands inside the pages of another section move"
-        else:
-            why = None
-            kept.append((low, high, goal))
-        want[pos] = why
-    assert dict(ask("section_moves")) == want and len(set(want.values())) == 6
-
-
-def rules_moves():
-    from leafmend.plans.workorders import MOVES
-
-    return MOVES
+def test_section_moves_one_by_one(spark):
+    """Each book's moves against a plain loop; the second book's first move counts for it alone."""
+    want = {}
+    for book in (1, 2):
+        kept, starts = [], [p for b, p in FIXTURES["misread"] if b == book]
+        for b, pos, low, high, goal in FIXTURES["moves"]:
+            if b != book:
+                continue
+            if not all(1 <= p <= 12 for p in (low, high, goal)):
+                why = "bad pages"
+            elif not any(low <= f <= high or f == goal for f in starts):
+                why = "the audit finds no section read out of place in these pages or where it lands"
+            elif len(kept) == 3:
+                why = "more than 3 section moves"
+            elif any(low <= h and l <= high for l, h, _ in kept):
+                why = "its pages overlap another section move"
+            elif any(l <= goal <= h or low <= g <= high for l, h, g in kept):
+                why = "it lands inside the pages of another section move"
+            else:
+                why = None
+                kept.append((low, high, goal))
+            want[book, pos] = why
+    got = {(r.book, r.pos): r.why for r in text_queries.section_moves(spark, SF, Spark(FIXTURES)).collect()}
+    assert got == want and len(set(want.values())) == 6
 
 
 def test_written_tags(ask):
