@@ -1,7 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products.
 
 Vectors of one label and dimension are assigned to the cell of their nearest
-centroid, about sqrt(n) cells for n vectors. Two unit vectors with cosine c are
+centroid, of sqrt(n) / 4 cells or a few more for n vectors. Two unit vectors with cosine c are
 sqrt(2-2c) apart, so a vector whose distance to the plane between its own cell
 and another is larger than that can have no partner beyond the plane; it visits
 the other cell as a guest otherwise. Each ordered pair is therefore met exactly
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import components, kept
 
 COSINE = 0.98
+#: Cells are the square root of a label's vectors over THIN, 2 at least: where labels are dense a vector visits most cells, so fewer are cheaper to visit and as dear to compare.
+THIN = 4
 #: k-means is fitted on a hash sample of about so many vectors for each cell, in so many rounds.
 SAMPLE, ROUNDS = 8, 8
 #: Vectors that are assigned by one copy of their label's centroids.
@@ -76,16 +78,16 @@ def fit(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarra
 
 
 def sizes(classes: DataFrame) -> DataFrame:
-    """(label, dim, n, cells): the classes of each label and dimension, and how many cells they get, about sqrt(n)."""
+    """(label, dim, n, cells): the classes of each label and dimension, and how many cells they get."""
     groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    return groups.withColumn("cells", F.greatest(F.lit(2), F.ceil(F.sqrt("n"))).cast("long"))
+    return groups.withColumn("cells", F.greatest(F.lit(2), F.ceil(F.sqrt("n") / THIN)).cast("long"))
 
 
 def centroids(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(label, dim, j, vec): the centroids of each label and dimension, one task fitting one of them.
 
     Fitted on a hash sample of about SAMPLE vectors a cell, so on SAMPLE *
-    sqrt(n) of n vectors (a documented bound): 250,000 of a billion. They
+    cells vectors (a documented bound): some 63,000 of a billion. They
     decide where work is done only; no link depends on them.
     """
     sampled = classes.select("label", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(1 << 40)).alias("h")).join(groups, ["label", "dim"])
