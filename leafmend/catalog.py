@@ -8,7 +8,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import queries as operators
-from .operators import range_queries, text_queries
+from .operators import range_queries, state_queries, text_queries
 from .plans import joins, language, places, rules, stats, text, windows, workorders
 from .plans.dialect import Duck, Spark
 
@@ -40,11 +40,11 @@ def _query(plan: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(f) for n, f in plans().items()} | operators.queries() | range_queries.queries() | text_queries.queries()
+    return {n: _query(f) for n, f in plans().items()} | operators.queries() | range_queries.queries() | text_queries.queries() | state_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: f(Duck()) for n, f in plans().items()} | operators.oracle_sql() | range_queries.oracle_sql() | text_queries.oracle_sql()
+    return {n: f(Duck()) for n, f in plans().items()} | operators.oracle_sql() | range_queries.oracle_sql() | text_queries.oracle_sql() | state_queries.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

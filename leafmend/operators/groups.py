@@ -30,7 +30,7 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], inputs: list[st
                 out.extend(part)
             at = end
         for field, values in zip(fields, new, strict=True):
-            t = t.append_column(field.name, pa.array(values, {"boolean": pa.bool_(), "bigint": pa.int64(), "string": pa.string()}[field.dataType.simpleString()]))
+            t = t.append_column(field.name, pa.array(values, {"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[field.dataType.simpleString()]))
         yield from t.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
