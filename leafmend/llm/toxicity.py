@@ -46,7 +46,17 @@ imbecile fool jerk creep pig vermin filth ugly hate kill shut bastard damn crap
 dummkopf trottel abschaum arschloch idioten widerlich drecksack versager
 imbécile idiote crétin ordure salaud dégoûtant abruti pourriture
 idiota imbécil estúpido basura asqueroso patético escoria inútil""".split()
-_YOU = re.compile(r"(?i)\b(?:you|u|they|he|she)(?:'re| are| r| is| all are)\s+(?:\w+\s+){0,2}(?:idiots?|morons?|stupid|dumb|losers?|scum|trash|pathetic|worthless|disgusting|clowns?)\b")
+#: Someone called by an insult, in English, German, French and Spanish; threats and wishes of harm.
+_YOU = re.compile(
+    r"(?i)\b(?:(?:you|u|they|he|she)(?:'re| are| r| is| all are)\s+(?:\w+\s+){0,2}(?:idiots?|morons?|stupid|dumb|losers?|scum|trash|pathetic|worthless|disgusting|clowns?)"
+    r"|(?:du bist|ihr seid|sie sind|er ist)\s+(?:\w+\s+){0,2}(?:dumm|idiot(?:en)?|dummkopf|trottel|abschaum|versager|widerlich|drecksack)"
+    r"|(?:tu es|vous êtes|ils sont|il est|elle est)\s+(?:\w+\s+){0,2}(?:stupides?|idiote?s?|imbéciles?|crétins?|nuls?|ordures?|abrutis?|dégoûtants?)"
+    r"|(?:eres|sois|son|es)\s+(?:\w+\s+){0,2}(?:idiotas?|imbéciles?|estúpid[oa]s?|basura|escoria|inútil(?:es)?|asqueros[oa]s?|patétic[oa]s?))\b"
+)
+_THREAT = re.compile(
+    r"(?i)\b(?:(?:i(?:'ll| will)|we(?:'ll| will)|i'm going to)\s+(?:kill|hurt|beat|destroy)\s+(?:you|him|her|them)|(?:go|just)\s+(?:die|kill yourself)|kill yourself|shut (?:the \w+ )?up"
+    r"|ich (?:bringe dich um|mach dich fertig)|halt(?:'s| die) (?:maul|klappe)|je vais te (?:tuer|frapper)|ferme ta gueule|va te faire|te voy a (?:matar|pegar)|cállate|vete a la)\b"
+)
 _STRIP = ".,;:!?\"'()[]{}<>«»“”„…-_*#$%&|/\\"
 
 
@@ -106,7 +116,11 @@ class Model:
 
 def voted(low: str, text: str) -> list[int]:
     """The pattern voters' votes on a whole text."""
-    return [int(bool(_YOU.search(text))), int("!!!" in text)]
+    return [int(bool(_YOU.search(text))), int("!!!" in text), int(bool(_THREAT.search(text)))]
+
+
+#: Patterns that voted() looks for.
+PATTERNS = 3
 
 
 def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +211,7 @@ def linear(x: list[np.ndarray], width: int, y: np.ndarray, rounds: int = 300, de
 
 def _plain_model() -> Model:
     """Where nothing is labelled: the lexicon and pattern voters with fixed weights."""
-    return Model([], np.array([4.0, 2.0, 0.3]), -2.0, np.zeros(0))
+    return Model([], np.array([4.0, 2.0, 0.3, 2.0]), -2.0, np.zeros(0))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -213,7 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     named = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     named = named.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
-    chosen = {r["doc_id"]: r["y"] for r in named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    # Hashes below a bound that some more than sample rows pass: else each task would send sample rows of its own.
+    span, n = 1 << 40, named.count()
+    hashed = named.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(span)))
+    if n > sample:
+        hashed = hashed.where(F.col("h") < math.ceil(span * (sample + 8 * math.sqrt(sample) + 50) / n))
+    chosen = {r["doc_id"]: r["y"] for r in hashed.orderBy("h", "doc_id").limit(sample).collect()}
     if len(set(chosen.values())) < 2:
         return _plain_model()
     picked = spark.createDataFrame(list(chosen.items()), "doc_id long, y int")
@@ -256,9 +275,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts.select("doc_id", "text", "y", "fold").mapInArrow(features, "doc_id long, y int, fold int, x array<int>").orderBy("doc_id").collect()
     if not rows:
         return _plain_model()
-    x, width = [np.array(r["x"], np.int64) for r in rows], first + 2
+    x, width = [np.array(r["x"], np.int64) for r in rows], first + PATTERNS
     gold, fold = (np.array([r[c] for r in rows], float) for c in ("y", "fold"))
-    alone = np.zeros((len(rows), len(LEXICON) + 2))
+    alone = np.zeros((len(rows), len(LEXICON) + PATTERNS))
     for i, v in enumerate(x):
         alone[i, v[v >= len(signs)] - len(signs)] = 1
     kinds = np.array([kind_of(s) for s in signs], int)
