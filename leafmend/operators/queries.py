@@ -37,13 +37,46 @@ def read_late_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as tagged parts of their order: kept, or dropped with a reason."""
     line = _table(spark, sf_dir, "lineitem")
-    first, pos = F.col("l_partkey") % 60, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount")
+    first, pos = F.col("l_partkey") % 60, F.expr(LINE_POS)
     parts = line.select(pos.alias("pos"), F.lit(1).alias("page"), F.col("l_orderkey").alias("mcid"), first.alias("first"), (first + F.col("l_quantity").cast("long") - 3).alias("last"), F.col("l_returnflag").alias("lang"))
-    parts = parts.withColumn("pos", F.to_json("pos"))
     tags = spark.createDataFrame([("A",), ("N",)], "lang string")
     return validate.language_parts(parts, 1, tags).select("pos", "mcid", "first", "last", "why")
 
 
+#: A line's place in its order, the same text for the same line only.
+LINE_POS = """concat(CAST(l_linenumber AS STRING), '-', lpad(CAST(l_partkey AS STRING), 12, '0'), '-', lpad(CAST(l_suppkey AS STRING), 12, '0'), '-', lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), 15, '0'),
+    '-', lpad(CAST(CAST(l_quantity AS BIGINT) AS STRING), 6, '0'))"""
+LANGUAGE_PARTS = f"""WITH RECURSIVE p AS (SELECT {LINE_POS} AS pos, l_orderkey AS mcid, l_partkey % 60 AS first, l_partkey % 60 + CAST(l_quantity AS BIGINT) - 3 AS last, l_returnflag AS lang FROM lineitem),
+    w AS (SELECT *, CASE WHEN NOT (first >= 0 AND first <= last) THEN 'character indexes not in order' WHEN lang NOT IN ('A', 'N') THEN 'language tag not allowed' END AS why FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY mcid ORDER BY pos) AS rn FROM w),
+    s(mcid, rn, pos, first, last, why, kept) AS (SELECT DISTINCT mcid, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::STRUCT(a BIGINT, b BIGINT)[] FROM r
+      UNION ALL SELECT mcid, rn, pos, first, last, CASE WHEN why IS NULL AND met THEN 'overlaps another part in the same run' ELSE why END, CASE WHEN why IS NULL AND NOT met THEN list_append(kept, {{'a': first, 'b': last}}) ELSE kept END FROM (
+        SELECT r.mcid, r.rn, r.pos, r.first, r.last, r.why, s.kept, coalesce(list_bool_or(list_transform(s.kept, lambda k: k.a <= r.last AND r.first <= k.b)), false) AS met FROM s JOIN r ON r.mcid = s.mcid AND r.rn = s.rn + 1))
+    SELECT pos, mcid, first, last, why FROM s WHERE rn > 0"""
+_ENTRIES = """(SELECT o_custkey AS book, o_orderkey AS pos, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS first, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) + o_orderkey % 3 AS last,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)"""
+#: Each entry's heaviest run that ends in it, one entry after another, then back from the heaviest; of equal ones the earliest.
+_BACKBONE = f"""WITH RECURSIVE e AS {_ENTRIES},
+    s(book, rn, f, t, b) AS (SELECT DISTINCT book, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[] FROM e
+      UNION ALL SELECT book, rn, list_append(f, first), list_append(t, w + coalesce(best.t, 0)), list_append(b, -best.j) FROM (SELECT e.book, e.rn, e.first, e.last - e.first + 1 AS w, s.f, s.t, s.b,
+        list_max(list_filter(list_transform(s.t, lambda x, i: CASE WHEN s.f[i] <= e.first THEN {{'t': x, 'j': -i}} END), lambda y: y IS NOT NULL)) AS best FROM s JOIN e ON e.book = s.book AND e.rn = s.rn + 1)),
+    u AS (SELECT book, t, b FROM s WHERE rn > 0 QUALIFY row_number() OVER (PARTITION BY book ORDER BY rn DESC) = 1),
+    k(book, n, b) AS (SELECT book, -list_max(list_transform(t, lambda x, i: {{'t': x, 'j': -i}})).j, b FROM u UNION ALL SELECT book, b[n], b FROM k WHERE b[n] IS NOT NULL),
+    o AS (SELECT e.book, e.pos, e.first, e.last, k.n IS NOT NULL AS in_order FROM e LEFT JOIN k ON k.book = e.book AND k.n = e.rn),"""
+OUT_OF_ORDER = _BACKBONE + """
+    x AS (SELECT *, last_value(CASE WHEN in_order THEN last END IGNORE NULLS) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+      first_value(CASE WHEN in_order THEN first END IGNORE NULLS) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM o)
+    SELECT book, pos, first, last, prev, next FROM x WHERE NOT in_order"""
+READ_LATE = _BACKBONE + """
+    x AS (SELECT *, max(last) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after FROM o)
+    SELECT book, pos, first, last, after FROM x WHERE in_order AND last - first < 2 AND after - first > 5"""
+OPTIONAL_STEPS = """WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+    s(o_custkey, rn, room, kept, left_out) AS (SELECT DISTINCT o_custkey, 0::BIGINT, 500000::DOUBLE, 0::BIGINT, 0::BIGINT FROM o
+      UNION ALL SELECT s.o_custkey, o.rn, CASE WHEN c <= room + 1e-9 THEN room - c ELSE room END, kept + CASE WHEN c <= room + 1e-9 THEN 1 ELSE 0 END, left_out + CASE WHEN c <= room + 1e-9 THEN 0 ELSE 1 END
+        FROM s JOIN o ON o.o_custkey = s.o_custkey AND o.rn = s.rn + 1)
+    SELECT o_custkey, kept, left_out FROM s WHERE rn > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY rn DESC) = 1"""
+
+
 def optional_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of a customer's orders, in order, fit a room of half a million when misfits are skipped."""
     o = _table(spark, sf_dir, "orders").withColumn("room", F.lit(500000.0))
@@ -92,7 +125,8 @@ COPIED_TEXT = f"""SELECT item_id, count(DISTINCT doc_id) AS documents, count(*)
 def suspect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms that a scan likely misread: how often, in how many documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("w"))
-    by_form = docs.where(F.col("w").isNotNull()).groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs_n"))
+    # What every suspect word has; the few that have it are all that is exchanged.
+    by_form = docs.where(F.col("w").rlike("ii|[;:¢£·|‘’'`]")).groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs_n"))
     return by_form.where(forms.suspect(F.col("w")))
 
 
@@ -170,4 +204,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"band_near": BAND_NEAR, "copied_text": COPIED_TEXT, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES, "tree_levels": TREE_LEVELS, "table_descendants": TABLE_DESCENDANTS}
+    return {"out_of_order": OUT_OF_ORDER, "read_late_entries": READ_LATE, "language_parts": LANGUAGE_PARTS, "optional_steps": OPTIONAL_STEPS, "band_near": BAND_NEAR, "copied_text": COPIED_TEXT, "suspect_words": SUSPECT_WORDS, "outcome_states": OUTCOMES, "streamed_outcomes": OUTCOMES, "tree_levels": TREE_LEVELS, "table_descendants": TABLE_DESCENDANTS}

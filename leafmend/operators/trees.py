@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from ..sources.shared import deleted, shared_path
 
 DEEPEST = 64
 
@@ -22,11 +22,13 @@ def inherited(nodes: DataFrame, node: str, parent: str, value: str, deepest: int
     base = nodes.where(F.col(node).isNotNull()).groupBy(node).agg(F.min(F.struct(F.col(parent).alias("p"), F.col(value).alias("v"))).alias("s"))
     known = base.select(F.col(node).alias("_p"))
     at = base.join(known, F.col("s.p") == F.col("_p"), "left").select(F.col(node).alias("id"), F.col("_p").alias("up"), F.col("s.v").alias("v"), F.when(F.col("_p").isNull(), 0).otherwise(1).cast("long").alias("d"))
-    reach = 1
+    reach, before = 1, None
     while reach <= deepest:
         path = shared_path(spark, "tree")
         at.write.parquet(path)
-        at = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        at, before = spark.read.parquet(path), path
         if at.where("up is not null").isEmpty():
             break
         above = at.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("v").alias("_v"), F.col("d").alias("_d"))
