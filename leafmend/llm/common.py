@@ -14,12 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor can reach.
 
-    Where the session names none (tests on one machine), a folder below the
-    warehouse is set.
+    Where the session names none, a session on one machine (tests) gets a
+    folder below the warehouse; on a cluster that would be some machine's own
+    disk, so it is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import dropped, kept, new_path
 from .tokens import default_path, encoder
 
 #: Ids of a block, and ids after which a file is closed; a longer document still is whole.
@@ -223,8 +223,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def written_and_read(docs: DataFrame, end: int = 1, vocabulary: str | None = None) -> DataFrame:
-    """write() to a new folder in the shared place, then read() of it."""
+    """write() to a new folder in the shared place, then read() of it; the folder is deleted once it is read."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write(docs, path, end, vocabulary)
-    return read(spark, path)
+    out = kept(read(spark, path))
+    dropped(spark, path)
+    return out

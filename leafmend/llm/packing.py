@@ -103,35 +103,42 @@ def _packed(rows: pd.DataFrame, size: int) -> pd.DataFrame:
 
 
 def packed(docs: DataFrame, size: int = SIZE, end: int = 0, vocabulary: str | None = None, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece of each row of docs.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified), one row for each piece of each row of docs.
 
     docs: doc_id and text, other columns ignored. A null text is empty and is
     packed as its end id alone; rows with equal or null doc_id are packed as
     rows of their own; an empty table gives no rows. offset is gapless from 0 in each
     sequence. Buckets hold about bucket pieces whatever the table's size.
+    certified tells whether a piece's bucket, or the pool that it was moved to,
+    takes no more sequences than its lower bound; sequences that a bucket
+    without a certificate keeps have none.
     """
     rows = kept(pieces(docs, size, end, vocabulary).withColumn("row", F.monotonically_increasing_id()))
     short = rows.where(F.col("length") < size)
     buckets = max(1, -(-short.count() // bucket))
     dealt = short.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("long").alias("bucket"))
 
+    columns = ["row", "length", "seq", "offset", "given", "certified"]
+
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = _packed(pdf, size)
         used = int(out["seq"].max()) + 1
-        out["given"] = False
-        if used > lower_bound(out["length"].to_numpy(), size):
+        out["given"], out["certified"] = False, used <= lower_bound(out["length"].to_numpy(), size)
+        if not out["certified"].iloc[0]:
             fill = out.groupby("seq")["length"].sum().sort_values(kind="stable")
             give = fill.index[: max(LEAST, int(used * GIVE))]
             out["given"] = out["seq"].isin(give)
-        return out.assign(seq=key[0] * 2**20 + out["seq"])[["row", "length", "seq", "offset", "given"]]
+        return out.assign(seq=key[0] * 2**20 + out["seq"])[columns]
 
     def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _packed(pdf.drop(columns=["seq", "offset"]), size)
-        if out["seq"].max() + 1 < pdf["seq"].nunique():
-            return out.assign(seq=key[0] * 2**20 + out["seq"], given=True)[["row", "length", "seq", "offset", "given"]]
-        return pdf.assign(given=True)[["row", "length", "seq", "offset", "given"]]
+        out, was = _packed(pdf.drop(columns=["seq", "offset"]), size), pdf["seq"].nunique()
+        used = int(out["seq"].max()) + 1
+        fine = min(used, was) <= lower_bound(out["length"].to_numpy(), size)
+        if used < was:
+            return out.assign(seq=key[0] * 2**20 + out["seq"], given=True, certified=fine)[columns]
+        return pdf.assign(given=True, certified=fine)[columns]
 
-    schema = "row long, length long, seq long, offset long, given boolean"
+    schema = "row long, length long, seq long, offset long, given boolean, certified boolean"
     state = kept(dealt.groupBy("bucket").applyInPandas(first, schema))
     done = state.where("not given")
     pool = state.where("given")
@@ -145,7 +152,7 @@ def packed(docs: DataFrame, size: int = SIZE, end: int = 0, vocabulary: str | No
         # Whole sequences move together, so that taking none of a pool's gains leaves them as they were.
         home = F.pmod(F.xxhash64("seq", F.lit(k)), F.lit(pools)) + k * 2**36
         pool = kept(pool.withColumn("bucket", home).groupBy("bucket").applyInPandas(again, schema))
-    done = done.unionByName(pool).select("row", F.col("seq").alias("sequence_id"), "offset")
-    full = rows.where(F.col("length") >= size).select(*rows.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    out = rows.where(F.col("length") < size).join(done, "row").select(*rows.columns, "sequence_id", "offset")
+    done = done.unionByName(pool).select("row", F.col("seq").alias("sequence_id"), "offset", "certified")
+    full = rows.where(F.col("length") >= size).select(*rows.columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    out = rows.where(F.col("length") < size).join(done, "row").select(*rows.columns, "sequence_id", "offset", "certified")
     return out.unionByName(full).drop("row")
