@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import queries as operators
 from .operators import range_queries, state_queries, text_queries
-from .plans import joins, language, pages, places, rules, stats, text, windows, workorders
+from .plans import joins, language, names, pages, places, rules, stats, text, windows, workorders
 from .plans.dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Functions of families that are parts of queries only.
 PARTS = {"passes", "lines"}
-FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language, places, pages)
+FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language, places, pages, names)
 
 
 def plans() -> dict[str, Callable]:

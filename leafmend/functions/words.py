@@ -42,13 +42,79 @@ def edit_cost(scanned: str, reading: str) -> float:
     return float(row[-1])
 
 
+#: Pairs of places up to which runs are looked up in a table of all of them.
+TABLE = 4_000_000
+
+
+def _numbered(a, b) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences as numbers, equal ones for equal items."""
+    if isinstance(a, str):
+        return tuple(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32) for s in (a, b))
+    known: dict = {}
+    return tuple(np.array([known.setdefault(x, len(known)) for x in s], np.int32) for s in (a, b))
+
+
+def blocks(a, b) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of the matching blocks of two sequences: the longest run, of equal ones the first in a, then in b, and so on left and right of it.
+
+    A table holds how long a run ends at each pair of places, made row by row;
+    a rectangle's longest run is then one maximum over its part of the table,
+    cut to what began inside it. Long sequences go to the standard library's
+    matcher, which finds the same.
+    """
+    if len(a) * len(b) > TABLE or not len(a) or not len(b):
+        return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    x, y = _numbered(a, b)
+    kind = np.int16 if max(len(x), len(y)) < 1 << 15 else np.int32
+    same = {c: (y == c).astype(kind) for c in set(x.tolist())}
+    runs = np.zeros((len(x) + 1, len(y) + 1), kind)
+    for i, c in enumerate(x.tolist()):
+        row = runs[i + 1, 1:]
+        np.add(runs[i, :-1], 1, out=row)
+        row *= same[c]
+    runs, steps = runs[1:, 1:], np.arange(1, max(len(x), len(y)) + 1, dtype=kind)
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        part = np.minimum(runs[i0:i1, j0:j1], steps[: i1 - i0, None])
+        np.minimum(part, steps[None, : j1 - j0], out=part)
+        at = int(part.argmax())
+        i, j = i0 + at // (j1 - j0), j0 + at % (j1 - j0)
+        n = int(part[i - i0, j - j0])
+        if not n:
+            continue
+        i, j = i - n + 1, j - n + 1
+        found.append((i, j, n))
+        todo += [r for r in ((i0, i, j0, j), (i + n, i1, j + n, j1)) if r[0] < r[1] and r[2] < r[3]]
+    out: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + n)
+        else:
+            out.append((i, j, n))
+    return out
+
+
+def _spans(a, b):
+    """(whether equal, i1, i2, j1, j2) over both sequences, in order, none empty on both sides."""
+    i = j = 0
+    for m, n, size in [*blocks(a, b), (len(a), len(b), 0)]:
+        if i < m or j < n:
+            yield False, i, m, j, n
+        if size:
+            yield True, m, m + size, n, n + size
+        i, j = m + size, n + size
+
+
 def _edits(a, b):
-    return (e for e in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if e[0] != "equal")
+    return (s[1:] for s in _spans(a, b) if not s[0])
 
 
 def error_rate(scanned: str, layer: str) -> float:
     """Characters to change for each scanned character, by the matcher's alignment (no least edit distance)."""
-    return sum(max(i2 - i1, j2 - j1) for _, i1, i2, j1, j2 in _edits(scanned, layer)) / max(1, len(scanned))
+    if scanned == layer:
+        return 0.0
+    return sum(max(i2 - i1, j2 - j1) for i1, i2, j1, j2 in _edits(scanned, layer)) / max(1, len(scanned))
 
 
 def refusal(scanned: str, reading: str) -> str | None:
@@ -68,15 +134,15 @@ def refusal(scanned: str, reading: str) -> str | None:
     if min(len(x), len(y)) >= 4:
         fine = edit_cost(a, b) <= max(2, 0.34 * len(y))
     else:
-        fine = len(y) <= len(x) and all(op != "insert" and SHORT_JUNK.issuperset(x[i1:i2]) for op, i1, i2, _, _ in _edits(x, y))
+        fine = len(y) <= len(x) and all(i1 < i2 and SHORT_JUNK.issuperset(x[i1:i2]) for i1, i2, _, _ in _edits(x, y))
     return None if fine else "too different"
 
 
 def paired(scanned: list[str], reading: list[str]) -> dict:
     """Words paired one to one by alignment of their letters: how many pair, change, differ too much and stay alone; changes by place."""
     out = {"paired": 0, "changed": 0, "too_different": 0, "unpaired": 0, "changes": []}
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, [letters(w) for w in scanned], [letters(w) for w in reading], autojunk=False).get_opcodes():
-        if op != "equal" and i2 - i1 != j2 - j1:
+    for equal, i1, i2, j1, j2 in _spans([letters(w) for w in scanned], [letters(w) for w in reading]):
+        if not equal and i2 - i1 != j2 - j1:
             out["unpaired"] += i2 - i1
             continue
         out["paired"] += i2 - i1

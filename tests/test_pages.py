@@ -138,3 +138,60 @@ def test_forms_of_places_are_numbered_in_order(spark):
     assert order == sorted(order)
     places = catalog.queries()["candidate_places"](spark, "/root/testdata/sf0.001")
     assert sum(r["places"] for r in rows) == places.count() and {r["form"] for r in rows} == {r.form for r in places.select(F.col("form")).distinct().collect()}
+
+
+def test_names_of_downloads(spark):
+    long_ = "é" * 100
+    own = {"downloads": [(1, " .My: Book?.pdf", "007", "Ready", None), (2, "a/b|c", None, "Shipped", "3"), (3, "x.PDF", "2", "Shipped", None), (4, "x", "2", "withdrawn", "4"), (5, "", "x", "Not Ready", None), (6, None, "9", "earlier version", None), (7, long_, "1", "Pending Evaluation", None), (8, "...", "1", "odd", None)]}
+    got = {r[0]: r[1:] for r in ask(spark, "download_names", own)}
+    assert got[1] == ("My_ Book__session-7_not-shipped.pdf", "My_ Book__record_session-7_not-shipped.zip") and got[2] == ("a_b_c.pdf", "a_b_c_record_shipment-3.zip")
+    assert got[3] == ("x.pdf", "x_record.zip") and got[4] == ("x_shipment-4_withdrawn.pdf", "x_record_shipment-4_withdrawn.zip")
+    assert got[5] == ("book_no-review_not-ready.pdf", "book_record_no-review_not-ready.zip") and got[6][0] == "book_session-9_previous-version.pdf"
+    assert got[7][0] == "é" * 75 + "_session-1_not-ready.pdf" and got[8][0] == "book_session-1_not-ready.pdf"
+
+
+def test_language_lines(spark):
+    columns = "todo any_forms state candidates reviewer day not_reviewed held held_why accepted_by accepted_count none_tagged".split()
+    base = dict(zip(columns, (0, False, "decided", 0, None, "May 1, 2026", None, None, None, None, None, False), strict=True))
+    cases = [
+        ({}, True, "Not Applicable"), ({"state": "off", "candidates": None}, False, "Not Done (not checked)"), ({"state": "failed", "candidates": 3}, False, "Not Done (the language step did not finish)"),
+        ({"state": "odd", "candidates": 3}, False, "Not Done (the language step was not run)"), ({"todo": 1200, "any_forms": True}, False, "Not Reviewed (1,200 word forms to decide on the review page)"),
+        ({"todo": 1, "any_forms": True}, False, "Not Reviewed (1 word form to decide on the review page)"), ({"todo": 5, "any_forms": True, "none_tagged": True}, False, "Not Reviewed (5 word forms the AI left untagged to confirm on the review page)"),
+        ({"todo": 5, "any_forms": True, "reviewer": "Ann", "not_reviewed": 0}, True, "Approved (Ann on May 1, 2026)"), ({"todo": 5, "any_forms": True, "reviewer": "Ann", "not_reviewed": 2}, False, "Not Reviewed (2 word forms to decide on the review page)"),
+        ({"held": 1, "held_why": "forms"}, False, "Not Reviewed (1 word form was not sent: more than the set number of word forms)"),
+        ({"todo": 5, "any_forms": True, "held": 1500, "held_why": "book"}, False, "Not Reviewed (5 word forms to decide on the review page; 1,500 not sent: more than the room left in this PDF's limit)"),
+        ({"todo": 5, "any_forms": True, "held": 2, "held_why": "step", "reviewer": "Ann", "not_reviewed": 0, "accepted_by": "Bo", "accepted_count": 2}, True, "Approved (Ann on May 1, 2026 · 2 word forms not sent, accepted by Bo)"),
+        ({"todo": 5, "any_forms": True, "held": 3, "held_why": "step", "reviewer": "Ann", "not_reviewed": 0, "accepted_by": "Bo", "accepted_count": 2}, False, "Not Reviewed (3 word forms were not sent: more than the limit for language suggestions)"),
+    ]
+    own = {"tagging": [(i, *(base | change).values()) for i, (change, _, _) in enumerate(cases)]}
+    assert sorted(ask(spark, "language_lines", own)) == [(i, ok, line) for i, (_, ok, line) in enumerate(cases)]
+
+
+def test_states_of_steps_and_deferred_issues(spark):
+    steps = [(1, "language", "cap", False, True, True, 4, 5, 6), (2, "pages", "book", True, True, True, 4, 5, 6), (3, "pages", "error", False, True, True, 0, 5, 6), (4, "language", "forms_changed", False, True, True, 4, 5, 6), (5, "pages", "pages_changed", False, True, True, 4, 5, 6), (6, "language", "done", False, True, True, 2, 5, 6), (7, "language", "done", False, True, True, 0, 5, 6), (8, "pages", None, False, False, True, 0, 5, 6), (9, "pages", None, False, False, False, 0, 5, 6), (10, "pages", "declined", False, True, True, 2, 5, 6)]
+    got = {r[0]: r[2:] for r in ask(spark, "step_states", {"steps": steps})}
+    assert got.keys() == {1, 2, 3, 4, 6, 8}
+    assert got[1][:4] == ("left_out", "cap", 0, False) and got[2][:4] == ("left_out", "book", 6, False) and got[2][5] is False and got[2][4].endswith("this PDF's limit.")
+    assert got[3] == ("unfinished", "error", 5, True, "The step stopped with an error.", True) and got[4][:3] == ("unfinished", "forms_changed", 5)
+    assert got[6] == ("unfinished", "done", 2, True, "", True) and got[8][:3] == ("unfinished", "done", 5)
+    deferred = [(1, "caption", 3, "both"), (1, "caption", 3, "both"), (1, "a  run", 5, "both"), (1, None, None, "both"), (1, " ", 7, "both"), (1, "a run", 9, "pdfua"), (2, "alt", None, "both")]
+    assert sorted(ask(spark, "deferred_issues", {"deferred": deferred}), key=str) == [
+        (1, "a run", 1, 1, 5, "a run"), (1, "caption", 2, 1, 3, "2 captions not grouped: several figures on the page"), (1, "not described", 2, 1, 7, "not described (2)"), (2, "alt", 1, 0, None, "alt"),
+    ]
+
+
+def test_blocks_are_the_standard_matchers():
+    from difflib import SequenceMatcher
+
+    from leafmend.functions import words
+
+    r = random.Random(6)
+    for k in range(400):
+        alphabet = "ab" if k % 3 else "abcdefgh "
+        a, b = ("".join(r.choice(alphabet) for _ in range(r.randrange(0, 60))) for _ in range(2))
+        if k % 4 == 0:
+            b = a[: len(a) // 2] + b + a[len(a) // 3 :]
+        want = [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+        assert words.blocks(a, b) == want and words.blocks(list(a), list(b)) == want
+        opcodes = [(o == "equal", *x) for o, *x in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+        assert list(words._spans(a, b)) == opcodes
