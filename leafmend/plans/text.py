@@ -169,9 +169,9 @@ def cleaned_text(d) -> str:
 
 
 def duplicate_text_flags(d) -> str:
-    """Titles of pages as alternative texts: a file name, without letters, or used on three pages or more."""
+    """Titles of pages as alternative texts: generic or empty, a file name, without letters, or used on three pages or more."""
     return f"""
-    SELECT page_id, CASE WHEN {d.matches("lower(t)", "[.](jpe?g|png|gif|tiff?|pdf)$")} THEN 'file name' WHEN NOT {d.matches("t", r"\pL")} THEN 'no letters' WHEN n >= 3 THEN 'repeated' END AS flag
+    SELECT page_id, CASE WHEN {d.matches("t", r"(?i)^(illustration|image|img|picture)?[\s_-]*[0-9]*$")} THEN 'generic' WHEN {d.matches("lower(t)", "[.](jpe?g|png|gif|tiff?|pdf)$")} THEN 'file name' WHEN NOT {d.matches("t", r"\pL")} THEN 'no letters' WHEN n >= 3 THEN 'repeated' END AS flag
     FROM (SELECT page_id, t, count(*) OVER (PARTITION BY t) AS n FROM (SELECT page_id, trim({d.first("html", "<title>([^<]*)</title>")}) AS t FROM pages
       UNION ALL SELECT id, t FROM (VALUES (-1, 'fig1.PNG'), (-2, '12 - 3'), (-3, 'A map'), (-4, 'A map'), (-5, 'A map'), (-6, 'A plan')) AS v(id, t)))"""
 
@@ -193,10 +193,11 @@ def excerpts(d) -> str:
 
 
 def markdown_escaped(d) -> str:
-    """Texts safe for Markdown, by the hash of the result: marks are escaped, quotes begin with '> '."""
-    return f"""
-    SELECT doc_id, CASE WHEN text IS NOT NULL THEN {d.sha256("concat('> ', replace(" + d.replaced("text", r"([\\`*_\[\]<>#|])", d.escaped) + ", chr(10), concat(chr(10), '> ')))")} END AS hash
-    FROM documents"""
+    """Texts as Markdown quotes, by the hash of the result: every line begins with '> ', marks are escaped, and what would begin a heading, quote or list at a line's start."""
+    marks = d.replaced("{part}", r"([\\`*_\[\]<>])", d.escaped)
+    start = d.replaced(d.replaced(marks, r"^(\s*)([#>+=-])", d.escaped_second), r"^(\s*\d+)([.)])", d.escaped_second)
+    each = f"CASE WHEN {d.matches('{part}', f'[^{SPACES}]'.replace('{', '{{').replace('}', '}}'))} THEN concat('> ', {start}) ELSE '>' END"
+    return f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {d.sha256(d.strung(d.placed(d.lines('text'), each), chr(10)))} END AS hash FROM documents"
 
 
 def stem_names(d) -> str:

@@ -20,11 +20,13 @@ def repeated_neighbour(d) -> str:
 
 
 def jumps_up(d) -> str:
-    """Orders whose lines jump up twice or more."""
-    return """
-    SELECT l_orderkey, count(*) AS jumps FROM (
-      SELECT l_orderkey, l_extendedprice, lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS above FROM lineitem)
-    WHERE l_extendedprice > 2 * above GROUP BY l_orderkey HAVING count(*) >= 2"""
+    """Pages (orders) with two jumps or more: a run that starts over twice the size of the one before, 6 at least, above it in the same column (72 across)."""
+    by_page = "OVER (PARTITION BY page ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
+    return f"""
+    SELECT page, CAST(sum(CASE WHEN top < before_top - 2 * greatest(before_size, 6) AND abs(x - before_x) < 72 THEN 1 ELSE 0 END) AS BIGINT) AS jumps, count(*) AS runs FROM (
+      SELECT page, top, x, lag(top) {by_page} AS before_top, lag(x) {by_page} AS before_x, lag(size) {by_page} AS before_size FROM (
+        SELECT l_orderkey AS page, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey % 700 AS top, l_quantity * 8 AS x, 4 + l_suppkey % 20 AS size FROM lineitem))
+    GROUP BY page HAVING sum(CASE WHEN top < before_top - 2 * greatest(before_size, 6) AND abs(x - before_x) < 72 THEN 1 ELSE 0 END) >= 2"""
 
 
 def read_late(d) -> str:
@@ -77,9 +79,11 @@ def interval_merge(d) -> str:
 
 
 def shape_rows(d) -> str:
-    """The top four and bottom two lines of an order."""
-    return """
-    SELECT l_orderkey, l_linenumber, l_partkey FROM (
-      SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS top_n,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS end_n FROM lineitem)
-    WHERE top_n <= 4 OR end_n <= 2"""
+    """The rows that tell a table's shape, 14 at most: the top four, the bottom two, then rows that hold one thing, in order. A supplier's lines are a table, small quantities rows of one thing."""
+    order = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
+    return f"""
+    WITH placed AS (SELECT l_suppkey, {order}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {order}) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+    marked AS (SELECT *, i <= 4 OR i > n - 2 AS edge, l_quantity <= 3 AS lone FROM placed)
+    SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST(i AS BIGINT) AS place FROM (
+      SELECT *, sum(CASE WHEN edge THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey) AS edges, sum(CASE WHEN lone AND NOT edge THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS lone_so_far FROM marked)
+    WHERE edge OR lone AND lone_so_far <= 14 - edges"""

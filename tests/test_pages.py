@@ -195,3 +195,28 @@ def test_blocks_are_the_standard_matchers():
         assert words.blocks(a, b) == want and words.blocks(list(a), list(b)) == want
         opcodes = [(o == "equal", *x) for o, *x in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
         assert list(words._spans(a, b)) == opcodes
+
+
+def test_quotes_escape_what_begins_a_line(spark):
+    import hashlib
+
+    text = "plain\n# head *x*\n  - item\n12. no\n> said\n\n \t\n3) a_b\n=\n[x](y) <z> `c` \\"
+    want = "> plain\n> \\# head \\*x\\*\n>   \\- item\n> 12\\. no\n> \\> said\n>\n>\n> 3\\) a\\_b\n> \\=\n> \\[x\\](y) \\<z\\> \\`c\\` \\\\"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = dict(ask(spark, "markdown_escaped", documents=docs))
+    assert got == {1: hashlib.sha256(want.encode()).hexdigest(), 2: None, 3: hashlib.sha256(b">").hexdigest()}
+
+
+def test_rows_that_tell_a_tables_shape(spark):
+    rows = [(1, 1, i, i, 1.0 if i in (2, 6, 7, 30, 59) or i >= 10 and i % 4 == 0 else 9.0, 1.0) for i in range(60)] + [(2, 1, i, i, 1.0, 1.0) for i in range(3)]
+    lines = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double")
+    got = sorted((r[0], r[2]) for r in ask(spark, "shape_rows", lineitem=lines))
+    lone = [i for i in range(4, 58) if i in (6, 7, 30) or i >= 10 and i % 4 == 0][: 14 - 6]
+    assert got == sorted([(1, i) for i in (0, 1, 2, 3, 58, 59, *lone)] + [(2, i) for i in range(3)])
+
+
+def test_jumps_in_a_column(spark):
+    # (line, top, x / 8, size - 4): back over twice the size counts, not across columns, not by less.
+    runs = [(1, 500, 10, 6), (2, 470, 10, 6), (3, 480, 10, 6), (4, 300, 10, 6), (5, 10, 60, 6), (6, 690, 60, 6), (7, 650, 60, 6)]
+    lines = spark.createDataFrame([(9, n, top, s, float(x), 1.0) for n, top, x, s in runs], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    assert ask(spark, "jumps_up", lineitem=lines) == [(9, 3, 7)]
