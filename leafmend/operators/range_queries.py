@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Duck, Spark
+from ..sources.shared import spread
 from .ranges import numbered, running
 
 
@@ -102,7 +103,8 @@ def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_text = pairs.join(docs.select("doc_id", F.col("text").alias("later")), "doc_id").where("later IS NOT NULL").select(F.col("earlier").alias("doc_id"), "later")
     gap = "abs(length(text) - length(replace(text, c, '')) - length(later) + length(replace(later, c, '')))"
     rate = f"round(CAST({d.summed(d.characters('concat(text, later)'), 'c', gap)} AS DOUBLE) / greatest(length(text), 1), 6)"
-    return docs.join(with_text, "doc_id").select("doc_id", F.expr(rate).alias("rate"))
+    pairs = spread(docs.join(with_text, "doc_id").select("doc_id", "text", "later"), "doc_id")
+    return pairs.select("doc_id", F.expr(rate).alias("rate"))
 
 
 _D = Duck()

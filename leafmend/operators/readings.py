@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.syllables import japanese, pinyin, spelled, unmarked
-from ..sources.shared import stored
+from ..sources.shared import spread, stored
 
 #: Marks of romanizations, scripts that are readings themselves, and clause ends that introduce what follows.
 HEPBURN, IAST, BREVE = "[ōū]", "[ṣṇṭḍśṛṃṅṁḥ]", "[ŏŭŎŬ]"
@@ -107,7 +107,7 @@ def beside(places: DataFrame, listed: DataFrame, toned: DataFrame) -> DataFrame:
     by name. The pieces around places are classed once for each form.
     """
     near = F.explode(F.array_distinct(F.concat("before", "after")))
-    forms = stored(facts(places.select(near.alias("form")).distinct(), listed), "facts")
+    forms = stored(facts(spread(places.select(near.alias("form")).distinct(), "form"), listed), "facts")
     sides = places.select("doc_id", "book", "at", "piece", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("p")), F.struct(F.lit(1).alias("side"), F.col("after").alias("p")))).alias("s"))
     each = sides.select("doc_id", "book", "at", "piece", "s.side", F.posexplode_outer("s.p").alias("k", "form")).join(forms, "form", "left")
     # A book's subject: what three pieces on either side prove without one.
@@ -118,7 +118,7 @@ def beside(places: DataFrame, listed: DataFrame, toned: DataFrame) -> DataFrame:
     each = each.join(about, F.col("book").eqNullSafe(F.col("_book")), "left")
     entry = F.struct("k", F.struct(reading(F.col("f"), F.col("subject"), F.coalesce("toned", F.lit(False))).alias("r"), F.col("f.punctuation").alias("punctuation"), F.col("f.introduces").alias("introduces"), F.col("f.kana").alias("kana"), F.col("f.hangul").alias("hangul"), F.coalesce(F.nullif(F.col("f.core"), F.lit("")), F.col("form")).alias("core")).alias("x"))
     side = lambda n: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == n) & F.col("k").isNotNull(), entry))), lambda e: e["x"])
-    sided = each.groupBy("doc_id", "book", "at", "piece", "subject").agg(side(0).alias("l"), side(1).alias("r"))
+    sided = spread(each, "doc_id", "book", "at", "piece").groupBy("doc_id", "book", "at", "piece", "subject").agg(side(0).alias("l"), side(1).alias("r"))
     left, right = walk(F.col("l"), True), walk(F.col("r"), False)
     return sided.withColumn("l", left).withColumn("r", right).select("doc_id", "book", "at", "piece", "subject", F.when(F.size("l") > 0, F.reverse("l")).otherwise(F.col("r")).alias("readings"))
 

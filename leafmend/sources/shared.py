@@ -29,6 +29,11 @@ def stored(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over as many tasks as the session's shuffles have, for rows that are few in bytes and dear to work on; by bytes alone they might all go to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
