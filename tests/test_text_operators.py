@@ -111,6 +111,14 @@ def test_places_words_and_halves(spark):
     ]
 
 
+def test_snippets_of_a_text(spark):
+    lines = [["a", "--", "b"], [], list("cdefghijklm"), ["n", "1", "o"]]
+    mark = lambda form, run, w0, w1, request=1: {"request": request, "id": form, "run": run, "w0": w0, "w1": w1}
+    assert text_queries.snippets_of(lines, [mark(7, 0, 0, 0)]) == [(1, 1, 12, "7", "a -- b c d e f g h i j k")]
+    assert text_queries.snippets_of(lines, [mark(7, 3, 2, 2), mark(12, 0, 2, 2)]) == [(1, 1, 17, "7,12", "a -- b c d e f g h i j k l m n 1 o")]
+    assert [s[:4] for s in text_queries.snippets_of(lines, [mark(7, 3, 2, 2, 2), mark(12, 0, 2, 2)])] == [(1, 1, 13, "12"), (2, 6, 17, "7")]
+
+
 def test_places_islands_and_passages(spark):
     got = places(
         spark, "E iho ana o luna here\nwe make a home\nqianyan zhibing heyao pusa jingdian nangajuk-\nwama is a word.", "The word Ελληνικά and 東京 大阪, and 漢x; https://a.org 1984 xiv", "Sørensen déjà here", "wholeword"
