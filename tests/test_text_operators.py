@@ -111,6 +111,15 @@ def test_places_words_and_halves(spark):
     ]
 
 
+def test_words_of_places_are_exchanged_once_and_deleted(spark):
+    from leafmend import catalog
+
+    found = catalog.queries()["candidate_places"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # phrases by text; not words, and not once for each join
+    kept = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert not any("place-words" in f.getPath().getName() for f in kept.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(kept))
+
+
 def test_snippets_of_a_text(spark):
     lines = [["a", "--", "b"], [], list("cdefghijklm"), ["n", "1", "o"]]
     mark = lambda form, run, w0, w1, request=1: {"request": request, "id": form, "run": run, "w0": w0, "w1": w1}
