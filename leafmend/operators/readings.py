@@ -78,49 +78,71 @@ def around(docs: DataFrame, place: Callable[[Column], Column], pieces: str = "pi
     return docs.where(F.size(pieces) > 0).select("doc_id", "book", F.explode(taken).alias("p")).select("doc_id", "book", "p.*")
 
 
-def walk(side: Column, left: bool) -> Column:
-    """The readings directly beside a place on one side, nearest first: side is an array of structs with r, punctuation, introduces, kana, hangul, core.
+def _entry(f: Column, form: Column, r: Column) -> Column:
+    """A reading: what it proves and how it is written."""
+    return F.when(r.isNotNull(), F.struct(r.alias("r"), f["kana"].alias("kana"), f["hangul"].alias("hangul"), F.coalesce(F.nullif(f["core"], F.lit("")), form).alias("core")))
 
-    Left of a place a piece that ends a clause introduces what follows and
-    isn't read, and neither is what lies behind punctuation that does; right of
-    it only kana and hangul count, as a romanization is the next entry's.
+
+def _sides(places: DataFrame) -> DataFrame:
+    """places with left, the pieces that a walk to the left would read (empty where what stands there introduces), and right, the readings right of the place.
+
+    One piece of punctuation may lie between. Left of a place a piece that ends
+    a clause introduces what follows and isn't read, and neither is what lies
+    behind punctuation that does; right of it only kana and hangul count, as a
+    romanization is the next entry's. Those are told without a look-up.
     """
-    first = F.get(side, F.lit(0))
-    between = F.coalesce(first["punctuation"], F.lit(False))
-    rest = F.when(between, F.slice(side, 2, 3)).otherwise(F.slice(side, 1, 3))
-    reads = (lambda x: x["r"]) if left else (lambda x: F.when(x["kana"] | x["hangul"], x["r"]))
-    stop = F.array_position(F.transform(rest, lambda x: reads(x).isNull()), True)
-    took = F.when(stop == 0, rest).otherwise(F.slice(rest, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
-    none = F.filter(side, lambda x: F.lit(False))
-    if not left:
-        return F.coalesce(took, none)
-    introduced = (between & first["introduces"]) | F.coalesce(F.get(rest, F.lit(0))["introduces"], F.lit(False))
-    return F.coalesce(F.when(introduced, none).otherwise(took), none)
+    punctuation = lambda x: F.coalesce(x.rlike(r"(?U)^[\W_]+$"), F.lit(False))
+    introduces = lambda x: F.coalesce(x.rlike(INTRODUCES), F.lit(False))
+    rest = lambda side, between: F.when(between, F.slice(side, 2, 3)).otherwise(F.slice(side, 1, 3))
+    rows = places.withColumn("_near", F.get("before", F.lit(0))).withColumn("_between", punctuation(F.col("_near"))).withColumn("left", rest("before", F.col("_between")))
+    introduced = (F.col("_between") & introduces(F.col("_near"))) | introduces(F.get("left", F.lit(0)))
+    rows = rows.withColumn("left", F.when(introduced, F.slice("left", 1, 0)).otherwise(F.col("left"))).withColumn("right", rest("after", punctuation(F.get("after", F.lit(0)))))
+    own = lambda x: x.rlike(KANA) | x.rlike(HANGUL)
+    stop = F.array_position(F.transform("right", lambda x: ~own(x)), True)
+    took = F.when(stop == 0, F.col("right")).otherwise(F.slice("right", F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int")))
+
+    def entry(x: Column) -> Column:
+        kana = x.rlike(KANA)
+        return F.struct(F.when(kana, "ja").otherwise("ko").alias("r"), kana.alias("kana"), x.rlike(HANGUL).alias("hangul"), F.coalesce(F.nullif(F.regexp_replace(x, r"(?U)^\W+|\W+$", ""), F.lit("")), x).alias("core"))
+
+    return rows.withColumn("right", F.transform(took, entry)).drop("_near", "_between", "before", "after")
 
 
 def beside(places: DataFrame, listed: DataFrame, toned: DataFrame) -> DataFrame:
-    """places with readings (nearest first, left of the place else right) and the book's subject.
+    """(doc_id, book, at, piece, subject, readings): the readings in order of the text if they stand left of the place, else those right of it.
 
     listed (word): words of the document's own language; toned (book, toned):
     whether a book writes pinyin with tones. The subject is the commonest
     language among the three pieces on either side of the book's places, ties
-    by name. The pieces around places are classed once for each form.
+    by name. The pieces around places are classed once for each form, and few
+    of them can be readings, so a place looks up its nearest piece alone; only
+    where that is a reading are the two behind it looked up.
     """
-    near = F.explode(F.array_distinct(F.concat("before", "after")))
-    forms = stored(facts(spread(places.select(near.alias("form")).distinct(), "form"), listed), "facts")
-    sides = places.select("doc_id", "book", "at", "piece", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("p")), F.struct(F.lit(1).alias("side"), F.col("after").alias("p")))).alias("s"))
-    each = sides.select("doc_id", "book", "at", "piece", "s.side", F.posexplode_outer("s.p").alias("k", "form")).join(forms, "form", "left")
+    near = places.select("book", F.explode(F.concat(F.transform("before", lambda x, k: F.struct(x.alias("form"), (k < 3).alias("votes"))), F.transform("after", lambda x, k: F.struct(x.alias("form"), (k < 3).alias("votes"))))).alias("p"))
+    near = stored(near.groupBy("book", "p.form").agg(F.sum(F.col("p.votes").cast("long")).alias("n")), "near-pieces")
+    f = F.col("f")
+    speaks = f["kana"] | f["hangul"] | f["sound"] & (f["hepburn"] | f["breve"] & ~f["tone"] | f["revised"] & ~f["listed"] & f["long"] | f["shape"] & ~f["listed"] & ~f["breve"] & (f["other_tone"] | f["bare_long"] & ~f["japanese"]))
+    forms = stored(facts(spread(near.select("form").distinct(), "form"), listed).where(speaks), "facts")
     # A book's subject: what three pieces on either side prove without one.
-    votes = each.where("k < 3").select("book", reading(F.col("f"), F.lit(None).cast("string"), F.lit(False)).alias("r")).where("r is not null").groupBy("book", "r").count()
+    votes = near.where("n > 0").join(forms, "form").select("book", "n", reading(f, F.lit(None).cast("string"), F.lit(False)).alias("r")).where("r is not null").groupBy("book", "r").agg(F.sum("n").alias("count"))
     best = votes.groupBy("book").agg(F.max_by("r", F.struct("count", F.translate("r", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("r"))
     subjects = best.select(F.col("book"), F.create_map(*(F.lit(x) for p in SUBJECTS.items() for x in p))[F.col("r")].alias("subject"))
-    about = toned.join(subjects, toned["book"].eqNullSafe(subjects["book"]), "left").select(toned["book"].alias("_book"), "toned", "subject")  # a row for each book
-    each = each.join(about, F.col("book").eqNullSafe(F.col("_book")), "left")
-    entry = F.struct("k", F.struct(reading(F.col("f"), F.col("subject"), F.coalesce("toned", F.lit(False))).alias("r"), F.col("f.punctuation").alias("punctuation"), F.col("f.introduces").alias("introduces"), F.col("f.kana").alias("kana"), F.col("f.hangul").alias("hangul"), F.coalesce(F.nullif(F.col("f.core"), F.lit("")), F.col("form")).alias("core")).alias("x"))
-    side = lambda n: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == n) & F.col("k").isNotNull(), entry))), lambda e: e["x"])
-    sided = spread(each, "doc_id", "book", "at", "piece").groupBy("doc_id", "book", "at", "piece", "subject").agg(side(0).alias("l"), side(1).alias("r"))
-    left, right = walk(F.col("l"), True), walk(F.col("r"), False)
-    return sided.withColumn("l", left).withColumn("r", right).select("doc_id", "book", "at", "piece", "subject", F.when(F.size("l") > 0, F.reverse("l")).otherwise(F.col("r")).alias("readings"))
+    about = stored(toned.join(subjects, toned["book"].eqNullSafe(subjects["book"]), "left").select(toned["book"].alias("_book"), "toned", "subject"), "books")  # a row for each book
+
+    def looked_up(rows: DataFrame, k: int) -> DataFrame:
+        """rows with x<k>: what the k-th piece to the left reads, or null."""
+        rows = rows.withColumn("_form", F.get("left", F.lit(k))).join(forms.withColumnRenamed("form", "_known"), F.col("_form") == F.col("_known"), "left")
+        r = F.when(F.col("_known").isNotNull(), reading(f, F.col("subject"), F.coalesce("toned", F.lit(False))))
+        return rows.withColumn("_r", r).withColumn(f"x{k}", _entry(f, F.col("_form"), F.col("_r"))).drop("_form", "_known", "_r", "f")
+
+    rows = _sides(places).join(about, F.col("book").eqNullSafe(F.col("_book")), "left").drop("_book")
+    asked = stored(looked_up(rows.where(F.size("left") > 0), 0), "nearest-pieces")
+    columns = ["doc_id", "book", "at", "piece", "subject"]
+    none = rows.where(F.size("left") <= 0).unionByName(asked.where("x0 is null").drop("x0")).select(*columns, F.col("right").alias("readings"))
+    read = looked_up(looked_up(asked.where("x0 is not null"), 1), 2)
+    x0, x1, x2 = (F.col(f"x{k}") for k in range(3))
+    took = F.when(x1.isNull(), F.array(x0)).when(x2.isNull(), F.array(x1, x0)).otherwise(F.array(x2, x1, x0))
+    return none.unionByName(read.select(*columns, took.alias("readings")))
 
 
 def evidence(read: DataFrame, form: Column) -> DataFrame:

@@ -92,6 +92,12 @@ def test_subjects_and_tones_change_readings(spark):
     assert said(spark, [("t", "dōu 都")], toned=True).collect()[0].readings == [] and said(spark, [("t", "dōu 都")]).collect()[0].readings[0]["r"] == "ja"
 
 
+def test_places_are_not_gathered_from_their_pieces(spark):
+    plan = said(spark, [("b", "the fan (fujō 不浄 ). later a b fujō jōdo ; 不浄 again"), ("c", "zhongwen , 中 とうきょう")])
+    assert "collect_list" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {(r.book, r.at): [x["core"] for x in r.readings] for r in plan.collect()} == {("b", 3): ["fujō"], ("b", 11): [], ("c", 2): ["zhongwen"]}
+
+
 ENGLISH = "the word and here an long standing infor mation information oppor opportunities tunities a rule keg are rite sutra is we make home rejoin old practices".split()
 
 
