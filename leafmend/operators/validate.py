@@ -44,7 +44,8 @@ def language_parts(parts: DataFrame, pages: int, tags: DataFrame | None = None,
     """
     row = parts
     if tags is not None:
-        row = row.join(tags.select("lang").distinct().withColumn("_tag", F.lit(True)), "lang", "left")
+        allowed = F.broadcast(tags.select("lang").distinct().withColumn("_tag", F.lit(True)))  # a short list; by exchange all parts of a tag would meet in one task
+        row = row.join(allowed, "lang", "left")
     if places is not None:
         on = ["page", "mcid", "first", "last"]
         row = row.join(places.select(*on).distinct().withColumn("_place", F.lit(True)), on, "left")
