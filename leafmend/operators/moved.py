@@ -85,20 +85,21 @@ def moved_fragments(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Equal texts and empty ones are told without looking at their words.
     """
     same = F.col(a).eqNullSafe(F.col(b)) | (F.size(F.coalesce(a, F.array())) == 0) | (F.size(F.coalesce(b, F.array())) == 0)
-    asked = pairs.withColumn("_a", F.when(~same, F.col(a))).withColumn("_b", F.when(~same, F.col(b)))
+    asked = pairs.withColumn("_asked", ~same)
     fields = "stayed long, moved long, lost long, fragments array<string>"
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in asked.schema)}, {fields}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
         for batch in batches:
-            rows = [(None, None, None, None) if x is None else compared(x, y or []) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            x, y, ask = batch.column(a), batch.column(b), batch.column("_asked")
+            rows = [compared(x[i].as_py(), y[i].as_py()) if ask[i].as_py() else (None, None, None, None) for i in range(batch.num_rows)]  # one pair's words at a time as Python's objects
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "stayed", "moved", "lost", "fragments"])
 
     n = F.size(F.coalesce(a, F.array())).cast("long")
     equal = F.col(a).eqNullSafe(F.col(b))
-    out = asked.mapInArrow(run, schema).drop("_a", "_b")
+    out = asked.mapInArrow(run, schema).drop("_asked")
     zero = F.lit(0).cast("long")
     filled = {"stayed": F.when(equal, n).otherwise(zero), "moved": zero, "lost": F.when(equal, zero).otherwise(n), "fragments": F.array().cast("array<string>")}
     return out.select(*pairs.columns, *(F.coalesce(c, v).alias(c) for c, v in filled.items()))

@@ -16,3 +16,10 @@ def test_parts_of_a_tag_do_not_meet_in_one_task(spark):
     found = validate.language_parts(parts, 2, spark.createDataFrame([("en",), ("en",)], "lang string"))
     assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
     assert {r.pos: r.why for r in found.collect()} == {1: None, 2: "language tag not allowed", 3: "language tag not allowed"}
+
+
+def test_words_of_two_texts_travel_once(spark):
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (2, ["a"], ["a"]), (3, None, ["a"]), (4, ["a", "b"], None)], "id long, a array<string>, b array<string>")
+    found = moved.moved_fragments(pairs, "a", "b")
+    assert "_a#" not in plan(found) and "_b#" not in plan(found)
+    assert {r.id: (r.stayed, r.moved, r.lost) for r in found.collect()} == {1: (1, 1, 0), 2: (1, 0, 0), 3: (0, 0, 0), 4: (0, 0, 2)}
