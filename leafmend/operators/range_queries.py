@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import words
 from ..plans.dialect import Duck, Spark
 from ..sources.shared import spread
 from .ranges import numbered, running
@@ -96,15 +97,14 @@ def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The next one is found by ids alone; then each text meets its neighbour's in one join.
     """
-    d, docs = Spark(), _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     places = numbered(docs.select("source", "doc_id"), ["source"], ["doc_id"])
     before = places.select("source", (F.col("place") + 1).alias("place"), F.col("doc_id").alias("earlier"))
     pairs = before.join(places, before["source"].eqNullSafe(places["source"]) & (before["place"] == places["place"])).select("earlier", "doc_id")
     with_text = pairs.join(docs.select("doc_id", F.col("text").alias("later")), "doc_id").where("later IS NOT NULL").select(F.col("earlier").alias("doc_id"), "later")
-    gap = "abs(length(text) - length(replace(text, c, '')) - length(later) + length(replace(later, c, '')))"
-    rate = f"round(CAST({d.summed(d.characters('concat(text, later)'), 'c', gap)} AS DOUBLE) / greatest(length(text), 1), 6)"
+    rate = F.round(words.bag_gap("text", "later").cast("double") / F.greatest(F.length("text"), F.lit(1)), 6)
     pairs = spread(docs.join(with_text, "doc_id").select("doc_id", "text", "later"), "doc_id")
-    return pairs.select("doc_id", F.expr(rate).alias("rate"))
+    return pairs.select("doc_id", rate.alias("rate"))
 
 
 _D = Duck()

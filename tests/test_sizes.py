@@ -23,3 +23,8 @@ def test_words_of_two_texts_travel_once(spark):
     found = moved.moved_fragments(pairs, "a", "b")
     assert "_a#" not in plan(found) and "_b#" not in plan(found)
     assert {r.id: (r.stayed, r.moved, r.lost) for r in found.collect()} == {1: (1, 1, 0), 2: (1, 0, 0), 3: (0, 0, 0), 4: (0, 0, 2)}
+
+
+def test_bags_of_characters_in_one_pass():
+    every = "".join(map(chr, range(0x4E00, 0x9F00))) * 5
+    assert words.gap("aab", "abc") == 2 and words.gap("", "") == 0 and words.gap("𝒳é", "é") == 1 and words.gap(every, every[::-1] + "x") == 1
