@@ -150,6 +150,13 @@ def safety_lines(d) -> str:
 def checklists(d) -> str:
     """Results of evaluations: complete where each item of the checklist has one of its choices and no item is unknown; the items marked fail."""
     answers, items = d.given("answers"), d.given("checklist")
+    if d.name == "spark":  # answers meet their items and are counted against the section's, so no section is laid out for each evaluation
+        return f"""
+    WITH a AS (SELECT id, section, item, result FROM {answers}), c AS (SELECT section, item, choices FROM {items}),
+    asked AS (SELECT section AS asked_section, count(DISTINCT item) + count(DISTINCT CASE WHEN item IS NULL THEN 1 END) AS n FROM c GROUP BY section),
+    judged AS (SELECT a.id, a.section, c.item, a.result, coalesce(concat(',', c.choices, ',') LIKE concat('%,', a.result, ',%'), false) AS good FROM a LEFT JOIN c ON c.section = a.section AND c.item = a.item),
+    told AS (SELECT id, section, size(collect_set(item)) AS n, count_if(item IS NULL OR NOT good) AS bad, count_if(item IS NOT NULL AND result = 'fail') AS issues FROM judged WHERE id IS NOT NULL GROUP BY id, section)
+    SELECT t.id, t.section, t.n = q.n AND t.bad = 0 AS complete, t.issues FROM told t JOIN asked q ON q.asked_section = t.section"""
     return f"""
     WITH a AS (SELECT id, section, item, result FROM {answers}), c AS (SELECT section, item, choices FROM {items}),
     asked AS (SELECT k.id, c.section, c.item, c.choices FROM (SELECT DISTINCT id, section FROM a) k JOIN c ON c.section = k.section),

@@ -18,6 +18,11 @@ def test_parts_of_a_tag_do_not_meet_in_one_task(spark):
     assert {r.pos: r.why for r in found.collect()} == {1: None, 2: "language tag not allowed", 3: "language tag not allowed"}
 
 
+def test_checklists_are_not_laid_out_for_each_evaluation(spark):
+    found = catalog.queries()["checklists"](spark, SMALL)
+    assert plan(found).count("Join") <= 3  # lines with their parts, answers with their items, counts with the section's
+
+
 def test_words_of_two_texts_travel_once(spark):
     pairs = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (2, ["a"], ["a"]), (3, None, ["a"]), (4, ["a", "b"], None)], "id long, a array<string>, b array<string>")
     found = moved.moved_fragments(pairs, "a", "b")
