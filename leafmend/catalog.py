@@ -14,7 +14,7 @@ from .plans.dialect import Duck, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Functions of families that are parts of queries only.
-PARTS = {"passes", "lines"}
+PARTS = {"passes", "lines", "steps", "cut_words", "classed_words"}
 FAMILIES: tuple[ModuleType, ...] = (text, windows, joins, stats, rules, workorders, language, places, pages, names)
 
 
