@@ -33,3 +33,12 @@ def test_words_of_two_texts_travel_once(spark):
 def test_bags_of_characters_in_one_pass():
     every = "".join(map(chr, range(0x4E00, 0x9F00))) * 5
     assert words.gap("aab", "abc") == 2 and words.gap("", "") == 0 and words.gap("𝒳é", "é") == 1 and words.gap(every, every[::-1] + "x") == 1
+
+
+def test_syllables_are_read_once_for_each_word(spark):
+    found = catalog.queries()["syllable_shapes"](spark, SMALL)
+    assert "keys=[w#" in plan(found)  # pieces are counted before they become words
+
+
+def test_parts_of_plans_are_no_queries():
+    assert not {"steps", "cut_words", "classed_words"} & (catalog.queries().keys() | catalog.oracle_sql().keys())
