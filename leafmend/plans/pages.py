@@ -31,13 +31,20 @@ def hawaiian_pages(d) -> str:
     core = d.replaced(d.replaced("w", r"^[^\pL\pN_]+|[^\pL\pN_]+$", ""), r"[’\x27]s$", "")
     edge = d.replaced("w", r"^[^\pL\pN_]+|[^\pL\pN_]+$", "")
     words = d.found(_plain(d, "lower(text)"), r"[a-z\x27’]+")
+    flags = f"""length({d.replaced("core", r"[ʻ‘’\x27\x60]", "")}) >= {LONG} AS long, {_shape(d, "core")} AS shape, length(core) >= 2 AND {d.matches("core", r"\pL")} AS counts"""
+    judged = f"""parts AS (SELECT w, max(CASE WHEN length(part) >= 2 AND {d.matches("part", NOT_HAWAIIAN)} AND l.word IS NULL THEN 1 ELSE 0 END) AS foreign_one
+      FROM {d.rows_placed("forms", "w", d.split(_plain(d, "lower(bare)"), f"[{HYPHENS}]"), "k", "part")} p LEFT JOIN wordlist l ON l.word = part GROUP BY w),
+    judged AS (SELECT f.w, {flags}, coalesce(p.foreign_one, 0) AS foreign_one FROM forms f LEFT JOIN parts p ON p.w = f.w)"""
+    if d.name == "spark":  # a word once for each document, and a form's flags ride with its parts
+        words = f"array_distinct({words})"
+        judged = f"""flagged AS (SELECT w, bare, {flags} FROM forms),
+    judged AS (SELECT w, bool_or(long) AS long, bool_or(shape) AS shape, bool_or(counts) AS counts, max(CASE WHEN length(part) >= 2 AND {d.matches("part", NOT_HAWAIIAN)} AND l.word IS NULL THEN 1 ELSE 0 END) AS foreign_one
+      FROM {d.rows_placed("flagged", "w, long, shape, counts", d.split(_plain(d, "lower(bare)"), f"[{HYPHENS}]"), "k", "part")} p LEFT JOIN wordlist l ON l.word = part GROUP BY w)"""
     return f"""
     WITH wordlist AS (SELECT replace(word, '’', '''') AS word FROM (SELECT doc_id, word FROM (SELECT * FROM documents WHERE lang = 'en') {d.each(words, "word")}) GROUP BY 1 HAVING count(DISTINCT doc_id) >= {LISTED}),
     counted AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, w FROM documents {d.each(d.found("text", f"[^{SPACES}]+"), "w")}) GROUP BY doc_id, w),
     forms AS (SELECT w, {edge} AS core, {core} AS bare FROM (SELECT DISTINCT w FROM counted)),
-    parts AS (SELECT w, max(CASE WHEN length(part) >= 2 AND {d.matches("part", NOT_HAWAIIAN)} AND l.word IS NULL THEN 1 ELSE 0 END) AS foreign_one
-      FROM {d.rows_placed("forms", "w", d.split(_plain(d, "lower(bare)"), f"[{HYPHENS}]"), "k", "part")} p LEFT JOIN wordlist l ON l.word = part GROUP BY w),
-    judged AS (SELECT f.w, length({d.replaced("core", r"[ʻ‘’\x27\x60]", "")}) >= {LONG} AS long, {_shape(d, "core")} AS shape, length(core) >= 2 AND {d.matches("core", r"\pL")} AS counts, coalesce(p.foreign_one, 0) AS foreign_one FROM forms f LEFT JOIN parts p ON p.w = f.w),
+    {judged},
     shares AS (SELECT doc_id, sum(CASE WHEN long THEN n ELSE 0 END) AS n_long, sum(CASE WHEN long AND shape THEN n ELSE 0 END) AS n_shape, sum(CASE WHEN counts THEN n ELSE 0 END) AS n_words, sum(CASE WHEN counts THEN n * foreign_one ELSE 0 END) AS n_foreign
       FROM counted c JOIN judged j ON j.w = c.w GROUP BY doc_id),
     found AS (SELECT t.doc_id, CASE WHEN n_long >= {WORDS} THEN CAST(n_shape AS DOUBLE) / n_long END AS share, CASE WHEN n_words > 0 THEN CAST(n_foreign AS DOUBLE) / n_words END AS foreign_share FROM documents t LEFT JOIN shares s ON s.doc_id = t.doc_id)

@@ -42,3 +42,7 @@ def test_syllables_are_read_once_for_each_word(spark):
 
 def test_parts_of_plans_are_no_queries():
     assert not {"steps", "cut_words", "classed_words"} & (catalog.queries().keys() | catalog.oracle_sql().keys())
+
+
+def test_forms_of_pages_are_judged_in_one_pass(spark):
+    assert plan(catalog.queries()["hawaiian_pages"](spark, SMALL)).count("Join") <= 3  # forms with words of the list, places with forms, documents with shares
