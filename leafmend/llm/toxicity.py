@@ -123,6 +123,19 @@ def voted(low: str, text: str) -> list[int]:
 PATTERNS = 3
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def shift(z: np.ndarray, share: float) -> float:
+    """What to add to z for logistic(z) to have that mean, by bisection."""
+    low, high = -30 - z.max(initial=0.0), 30 - z.min(initial=0.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if logistic(z + mid).mean() < share else (low, mid)
+    return (low + high) / 2
+
+
 def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 60, chance: float = CHANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, rates by class, correlations) of votes (1, or 0) with a hidden binary label.
 
@@ -132,7 +145,9 @@ def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 6
     voters within the classes, chance ones left out, divide the evidence of
     those that err together by 1 + their sum, so k voters that always agree
     count like one. Rates are smoothed. balance: the share of the class, where
-    it is known; without it too few independent voters leave it open.
+    it is known, to which every round's posteriors are held, or else the class
+    may shrink to rows that many voters agree on (those of a language that has
+    a lexicon); without it too few independent voters leave it open.
     """
     n, m = votes.shape
     rates, rare = np.full((2, m), 0.5), votes.sum(0) < RARE
@@ -143,7 +158,7 @@ def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 6
     own = votes @ (1 / (1 + corr.sum(1)))
     post = np.where(own >= 1.95, 0.9, np.where(own >= 0.95, ALONE, 0.05))
     for step in range(rounds):
-        prior = np.clip(post.mean() if balance is None else balance, 1e-3, 1 - 1e-3)
+        prior = float(np.clip(post.mean() if balance is None else balance, 1e-3, 1 - 1e-3))
         for c, w in ((1, post), (0, 1 - post)):
             rates[c] = (w @ votes + 0.5) / (w.sum() + 1.0)
         if step in (rounds // 3, 2 * rounds // 3):
@@ -154,7 +169,7 @@ def label_model(votes: np.ndarray, balance: float | None = None, rounds: int = 6
             np.fill_diagonal(corr, 0)
         weight = 1 / (1 + corr.sum(1))
         z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(rates[1] / rates[0])) + (1 - votes) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
-        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        post = logistic(z if balance is None else z + shift(z, prior))
     return post, rates, corr
 
 

@@ -494,6 +494,18 @@ def test_label_model_finds_rates_and_copies():
     assert ((post > 0.5) == y).mean() > 0.93 and abs(post.mean() - 0.2) < 0.03
 
 
+def test_label_model_keeps_to_the_known_share():
+    """Insults in one language of two, four tallies that err together in both: rows that only the tallies find are of the class too."""
+    rng = np.random.default_rng(12)
+    y, named = rng.random(8000) < 0.105, rng.random(8000) < 0.6
+    insults = rng.random((8000, 12)) < np.where(y & named, 0.25, 0.0)[:, None]
+    slip = rng.random(8000) < 0.02
+    tallies = np.stack([np.where(y, rng.random(8000) < 0.99, slip & (rng.random(8000) < 0.7)) for _ in range(4)], axis=1)
+    post, _, _ = toxicity.label_model(np.concatenate([insults, tallies], axis=1).astype(float), float(y.mean()))
+    assert abs(post.mean() - y.mean()) < 1e-3
+    assert (post[y & ~named] >= 0.5).mean() > 0.9 and (post[~y] < 0.5).mean() > 0.99
+
+
 def test_tallies_never_see_their_own_fold():
     """Labels turned over in one fold change no vote there."""
     rng = np.random.default_rng(3)
