@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from collections import Counter
 from itertools import pairwise
 
 import pytest
@@ -126,6 +127,24 @@ def test_words_of_places_are_exchanged_once_and_deleted(spark):
     assert not any("place-words" in f.getPath().getName() for f in kept.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(kept))
 
 
+def test_words_of_place_forms_never_move(spark, monkeypatch):
+    """Words stay in their buckets though rare forms' classes are looked up, and are deleted."""
+    plans, bucketed = {}, text_queries.bucketed
+    monkeypatch.setattr(text_queries, "FREQUENT", 100)
+    monkeypatch.setattr(text_queries, "bucketed", lambda df, what, *keys: (plans.update({what: df._jdf.queryExecution().executedPlan().toString()}), bucketed(df, what, *keys))[1])
+    want = spark.createDataFrame(catalog.queries()["candidate_places"](spark, "/root/testdata/sf0.001").collect())
+    forms = catalog.queries()["place_forms"](spark, "/root/testdata/sf0.001")
+    moved = [line for line in plans["place-items"].splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)  # rare forms' classes and rejoined halves
+    got = {(r.form, r.grp): (r.places, r.documents, r.classes) for r in forms.collect()}
+    assert sum(n for n, _, _ in got.values()) == want.count()
+    assert Counter(k[0] for k, (_, n, _) in got.items() for _ in range(n)) == Counter(r.form for r in want.select("doc_id", "form", text_queries._group(F.col("classes")).alias("grp")).distinct().collect())
+    kept = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    left = [f.getPath().getName() for f in kept.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(kept)]
+    assert not any("place-words" in f for f in left)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_snippets_of_a_text(spark):
     lines = [["a", "--", "b"], [], list("cdefghijklm"), ["n", "1", "o"]]
     mark = lambda form, run, w0, w1, request=1: {"request": request, "id": form, "run": run, "w0": w0, "w1": w1}
