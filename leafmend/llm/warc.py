@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,7 +166,9 @@ def build_index(spark: SparkSession, folder: str, block: int = BLOCK, shard: int
     """Sort the captures of folder into index shards; the table of shards has each one's file, first and last key.
 
     Shards are ranges of (key, file, offset), so captures of one URL may fill
-    many. Their number follows the captures', at least one.
+    many. Their number follows the captures', at least one. The table of shards,
+    a row for each, is one file: look-ups hold it whole anyway, and a file for
+    each shard would cost more than its row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,7 @@ def build_index(spark: SparkSession, folder: str, block: int = BLOCK, shard: int
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // shard))
     order = ["key", "file", "offset"]
     sorted_ = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    sorted_.mapInArrow(run, SHARDS).write.parquet(f"{folder}/shards")
+    sorted_.mapInArrow(run, SHARDS).repartition(1).write.parquet(f"{folder}/shards")
 
 
 SHARDS = "shard string, first string, last string, captures long, bytes long"
@@ -342,8 +345,9 @@ def digest(pages: DataFrame) -> DataFrame:
     folder = new_path(spark, "warc")
     write_archives(pages, folder)
     build_index(spark, folder)
-    found = kept(lookup(spark, folder, pages.select(url_key(F.col("url").cast("string")).alias("key"))))  # else the ranges' sample would look all up again
+    found = lookup(spark, folder, pages.select(url_key(F.col("url").cast("string")).alias("key"))).persist(StorageLevel.DISK_ONLY)  # else the ranges' sample would look all up again
     out = kept(read_records(found, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    found.unpersist()
     dropped(spark, folder)
     return out
 

@@ -110,3 +110,16 @@ def test_keys(spark):
     }
     df = spark.createDataFrame([(u,) for u in cases], "url string")
     assert {r.url: r.key for r in df.withColumn("key", warc.url_key(F.col("url"))).collect()} == cases
+
+
+def test_the_table_of_shards_is_one_file(spark, folder):
+    assert spark.read.parquet(f"{folder}/shards").count() >= 7
+    assert len(list(Path(folder.removeprefix("file://"), "shards").glob("part-*"))) == 1
+
+
+def test_only_the_result_is_checkpointed_and_no_lookup_stays_stored(spark, monkeypatch):
+    columns, stored = [], lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(warc, "kept", lambda df, f=warc.kept: (columns.append(df.columns), f(df))[1])
+    before = stored()
+    assert Counter(map(tuple, warc.digest(spark.createDataFrame(pages(), SCHEMA).repartition(4)).collect())) == brute(pages())
+    assert columns == [["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]] and stored() <= before
