@@ -145,6 +145,27 @@ def test_words_of_place_forms_never_move(spark, monkeypatch):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_rare_words_meet_their_classes_by_merge(spark, monkeypatch):
+    """A hash table of a bucket's rare words could not go to disk; frequent words meet no table but the broadcast one."""
+    plans, bucketed = {}, text_queries.bucketed
+    monkeypatch.setattr(text_queries, "FREQUENT", 100)
+    monkeypatch.setattr(text_queries, "bucketed", lambda df, what, *keys: (plans.update({what: df._jdf.queryExecution().executedPlan().toString()}), bucketed(df, what, *keys))[1])
+    rare = {tuple(r) for r in catalog.queries()["place_forms"](spark, "/root/testdata/sf0.001").drop("id").collect()}
+    assert "ShuffledHashJoin" not in plans["place-items"] and "SortMergeJoin [doc_id" in plans["place-items"]
+    monkeypatch.setattr(text_queries, "FREQUENT", 10**9)
+    assert rare == {tuple(r) for r in catalog.queries()["place_forms"](spark, "/root/testdata/sf0.001").drop("id").collect()}
+
+
+def test_words_are_cut_where_the_plain_class_cuts_them(spark):
+    """Letters told first change no word: every character of the classes' ranges beside letters, and a long word."""
+    signs = [chr(c) for c in (*range(9, 14), *range(28, 0x250), 0x1680, *range(0x2000, 0x2030), 0x205F, 0x2060, 0x3000, 0x3040, 0x30FF, 0x4E00, 0xAC00, 0x1F600)]
+    rows = spark.createDataFrame([(f"a{s}é{s}{s}Z.{s}",) for s in signs] + [("xé" * 50_000 + " y",), ("",), (None,)], "line string")
+    plain = Spark()
+    plain.no_cut = lambda negated: negated
+    cut = rows.select(F.expr(text_queries.places.cut_words(Spark(), "line")).alias("a"), F.expr(text_queries.places.cut_words(plain, "line")).alias("b"))
+    assert cut.where("NOT a <=> b").count() == 0 and cut.where("size(a) > 1").count() > 20
+
+
 def test_snippets_of_a_text(spark):
     lines = [["a", "--", "b"], [], list("cdefghijklm"), ["n", "1", "o"]]
     mark = lambda form, run, w0, w1, request=1: {"request": request, "id": form, "run": run, "w0": w0, "w1": w1}
