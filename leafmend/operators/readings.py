@@ -24,6 +24,10 @@ KANA, HANGUL = "[぀-ヿ]", "[가-힯ᄀ-ᇿ㄰-㆏]"
 INTRODUCES = "[:;.][\"”’)\\]]*$"
 TONED = 20
 SUBJECTS = {"ja": "japan", "zh": "china", "ko": "korea"}
+#: What no run of pinyin's syllables has: a consonant that no vowel follows, but for n, ng, er, zh, ch and sh.
+NO_PINYIN = "[bdfhjklmpqtwxy][^aeiouü]|[zcs][^aeiouüh]|v|[bcdfhjklmpqstvwxyz]$"
+#: Pieces of ASCII letters, a sign behind them or not, that can prove nothing: too short, or neither eo nor eu nor pinyin.
+MUTE = f"(?i)^(?=[a-z]+[.,;:!?]?$)(?:[a-z]{{1,3}}[.,;:!?]?$|(?!.*e[ou])(?=.*(?:{NO_PINYIN}|[bcdfhjklmpqstvwxyz][.,;:!?]$)))"
 #: Pieces that a walk may touch: one of punctuation and three readings.
 REACH = 4
 
@@ -33,18 +37,21 @@ def facts(forms: DataFrame, listed: DataFrame) -> DataFrame:
 
     listed (word): words of the document's own language; a piece is one without
     what is no word character around it, in lower case. Each step is a
-    projection of its own, so that nothing is worked out twice.
+    projection of its own, so that nothing is worked out twice; words are folded
+    over only where they can be pinyin, and told to be Japanese too where they are.
     """
     own = listed.select("word").distinct().withColumn("_listed", F.lit(True))
     rows = forms.select("form", F.regexp_replace("form", r"(?U)^\W+|\W+$", "").alias("core")).withColumn("word", F.lower("core")).join(own, "word", "left")
     rows = rows.withColumn("bare", F.regexp_replace(unmarked(F.col("word"), umlauts=True), "['’]", "")).withColumn("plain", F.replace("bare", F.lit("-"), F.lit("")))
     rows = rows.withColumn("hepburn", F.col("word").rlike(HEPBURN) & ~F.col("word").rlike(IAST) & ~F.col("word").rlike(OTHER_TONE))
     rows = rows.withColumn("hepburn", F.when(F.col("hepburn"), spelled(F.replace(F.translate("word", "āīūēō", "aiueo"), F.lit("-"), F.lit("")), japanese())).otherwise(F.lit(False)))
+    rows = rows.withColumn("shape", F.when(F.col("plain").rlike("^[a-zü]+$") & ~F.col("plain").rlike(NO_PINYIN), spelled(F.col("plain"), pinyin(umlauts=True))).otherwise(F.lit(False)))
+    rows = rows.withColumn("japanese", F.when(F.col("shape"), spelled(F.col("plain"), japanese())).otherwise(F.lit(False)))
     return rows.select("form", F.struct(
         F.col("form").rlike(KANA).alias("kana"), F.col("form").rlike(HANGUL).alias("hangul"), "core", F.col("plain").rlike(r"^\p{L}+$").alias("sound"), "hepburn",
-        spelled(F.col("plain"), pinyin(umlauts=True)).alias("shape"), F.coalesce("_listed", F.lit(False)).alias("listed"), F.col("word").rlike(TONE).alias("tone"), F.col("word").rlike(OTHER_TONE).alias("other_tone"),
+        "shape", F.coalesce("_listed", F.lit(False)).alias("listed"), F.col("word").rlike(TONE).alias("tone"), F.col("word").rlike(OTHER_TONE).alias("other_tone"),
         F.col("core").rlike(BREVE).alias("breve"), F.col("word").rlike(REVISED).alias("revised"), (F.length("word") > 3).alias("long"), (F.length("bare") > 3).alias("bare_long"),
-        spelled(F.col("plain"), japanese()).alias("japanese"), F.col("form").rlike(r"(?U)^[\W_]+$").alias("punctuation"), F.col("form").rlike(INTRODUCES).alias("introduces"),
+        "japanese", F.col("form").rlike(r"(?U)^[\W_]+$").alias("punctuation"), F.col("form").rlike(INTRODUCES).alias("introduces"),
     ).alias("f"))
 
 
@@ -68,14 +75,14 @@ def reading(f: Column, subject: Column, toned: Column) -> Column:
 def around(docs: DataFrame, place: Callable[[Column], Column], pieces: str = "pieces") -> DataFrame:
     """(doc_id, book, at, piece, before, after): each place with up to REACH pieces on either side, the nearest first.
 
-    docs: doc_id, book and pieces (an array); place: whether a piece is one. A
-    null or empty text has none.
+    docs: doc_id, book and pieces (an array without nulls); place: whether a
+    piece is one. A null or empty text has none. Native functions alone, so that
+    a text's array is no part of any row but its own.
     """
-    one = lambda i: F.get(F.col(pieces), i)
-    side = lambda i, step: F.filter(F.array(*(one(i + step * k) for k in range(1, REACH + 1))), lambda x: x.isNotNull())
-    places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.coalesce(place(one(i)), F.lit(False)))
-    taken = F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), one(i).alias("piece"), side(i, -1).alias("before"), side(i, 1).alias("after")))
-    return docs.where(F.size(pieces) > 0).select("doc_id", "book", F.explode(taken).alias("p")).select("doc_id", "book", "p.*")
+    rows = docs.select("doc_id", "book", F.col(pieces).alias("_pieces"), F.posexplode(pieces).alias("_at", "piece")).where(F.coalesce(place(F.col("piece")), F.lit(False)))
+    before = F.reverse(F.slice("_pieces", F.greatest(F.col("_at") - REACH, F.lit(0)) + 1, F.least("_at", F.lit(REACH))))
+    after = F.slice("_pieces", F.col("_at") + 2, F.lit(REACH))
+    return rows.select("doc_id", "book", F.col("_at").cast("long").alias("at"), "piece", before.alias("before"), after.alias("after"))
 
 
 def _entry(f: Column, form: Column, r: Column) -> Column:
@@ -114,12 +121,14 @@ def beside(places: DataFrame, listed: DataFrame, toned: DataFrame) -> DataFrame:
     listed (word): words of the document's own language; toned (book, toned):
     whether a book writes pinyin with tones. The subject is the commonest
     language among the three pieces on either side of the book's places, ties
-    by name. The pieces around places are classed once for each form, and few
-    of them can be readings, so a place looks up its nearest piece alone; only
-    where that is a reading are the two behind it looked up.
+    by name. Most pieces around places can prove nothing by a look at their
+    letters; the others are classed once for each form, and few of them are
+    readings, so a place looks up its nearest piece alone; only where that is a
+    reading are the two behind it looked up.
     """
-    near = places.select("book", F.explode(F.concat(F.transform("before", lambda x, k: F.struct(x.alias("form"), (k < 3).alias("votes"))), F.transform("after", lambda x, k: F.struct(x.alias("form"), (k < 3).alias("votes"))))).alias("p"))
-    near = stored(near.groupBy("book", "p.form").agg(F.sum(F.col("p.votes").cast("long")).alias("n")), "near-pieces")
+    side = lambda c: places.select("book", F.posexplode(c).alias("k", "form")).where(~F.col("form").rlike(MUTE))
+    near = side("before").unionByName(side("after").where("k < 3"))
+    near = stored(near.groupBy("book", "form").agg(F.count_if(F.col("k") < 3).alias("n")), "near-pieces")
     f = F.col("f")
     speaks = f["kana"] | f["hangul"] | f["sound"] & (f["hepburn"] | f["breve"] & ~f["tone"] | f["revised"] & ~f["listed"] & f["long"] | f["shape"] & ~f["listed"] & ~f["breve"] & (f["other_tone"] | f["bare_long"] & ~f["japanese"]))
     forms = stored(facts(spread(near.select("form").distinct(), "form"), listed).where(speaks), "facts")
@@ -136,9 +145,10 @@ def beside(places: DataFrame, listed: DataFrame, toned: DataFrame) -> DataFrame:
         return rows.withColumn("_r", r).withColumn(f"x{k}", _entry(f, F.col("_form"), F.col("_r"))).drop("_form", "_known", "_r", "f")
 
     rows = _sides(places).join(about, F.col("book").eqNullSafe(F.col("_book")), "left").drop("_book")
-    asked = stored(looked_up(rows.where(F.size("left") > 0), 0), "nearest-pieces")
+    may = F.coalesce(~F.get("left", F.lit(0)).rlike(MUTE), F.lit(False))
+    asked = stored(looked_up(rows.where(may), 0), "nearest-pieces")
     columns = ["doc_id", "book", "at", "piece", "subject"]
-    none = rows.where(F.size("left") <= 0).unionByName(asked.where("x0 is null").drop("x0")).select(*columns, F.col("right").alias("readings"))
+    none = rows.where(~may).unionByName(asked.where("x0 is null").drop("x0")).select(*columns, F.col("right").alias("readings"))
     read = looked_up(looked_up(asked.where("x0 is not null"), 1), 2)
     x0, x1, x2 = (F.col(f"x{k}") for k in range(3))
     took = F.when(x1.isNull(), F.array(x0)).when(x2.isNull(), F.array(x1, x0)).otherwise(F.array(x2, x1, x0))
@@ -153,17 +163,21 @@ def evidence(read: DataFrame, form: Column) -> DataFrame:
     one language of all of a form's readings, decided whether every place has one.
     """
     r = F.col("readings")
-    names = F.array_distinct(F.transform(r, lambda x: x["r"]))
+    names = F.when(F.size(r) > 0, F.array_distinct(F.transform(r, lambda x: x["r"]))).otherwise(F.array().cast("array<string>"))
     one = F.when(F.size(names) == 1, names[0])
     masked = ((one == "ja") & (F.col("subject") == "korea") & ~F.exists(r, lambda x: x["kana"])) | ((one == "ko") & (F.col("subject") == "japan") & ~F.exists(r, lambda x: x["hangul"]))
     names = F.when(F.coalesce(masked, F.lit(False)), F.slice(names, 1, 0)).otherwise(names)
-    text = F.array_join(F.transform(r, lambda x: x["core"]), " ")
-    rows = read.select("book", form.alias("form"), "doc_id", "at", names.alias("names"), F.when(F.size(names) == 1, text).alias("text"))
+    rows = read.select("book", form.alias("form"), "doc_id", "at", "readings", names.alias("names"))
     n = lambda c: F.sum(c.cast("long"))
     out = rows.groupBy("book", "form").agg(
         F.count("*").alias("places"), n(F.size("names") == 1).alias("with_one"), n(F.size("names") == 0).alias("none"), n(F.size("names") > 1).alias("mixed"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("langs"), F.min_by("text", F.when(F.col("text").isNotNull(), F.struct("doc_id", "at"))).alias("reading"),
+        *(F.max(F.array_contains("names", x)).alias(f"_{x}") for x in SUBJECTS),
     )
+    # The few places with a reading alone are asked for their words.
+    text = F.array_join(F.transform(r, lambda x: x["core"]), " ")
+    first = rows.where(F.size("names") == 1).groupBy(F.col("book").alias("_book"), F.col("form").alias("_form")).agg(F.min_by(text, F.struct("doc_id", "at")).alias("reading"))
+    out = out.join(first, F.col("book").eqNullSafe(F.col("_book")) & F.col("form").eqNullSafe(F.col("_form")), "left")
+    langs = F.array_compact(F.array(*(F.when(F.col(f"_{x}"), x) for x in sorted(SUBJECTS))))
+    out = out.select("book", "form", "places", "with_one", "none", "mixed", langs.alias("langs"), "reading")
     lang = F.when((F.size("langs") == 1) & (F.col("mixed") == 0), F.col("langs")[0])
     return out.withColumn("lang", lang).withColumn("langs", F.array_join("langs", ",")).withColumn("decided", F.col("lang").isNotNull() & (F.col("with_one") == F.col("places")))
-
